@@ -7,8 +7,13 @@ from pyspark.sql import functions as F
 
 from quillstone.llm.common import SPACE_CHARS, blank, source_of, table
 from quillstone.llm.contamination import cross_split_pairs, split_sides
+from quillstone.llm.lines import repeated_lines, without_repeated_lines
+from quillstone.llm.mixing import mixture
 from quillstone.llm.neardup import groups_of_two, near_duplicate_groups
+from quillstone.llm.packing import containers, pack
 from quillstone.llm.splits import assign_splits, related_groups
+from quillstone.llm.splitting import plan_pieces, split_oversized
+from quillstone.llm.tokens import token_totals, tokens_of
 
 
 def _bodies(spark: SparkSession, d: str) -> DataFrame:
@@ -42,6 +47,19 @@ def p1_split_balance(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("family", "year").agg(n.alias("records"), *[F.round(F.count_if(F.col("split") == s) / n, 4).alias(f"{s}_share") for s in ("train", "validation", "test")])
 
 
+def _texts(spark: SparkSession, d: str) -> DataFrame:
+    """Every filing record's body as (id, source, text)."""
+    return table(spark, d, "filing_records").select(F.col("record_id").alias("id"), source_of().alias("source"), F.col("body").alias("text"))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return plan_pieces(_texts(spark, d)).select(F.col("id").alias("record_id"), "boundary")
+
+
+def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
+    return split_oversized(_texts(spark, d)).withColumnRenamed("id", "record_id")
+
+
 def _overlaps(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     docs = _bodies(spark, d)
     sides = split_sides(docs, table(spark, d, "cohort_membership"), table(spark, d, "audit_membership_correction"))
@@ -59,6 +77,24 @@ def p3_overlap_counts(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("cohort", "source").agg(F.count(F.lit(1)).alias("records"), F.count("partners").alias("overlapping"), F.coalesce(F.sum("partners"), F.lit(0)).alias("pairs"))
 
 
+def p4_token_budget(spark: SparkSession, d: str) -> DataFrame:
+    f = table(spark, d, "filing_records")
+    docs = f.select(source_of().alias("source"), F.lower(F.trim("lang")).alias("lang"), F.coalesce(F.lower(F.trim("document_type")), F.lit("8-k")).alias("document_type"), F.col("body").alias("text"))
+    return token_totals(docs, ["source", "lang", "document_type"])
+
+
+def p4_document_tokens(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "filing_records").select("record_id", tokens_of("body").alias("tokens"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return repeated_lines(_texts(spark, d)).select(F.col("id").alias("record_id"), "line_no")
+
+
+def p5_clean(spark: SparkSession, d: str) -> DataFrame:
+    return without_repeated_lines(_texts(spark, d)).withColumnsRenamed({"id": "record_id", "text": "body"})
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return groups_of_two(near_duplicate_groups(_bodies(spark, d))).select(F.col("id").alias("record_id"), "group_id")
 
@@ -67,4 +103,29 @@ def p7_classes(spark: SparkSession, d: str) -> DataFrame:
     return near_duplicate_groups(_bodies(spark, d)).select(F.col("id").alias("record_id"), "class_id", "group_id", "links")
 
 
+def _documents(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select(F.col("doc_id").alias("id"), source_of().alias("source"), "text")
+
+
+def p8_containers(spark: SparkSession, d: str) -> DataFrame:
+    return containers(pack(_documents(spark, d)))
+
+
+def p8_fill(spark: SparkSession, d: str) -> DataFrame:
+    rows = containers(pack(_documents(spark, d)))
+    return rows.groupBy("capacity").agg(F.count(F.lit(1)).alias("containers"), F.sum("tokens").alias("tokens"), F.sum("unused").alias("unused"))
+
+
+def _mixture(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return mixture(_documents(spark, d), table(spark, d, "mix_targets").withColumn("source", source_of()))
+
+
+def p9_mixture(spark: SparkSession, d: str) -> DataFrame:
+    return _mixture(spark, d)[0]
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    return _mixture(spark, d)[1]
+
+
 QUERIES = {n: f for n, f in list(globals().items()) if n[0] == "p" and n[1].isdigit()}
