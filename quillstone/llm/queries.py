@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillstone.llm.boilerplate import boilerplate_lines, main_text
 from quillstone.llm.common import SPACE_CHARS, blank, source_of, table
 from quillstone.llm.contamination import cross_split_pairs, split_sides
 from quillstone.llm.lines import repeated_lines, without_repeated_lines
 from quillstone.llm.mixing import mixture
 from quillstone.llm.neardup import groups_of_two, near_duplicate_groups
+from quillstone.llm.pii import personal_information, redact
 from quillstone.llm.packing import containers, pack
 from quillstone.llm.splits import assign_splits, related_groups
 from quillstone.llm.splitting import plan_pieces, split_oversized
@@ -95,6 +97,19 @@ def p5_clean(spark: SparkSession, d: str) -> DataFrame:
     return without_repeated_lines(_texts(spark, d)).withColumnsRenamed({"id": "record_id", "text": "body"})
 
 
+def _pages(spark: SparkSession, d: str) -> DataFrame:
+    f = table(spark, d, "filing_records").where((source_of() != "sec") & F.col("url").isNotNull())
+    return f.select(F.col("record_id").alias("id"), F.col("body").alias("text"))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return boilerplate_lines(_pages(spark, d)).select(F.col("id").alias("record_id"), "line_no")
+
+
+def p6_main_text(spark: SparkSession, d: str) -> DataFrame:
+    return main_text(_pages(spark, d)).withColumnsRenamed({"id": "record_id", "text": "body"})
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return groups_of_two(near_duplicate_groups(_bodies(spark, d))).select(F.col("id").alias("record_id"), "group_id")
 
@@ -128,4 +143,12 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return _mixture(spark, d)[1]
 
 
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return personal_information(_documents(spark, d)).withColumnRenamed("id", "doc_id")
+
+
+def p10_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return redact(_documents(spark, d)).withColumnRenamed("id", "doc_id")
+
+
 QUERIES = {n: f for n, f in list(globals().items()) if n[0] == "p" and n[1].isdigit()}
