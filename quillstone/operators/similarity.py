@@ -14,12 +14,13 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstone.functions.shingling import distinct_sets, fingerprints, mix
-from quillstone.operators.sketch import bucket, count_sketch
-from quillstone.staging import Stage, stage
+from quillstone.operators.sketch import bucket, count_sketch, sketch_counts
+from quillstone.staging import Stage, stage, stage_bucketed
 
 SKETCH_BITS = 22
 MEMBER_BITS = 23
@@ -48,12 +49,52 @@ def _texts(batch: pa.RecordBatch) -> list[str]:
 
 @dataclass
 class Prefixes:
-    """``members``: a row per document (id, class_id, size, min_hash, sig); ``postings``: a row per class and
-    prefix run that another class shares (token, class_id, size)."""
+    """``members``: a row per document (id, class_id, size, min_hash, sig)."""
 
     members: DataFrame
-    postings: DataFrame
     stages: list[Stage]
+    docs: DataFrame
+    load: Broadcast
+    t: float
+    k: int
+    bits: int
+
+    def postings(self, families: Broadcast | None = None, block: int = 64) -> DataFrame:
+        """A row per class and prefix run that another class has too: token, class_id, size, family, large.
+
+        ``families``: a counting sketch of the classes' minimum hashes. Those above ``block`` are large; their classes are
+        dealt to blocks, ``family`` being a hash of minimum hash and block. Copies may repeat a row.
+        """
+        t, k, bits, load = self.t, self.k, self.bits, self.load
+
+        def wide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            seen: set[int] = set()  # classes this task has sent: copies add no postings
+            for batch in batches:
+                for _, hashes, runs in fingerprints(_texts(batch), k):
+                    d, h, n = distinct_sets(hashes, runs)
+                    start = np.cumsum(n) - n
+                    with np.errstate(over="ignore"):
+                        cls, low = _class_ids(h, n, start), mix(h[start])
+                        count = np.ones(len(n)) if families is None else sketch_counts(families.value, low)
+                        part = cls % np.ceil(count / block).astype(np.uint64)
+                        family = np.where(count > block, mix(low + part), low)
+                    fresh = np.zeros(len(n), dtype=bool)
+                    for i, c in enumerate(cls.tolist()):
+                        if c not in seen:
+                            seen.add(c)
+                            fresh[i] = True
+                    order = np.lexsort((h, load.value[bucket(h, bits)], d))
+                    take = (np.arange(len(h)) - np.repeat(start, n) < np.repeat(prefix_length(n, t), n)) & fresh[d]
+                    at = order[take]
+                    of = d[at]
+                    yield pa.RecordBatch.from_pydict({
+                        "token": pa.array(h[at].view(np.int64)), "class_id": pa.array(cls[of].view(np.int64)), "size": pa.array(n[of].astype(np.int32)),
+                        "family": pa.array(family[of].view(np.int64)), "large": pa.array((count > block)[of]),
+                    })
+
+        every = self.docs.select("text").mapInArrow(wide, "token long, class_id long, size int, family long, large boolean")
+        same = Window.partitionBy("token")
+        return every.withColumns({"lo": F.min("class_id").over(same), "hi": F.max("class_id").over(same)}).where("lo < hi").drop("lo", "hi")
 
     def drop(self) -> None:
         for s in self.stages:
@@ -84,28 +125,8 @@ def prefixes(docs: DataFrame, t: float, k: int = 5, bits: int = SKETCH_BITS) ->
                         "sig": pa.array(sum(((s & np.uint64(0x7FFF)) << np.uint64(15 * i) for i, s in enumerate(sig)), np.zeros(len(n), np.uint64)).view(np.int64)),
                     })
 
-    def wide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()  # classes this task has sent: copies add no postings
-        for batch in batches:
-            for _, hashes, runs in fingerprints(_texts(batch), k):
-                d, h, n = distinct_sets(hashes, runs)
-                start = np.cumsum(n) - n
-                with np.errstate(over="ignore"):
-                    cls = _class_ids(h, n, start)
-                fresh = np.zeros(len(n), dtype=bool)
-                for i, c in enumerate(cls.tolist()):
-                    if c not in seen:
-                        seen.add(c)
-                        fresh[i] = True
-                order = np.lexsort((h, load.value[bucket(h, bits)], d))
-                take = (np.arange(len(h)) - np.repeat(start, n) < np.repeat(prefix_length(n, t), n)) & fresh[d]
-                at = order[take]
-                yield pa.RecordBatch.from_pydict({"token": pa.array(h[at].view(np.int64)), "class_id": pa.array(cls[d[at]].view(np.int64)), "size": pa.array(n[d[at]].astype(np.int32))})
-
     members = stage(docs.mapInArrow(narrow, "id long, class_id long, size int, min_hash long, sig long"))
-    every = docs.select("text").mapInArrow(wide, "token long, class_id long, size int").repartition("token")
-    shared = every.groupBy("token").agg(F.min("class_id").alias("lo"), F.max("class_id").alias("hi")).where("lo < hi").select("token")
-    return Prefixes(members.frame, every.join(shared, "token"), [members])
+    return Prefixes(members.frame, [members], docs, load, t, k, bits)
 
 
 def _class_ids(h: np.ndarray, n: np.ndarray, start: np.ndarray) -> np.ndarray:
@@ -177,7 +198,9 @@ def similar_pairs(docs: DataFrame, t: float, k: int = 5) -> tuple[DataFrame, Dat
     """Pairs (a, b, similarity) of class representatives, the representatives, and the memberships behind them."""
     p = prefixes(docs, t, k)
     reps = representatives(p.members)
-    c = class_pairs(p.postings, t)
+    postings = stage_bucketed(p.postings().select("token", "class_id", "size"), "token")
+    p.stages.append(postings)
+    c = class_pairs(postings.frame, t)
     named = c.join(reps.select(F.col("class_id").alias("a"), F.col("id").alias("ra")), "a").join(reps.select(F.col("class_id").alias("b"), F.col("id").alias("rb")), "b")
     pairs = stage(named.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")))
     p.stages.append(pairs)

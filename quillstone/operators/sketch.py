@@ -53,3 +53,8 @@ def count_sketch(df: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.n
 def _squash(counts: np.ndarray) -> np.ndarray:
     """Counts of any size on a logarithmic scale of 16 bits; order is kept, 0 stays 0."""
     return np.minimum(np.ceil(np.log2(1.0 + counts) * 1400), 65535).astype(np.uint16)
+
+
+def sketch_counts(sketch: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """About how often each hash was counted, never less than it was."""
+    return np.ceil(np.exp2(sketch[bucket(hashes, len(sketch).bit_length() - 1)] / 1400.0) - 1.0)

@@ -52,6 +52,16 @@ def stage(df: DataFrame) -> Stage:
     return Stage(spark.read.schema(df.schema).parquet(path), path)
 
 
+def stage_bucketed(df: DataFrame, key: str) -> Stage:
+    """Write ``df`` in as many buckets of ``key`` as there are shuffle partitions: joins and groups by it need no shuffle."""
+    spark = df.sparkSession
+    name = f"quillstone_{uuid.uuid4().hex}"
+    path = f"{staging_root(spark)}/{name}"
+    buckets = min(100_000, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    df.write.option("compression", "zstd").option("path", path).bucketBy(buckets, key).sortBy(key).saveAsTable(name)
+    return Stage(spark.table(name), path)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``stage`` for tables that live as long as the session."""
     return stage(df).frame
