@@ -10,14 +10,18 @@ can share with any member, and only groups that reach the bound are opened.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.operators.graph import connected_components
-from quillstone.operators.similarity import prefixes, representatives, shared_needed, sizes_fit, verify
-from quillstone.staging import stage
+from quillstone.operators.similarity import prefixes, shared_needed, sizes_fit, verify
+from quillstone.operators.sketch import count_sketch
+from quillstone.staging import stage, stage_bucketed
 
 BLOCK = 64
+#: log2 of the buckets that count the families' classes.
+FAMILY_BITS = 20
 
 
 def near_duplicate_groups(docs: DataFrame, t: float = 0.8, k: int = 5) -> DataFrame:
@@ -38,22 +42,21 @@ def near_duplicate_groups(docs: DataFrame, t: float = 0.8, k: int = 5) -> DataFr
     star = placed.frame.where((F.col("n") > BLOCK) & (F.col("class_id") != F.col("leader.class_id")) & (agree >= 3))
     proven = stage(verify(star.select(F.col("leader.rep").alias("a"), F.col("rep").alias("b")), docs, t, k))
     settled = proven.frame.select(F.col("b").alias("rep"), F.col("a").alias("lead")).union(proven.frame.select("a", "a").distinct())
-    grouped = placed.frame.join(settled, "rep", "left").select(
-        "class_id", "lead",
-        F.when(F.col("lead").isNull() & (F.col("n") > BLOCK), F.struct(F.col("class_id"), F.lit(-1).alias("block")))
-        .otherwise(F.struct(F.col("min_hash").alias("class_id"), F.when(F.col("n") > BLOCK, F.pmod(F.col("class_id"), F.ceil(F.col("n") / BLOCK)).cast("int")).otherwise(0).alias("block"))).alias("g"),
-    )
 
-    cells = p.postings.join(grouped, "class_id").dropDuplicates(["token", "class_id"]).repartition("token")
-    leads = cells.groupBy("token").agg(F.count_distinct("lead").alias("leads"))
-    queries = cells.join(leads, "token").where("lead is null or leads > 1").select("token", F.col("class_id").alias("q"), F.col("size").alias("q_size"), F.col("lead").alias("q_lead"))
-    matrix = cells.groupBy("token", "g").agg(F.first("lead", True).alias("lead"), F.collect_list(F.struct("class_id", "size")).alias("held"))
+    held = stage(placed.frame.where(F.col("n") > BLOCK).join(settled, "rep").select("class_id", "lead")).frame
+    sketch = count_sketch(classes.select("min_hash"), lambda b: iter([b["min_hash"].to_numpy().view(np.uint64)]), FAMILY_BITS)
+    shared = p.postings(docs.sparkSession.sparkContext.broadcast(sketch), BLOCK)
+    placing = shared.where("large").join(held, "class_id", "left").select("token", "class_id", "size", "family", "lead")
+    cells = stage_bucketed(shared.where("not large").select("token", "class_id", "size", "family", F.lit(None).cast("long").alias("lead")).union(placing), "token").frame.distinct()
+    leads = cells.groupBy("token").agg(F.min("lead").alias("lo"), F.max("lead").alias("hi"))
+    queries = cells.join(leads, "token").where("lead is null or lo < hi").select("token", F.col("class_id").alias("q"), F.col("size").alias("q_size"), F.col("lead").alias("q_lead"))
+    matrix = cells.groupBy("token", "family", "lead").agg(F.collect_list(F.struct("class_id", "size")).alias("held"))
     one_sided = F.col("q_lead").isNull() & F.col("lead").isNotNull()
     peers = (F.col("q_lead").isNull() == F.col("lead").isNull()) & ((F.col("q_lead") != F.col("lead")) | F.col("lead").isNull())
     met = queries.join(matrix, "token").where(one_sided | peers)
     met = met.withColumn("held", F.filter("held", lambda m: ((m["class_id"] < F.col("q")) | F.col("lead").isNotNull() & F.col("q_lead").isNull()) & sizes_fit(m["size"], F.col("q_size"), t))).where(F.size("held") > 0)
     met = met.withColumn("bound", F.array_min(F.transform("held", lambda m: shared_needed(m["size"], F.col("q_size"), t))))
-    opened = met.groupBy("q", "q_size", "g").agg(F.count(F.lit(1)).alias("overlap"), F.min("bound").alias("bound"), F.flatten(F.collect_list("held")).alias("held")).where("overlap >= bound")
+    opened = met.groupBy("q", "q_size", "family", "lead").agg(F.count(F.lit(1)).alias("overlap"), F.min("bound").alias("bound"), F.flatten(F.collect_list("held")).alias("held")).where("overlap >= bound")
     counted = opened.select("q", "q_size", F.explode("held").alias("m")).groupBy("q", "q_size", "m").count()
     candidates = counted.where(F.col("count") >= shared_needed(F.col("m.size"), F.col("q_size"), t)).select("q", F.col("m.class_id").alias("m"))
 
