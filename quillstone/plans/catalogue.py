@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from quillstone.plans.corpus import corpus
+from quillstone.plans.evaluation import evaluation
+
+QUERIES = corpus.queries | evaluation.queries
+SQL = corpus.sql | evaluation.sql
