@@ -23,29 +23,34 @@ _CONSENT = r"(?:accept all|accept cookies|manage preferences|i agree|reject opti
 _SHARE = r"(?:print this page|send to a colleague|follow us|tell a friend|post this story|save for later|copy link|email this item|share this page|share this article|share this)"
 _SITE = r"[\w'-]+ (?:wire|bulletin|gazette|review|institute|authority|office|news|online)"
 _OFFER = r"(?:get|download|register|sign up|never miss|subscribe|join)"
-_LINKS = re.compile(
+_OPENS = re.compile(
     "|".join((
-        rf"^{_SHARE}\b(?:(?=$)|.*[·+›:|–,]|\s+(?:as|with|by|on|via|in|to)\b)",
-        rf"^[|·/ ]*{_CONSENT}\.?(?:\s*[/|·–-]\s*.*)?$",
-        rf"^[|·/›]?\s*{_LEGAL}(?:\s*[|·/›-]\s*.+)+$",
-        r"^by [^.!?]{2,60}, \d{1,2}[:.]\d{1,2}(?: ?utc| ?gmt| ?am| ?pm)?$", r"^by [\w' -]{2,50} (?:newsroom|staff|desk|editors?|reporters?|correspondents?)\b[^.!?]{0,40}$",
-        r"^reporting for this item was \w+ by\b", r"^(?:additional )?(?:reporting|editing) by\b",
-        r"^(?:\S\s*)?(?:©|\(c\)|copyright)\s*\d{4}\b", r"\ball rights reserved\b", r"^(?:reuse is subject to our conditions|content may be reproduced with attribution|prices are delayed|terms of use apply|no responsibility is accepted for linked pages)[.;]",
-        r"\bfigures on this service are provided for general information\b", r"\bversion \d+, " + _SITE + r"\.?$",
-        r"\b(?:this page|our pages?|this site|this website|our site)\b.{0,40}\bcookies\b", r"^(?:we use|cookies are placed|this page sets|by using this site)\b.{0,80}\b(?:cookies|device)\b", r"^this site stores small files\b", r"^we and our partners keep data\b", r"^cookies? (?:help|are|on)\b.{0,80}\b(?:device|site|page|settings|purposes)\b",
-        r"^\d+ comments? on\b", r"^(?:no comments|leave a comment|join the discussion)\b",
-        r"^notes to editors on .{0,80}\bqueries\b", r"\blines open from \d",
-        r"^(?:read more|more|related|see also|also read|read also|read next|up next|watch|don't miss)\s*:\s*\S",
-        rf"^(?:{_OFFER})\b.{{0,60}}\b(?:newsletter|mobile app|event invitations|updates|alerts|digest|briefing)\b.{{0,50}}$", rf"^{_SITE}: ?(?:{_OFFER})\b",
-        rf"^{_SITE}, [\w ]+ and [\w ]+ service, \S+$",
-        r"^(?:>>|»|→|›)\s*\S",
+        rf"{_SHARE}\b(?:(?=$)|.*[·+›:|–,]|\s+(?:as|with|by|on|via|in|to)\b)",
+        rf"[|·/ ]*{_CONSENT}\.?(?:\s*[/|·–-]\s*.*)?$",
+        rf"[|·/›]?\s*{_LEGAL}(?:\s*[|·/›-]\s*.+)+$",
+        r"by [^.!?]{2,60}, \d{1,2}[:.]\d{1,2}(?: ?utc| ?gmt| ?am| ?pm)?$", r"by [\w' -]{2,50} (?:newsroom|staff|desk|editors?|reporters?|correspondents?)\b[^.!?]{0,40}$",
+        r"reporting for this item was \w+ by\b", r"(?:additional )?(?:reporting|editing) by\b",
+        r"(?:\S\s*)?(?:©|\(c\)|copyright)\s*\d{4}\b", r"(?:reuse is subject to our conditions|content may be reproduced with attribution|prices are delayed|terms of use apply|no responsibility is accepted for linked pages)[.;]",
+        r"(?:we use|cookies are placed|this page sets|by using this site)\b.{0,80}\b(?:cookies|device)\b", r"this site stores small files\b", r"we and our partners keep data\b", r"cookies? (?:help|are|on)\b.{0,80}\b(?:device|site|page|settings|purposes)\b",
+        r"\d+ comments? on\b", r"(?:no comments|leave a comment|join the discussion)\b",
+        r"notes to editors on .{0,80}\bqueries\b",
+        r"(?:read more|more|related|see also|also read|read also|read next|up next|watch|don't miss)\s*:\s*\S",
+        rf"(?:{_OFFER})\b.{{0,60}}\b(?:newsletter|mobile app|event invitations|updates|alerts|digest|briefing)\b.{{0,50}}$", rf"{_SITE}: ?(?:{_OFFER})\b",
+        rf"{_SITE}, [\w ]+ and [\w ]+ service, \S+$",
+        r"(?:>>|»|→|›)\s*\S",
     )), re.I,
 )
+#: Wording inside a line, and the word without which it can't be there.
+_WITHIN = (
+    ("rights reserved", re.compile(r"\ball rights reserved\b")), ("figures on this service", re.compile(r"\bfigures on this service are provided for general information\b")), (" version ", re.compile(rf"\bversion \d+, {_SITE}\.?$")),
+    ("cookies", re.compile(r"\b(?:this page|our pages?|this site|this website|our site)\b.{0,40}\bcookies\b")), ("lines open from", re.compile(r"\blines open from \d")),
+)
 _LIST_HEAD = re.compile(r"^(?:recommended for you|in this section|latest headlines|most read|you may also like|see also|related items|related links|related stories|popular now|more on this topic|more stories|more from|trending|editor'?s picks)\b[^.!?]{0,60}$", re.I)
 _DATED = re.compile(r"\(\d{1,2} \w+(?: \d{4})?\)$")
 _TABLE = re.compile(r"\t|\(\d+(?:[.,]\d+)?\)$|(?:\|\s*[(\d][\d.,()%\s-]*)+$")
 _BULLET = re.compile(r"^(?:[*•▪‣–-]|\d{1,2}[.)])\s")
 _SENTENCE = re.compile(r"[.!?;:,]$|[.!?] [A-Z]")
+_SITE_WORDS = tuple(w + e for w in ("wire", "bulletin", "gazette", "review", "institute", "authority", "office", "news", "online") for e in ("", "."))
 _SITE_END = re.compile(rf"[+›:|–·,/]\s*{_SITE}\.?$|\bon {_SITE}$", re.I)
 
 
@@ -60,36 +65,49 @@ class _Line:
 
 
 def _short_item(s: str) -> bool:
-    return len(s.split()) <= 4 and not _SENTENCE.search(s) and not any(c.isdigit() for c in s)
+    return s.count(" ") < 4 and not _ends_sentence(s) and not any(c.isdigit() for c in s)
+
+
+_MARKS = re.compile(r"[|·›»/>]")
 
 
 def _menu_row(low: str) -> bool:
     """A menu or a trail of pages on one line: items between marks, or well-known ones in a row."""
+    if not _MARKS.search(low):
+        return low.startswith("home ") and sum(f" {x} " in f" {low} " for x in _MENU) >= 4
     trail = [x.strip() for x in re.split(r"\s+[/›>»]\s+", low)]
     if len(trail) > 1 and (trail[0] in _MENU or _MENU_TAIL.match(trail[0]) and len(trail) > 2):
         return True
-    items = [x.strip() for x in re.split(r"\s*[|·›»/]\s*", low) if x.strip()]
+    items = [x.strip() for x in re.split(r"[|·›»/]", low) if x.strip()]
     if len(items) >= 3 and sum(x in _MENU or bool(re.fullmatch(_LEGAL, x)) for x in items) >= 2:
         return True
-    return low.startswith("home ") and sum(f" {x} " in f" {low} " for x in _MENU) >= 4
+    return False
+
+
+def _linked(s: str, low: str) -> bool:
+    return bool(_OPENS.match(s)) or any(word in low and pattern.search(low) for word, pattern in _WITHIN)
+
+
+def _ends_sentence(s: str) -> bool:
+    return s[-1:] in ".!?;:," or bool(_SENTENCE.search(s))
 
 
 def _read(raw: str) -> _Line:
     s = " ".join(raw.split())
     line = _Line(s)
-    low = s.lower()
-    if not s or _BULLET.match(s) and "©" not in s:
+    if not s or s[0] in "*•▪‣–-0123456789" and _BULLET.match(s) and "©" not in s:
         return line
-    if low in _MENU or _menu_row(low) or _LINKS.search(s) or _LIST_HEAD.match(s):
+    low = s.lower()
+    if low in _MENU or _linked(s, low) or _menu_row(low) or _LIST_HEAD.match(s):
         line.density = 1.0
-    elif _TABLE.search(raw.strip()) and any(c.isdigit() for c in s):
+    elif ("\t" in raw or s[-1] == ")" or "|" in s) and _TABLE.search(raw.strip()) and any(c.isdigit() for c in s):
         return line
-    elif _SITE_END.search(s) and len(s) < 120 and not re.search(r"[.!?] \w", s):
+    elif len(s) < 120 and low.endswith(_SITE_WORDS) and _SITE_END.search(s) and not re.search(r"[.!?] \w", s):
         line.density = 1.0
-    elif _DATED.search(s) and not _SENTENCE.search(s[: s.rfind("(")].strip()):
+    elif s[-1] == ")" and _DATED.search(s) and not _ends_sentence(s[: s.rfind("(")].strip()):
         line.density = 1.0
     else:
-        line.title = len(s) < 160 and not _SENTENCE.search(s) and len(s.split()) >= 3
+        line.title = len(s) < 160 and not _ends_sentence(s) and s.count(" ") >= 2
     return line
 
 
@@ -109,7 +127,7 @@ def own_lines(text: str) -> list[bool]:
         for n, i in enumerate(block):
             x = lines[i]
             if x.density == 1.0:
-                listing = listing and not _LINKS.search(x.text) or bool(_LIST_HEAD.match(x.text)) or listing
+                listing = listing or bool(_LIST_HEAD.match(x.text))
                 continue
             if listing and x.title:
                 x.density = 1.0
