@@ -83,9 +83,10 @@ class Prefixes:
                         if c not in seen:
                             seen.add(c)
                             fresh[i] = True
-                    order = np.lexsort((h, load.value[bucket(h, bits)], d))
-                    take = (np.arange(len(h)) - np.repeat(start, n) < np.repeat(prefix_length(n, t), n)) & fresh[d]
-                    at = order[take]
+                    rank = load.value[bucket(h, bits)].astype(np.uint64) << np.uint64(48) | h >> np.uint64(16)
+                    firsts = prefix_length(n, t)
+                    at = [a + rank[a:b].argsort(kind="stable")[:p] for a, b, p, new in zip(start.tolist(), (start + n).tolist(), firsts.tolist(), fresh) if new]
+                    at = np.concatenate(at) if at else np.zeros(0, np.int64)
                     of = d[at]
                     yield pa.RecordBatch.from_pydict({
                         "token": pa.array(h[at].view(np.int64)), "class_id": pa.array(cls[of].view(np.int64)), "size": pa.array(n[of].astype(np.int32)),

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 CHUNK = 1 << 16
+PORTION = 1 << 22
 
 
 def bucket(hashes: np.ndarray, bits: int) -> np.ndarray:
@@ -24,9 +25,22 @@ def count_sketch(df: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.n
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << bits, dtype=np.uint32)
+        waiting: list[np.ndarray] = []  # counted in portions, as each count walks over all buckets
+        held = 0
+
+        def count() -> None:
+            if waiting:
+                np.add(counts, np.bincount(np.concatenate(waiting), minlength=1 << bits), out=counts, casting="unsafe")
+                waiting.clear()
+
         for batch in batches:
             for h in hashes(batch):
-                counts += np.bincount(bucket(h, bits), minlength=1 << bits).astype(np.uint32)
+                waiting.append(bucket(h, bits))
+                held += len(h)
+                if held >= PORTION:
+                    count()
+                    held = 0
+        count()
         for i in range(0, 1 << bits, CHUNK):
             part = counts[i : i + CHUNK]
             if part.any():

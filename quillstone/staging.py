@@ -52,14 +52,25 @@ def stage(df: DataFrame) -> Stage:
     return Stage(spark.read.schema(df.schema).parquet(path), path)
 
 
+class Buckets(Stage):
+    """A table in buckets of a key and in parts, to which parts can be added; read parts keep the buckets."""
+
+    def __init__(self, df: DataFrame, key: str, part: str | None = None):
+        spark = df.sparkSession
+        self.name, self.key, self.part = f"quillstone_{uuid.uuid4().hex}", key, part
+        self.buckets = min(100_000, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        self.path = f"{staging_root(spark)}/{self.name}"
+        self.add(df)
+
+    def add(self, df: DataFrame) -> None:
+        writer = df.write.option("compression", "zstd").option("path", self.path).bucketBy(self.buckets, self.key).sortBy(self.key).mode("append")
+        (writer.partitionBy(self.part) if self.part else writer).saveAsTable(self.name)
+        self.frame = df.sparkSession.table(self.name)
+
+
 def stage_bucketed(df: DataFrame, key: str) -> Stage:
     """Write ``df`` in as many buckets of ``key`` as there are shuffle partitions: joins and groups by it need no shuffle."""
-    spark = df.sparkSession
-    name = f"quillstone_{uuid.uuid4().hex}"
-    path = f"{staging_root(spark)}/{name}"
-    buckets = min(100_000, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    df.write.option("compression", "zstd").option("path", path).bucketBy(buckets, key).sortBy(key).saveAsTable(name)
-    return Stage(spark.table(name), path)
+    return Buckets(df, key)
 
 
 def cut(df: DataFrame) -> DataFrame:
