@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from quillstone.operators.graph import connected_components
 from quillstone.operators.similarity import prefixes, shared_needed, sizes_fit, verify
 from quillstone.operators.sketch import count_sketch
-from quillstone.staging import stage, stage_bucketed
+from quillstone.staging import Buckets, stage
 
 BLOCK = 64
 #: log2 of the buckets that count the families' classes.
@@ -46,8 +46,12 @@ def near_duplicate_groups(docs: DataFrame, t: float = 0.8, k: int = 5) -> DataFr
     held = stage(placed.frame.where(F.col("n") > BLOCK).join(settled, "rep").select("class_id", "lead")).frame
     sketch = count_sketch(classes.select("min_hash"), lambda b: iter([b["min_hash"].to_numpy().view(np.uint64)]), FAMILY_BITS)
     shared = p.postings(docs.sparkSession.sparkContext.broadcast(sketch), BLOCK)
-    placing = shared.where("large").join(held, "class_id", "left").select("token", "class_id", "size", "family", "lead")
-    cells = stage_bucketed(shared.where("not large").select("token", "class_id", "size", "family", F.lit(None).cast("long").alias("lead")).union(placing), "token").frame.distinct()
+    # part 0: rows of small families; 1: of large ones as they come; 2: these with their leaders
+    part = F.when(F.col("large"), 1).otherwise(0).alias("part")
+    table = Buckets(shared.select("token", "class_id", "size", "family", F.lit(None).cast("long").alias("lead"), part), "token", "part")
+    led = table.frame.where("part = 1").drop("lead").join(held, "class_id", "left")
+    table.add(led.select("token", "class_id", "size", "family", "lead", F.lit(2).alias("part")))
+    cells = table.frame.where("part in (0, 2)").select("token", "class_id", "size", "family", "lead").distinct()
     leads = cells.groupBy("token").agg(F.min("lead").alias("lo"), F.max("lead").alias("hi"))
     queries = cells.join(leads, "token").where("lead is null or lo < hi").select("token", F.col("class_id").alias("q"), F.col("size").alias("q_size"), F.col("lead").alias("q_lead"))
     matrix = cells.groupBy("token", "family", "lead").agg(F.collect_list(F.struct("class_id", "size")).alias("held"))
