@@ -405,6 +405,58 @@ def consistency_audit(spark, d):
     return table(spark, d, "filing_records").where(h.isNotNull() & m.isNotNull()).agg(F.round(F.avg((h == m).cast("double")), 6).alias("agreement"), F.count(F.lit(1)).alias("n"), cell("routine", "routine").alias("rr"), cell("routine", "review_worthy").alias("rw"), cell("review_worthy", "routine").alias("wr"), cell("review_worthy", "review_worthy").alias("ww"))
 
 
+@query("SELECT (SELECT count(*) FROM (SELECT document_id FROM filing_records EXCEPT SELECT document_id FROM candidates)) AS missing, (SELECT count(*) FROM (SELECT document_id FROM candidates EXCEPT SELECT document_id FROM filing_records)) AS extra")
+def set_equality(spark, d):
+    f, c = (table(spark, d, t).select("document_id") for t in ("filing_records", "candidates"))
+    n = lambda x, name: x.agg(F.count(F.lit(1)).alias(name))
+    return n(f.subtract(c), "missing").crossJoin(n(c.subtract(f), "extra"))
+
+
+@query("SELECT record_id, row_number() OVER (ORDER BY sha256('42:' || record_id), record_id) AS ordinal FROM filing_records")
+def hash_shuffle(spark, d):
+    k = table(spark, d, "filing_records").select("record_id", F.sha2(F.concat(F.lit("42:"), F.col("record_id").cast("string")), 256).alias("k"))
+    return ordering.with_ordinal(k, ["k", "record_id"]).drop("k")
+
+
+@query(f"""WITH {REC}, m AS (SELECT record_id, body_sha256 AS stored FROM (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY body_sha256 NULLS LAST) AS rn FROM cohort_membership) WHERE rn = 1)
+ SELECT record_id, CASE WHEN stored IS NULL THEN 'absent' WHEN stored = h THEN 'equal' ELSE 'other' END AS identity FROM m JOIN rec USING (record_id) WHERE stored IS NULL OR stored <> h""")
+def manifest_mismatch(spark, d):
+    m = table(spark, d, "cohort_membership").groupBy("record_id").agg(F.min("body_sha256").alias("stored"))
+    j = m.join(records(spark, d).select("record_id", "body_sha256"), "record_id")
+    state = F.when(F.col("stored").isNull(), "absent").when(F.col("stored") == F.col("body_sha256"), "equal").otherwise("other")
+    return j.select("record_id", state.alias("identity")).where("identity <> 'equal'")
+
+
+@query(r"""SELECT record_id, CASE WHEN url IS NULL THEN 'absent' WHEN NOT regexp_matches(url, '^https?://') THEN 'scheme' WHEN NOT regexp_matches(url, '^https?://[^/]+\.[a-z]+/') THEN 'host'
+ WHEN regexp_matches(url, '/archives/') AND NOT regexp_matches(url, '/archives/[0-9]+/[0-9]+/[^/]+$') THEN 'archive path' ELSE 'ok' END AS state FROM filing_records""")
+def link_validation(spark, d):
+    u = F.col("url")
+    state = R.first_reason(("absent", u.isNull()), ("scheme", ~u.rlike("^https?://")), ("host", ~u.rlike(r"^https?://[^/]+\.[a-z]+/")), ("archive path", u.rlike("/archives/") & ~u.rlike("/archives/[0-9]+/[0-9]+/[^/]+$")), default="ok")
+    return table(spark, d, "filing_records").select("record_id", state.alias("state"))
+
+
+@query(f"""WITH {REC}, k AS (SELECT record_id, 0 AS p, document_id AS k FROM rec UNION ALL SELECT record_id, 1, url FROM rec UNION ALL SELECT record_id, 2, event_id FROM rec), c AS (SELECT DISTINCT 0 AS p, document_id AS k FROM candidates UNION ALL SELECT DISTINCT 1, url FROM candidates UNION ALL SELECT DISTINCT 2, event_id FROM candidates WHERE contains(event_id, ':'))
+ SELECT record_id, min(p) AS method FROM k JOIN c USING (p, k) GROUP BY record_id""")
+def fallback_match(spark, d):
+    """The first of three identities under which a record is known among the candidates."""
+    f, c = table(spark, d, "filing_records"), table(spark, d, "candidates")
+    keys = ["document_id", "url", "event_id"]
+    tagged = lambda t, *rest: t.select(*rest, F.posexplode(F.array(*keys)).alias("p", "k")).where("k is not null and (p < 2 or contains(k, ':'))")
+    return tagged(f, "record_id").join(tagged(c).distinct(), ["p", "k"], "left_semi").groupBy("record_id").agg(F.min("p").alias("method"))
+
+
+@query(f"WITH {REC} SELECT issuer_id, count(*) AS n, count(DISTINCT event) AS events, min(filing_date) AS first_day, max(filing_date) AS last_day FROM (SELECT *, ltrim(issuer, '0') AS issuer_id FROM rec WHERE issuer IS NOT NULL) GROUP BY issuer_id")
+def issuer_census(spark, d):
+    r = records(spark, d).where("issuer is not null").withColumn("issuer_id", F.ltrim("issuer", F.lit("0")))
+    return r.groupBy("issuer_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("event").alias("events"), F.min("filing_date").alias("first_day"), F.max("filing_date").alias("last_day"))
+
+
+@query("SELECT coalesce(lower(trim(source)), 'sec') AS source, count(*) AS n, count(*) FILTER (WHERE n_chars IS NULL) AS unknown, count(*) FILTER (WHERE n_chars <> length(text)) AS stale, count(*) FILTER (WHERE text IS NULL OR trim(text) = '') AS blank FROM documents GROUP BY 1")
+def document_census(spark, d):
+    t = table(spark, d, "documents")
+    return t.groupBy(F.coalesce(F.lower(F.trim("source")), F.lit("sec")).alias("source")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("n_chars").isNull()).alias("unknown"), F.count_if(F.col("n_chars") != F.length("text")).alias("stale"), F.count_if(F.col("text").isNull() | (F.trim("text") == "")).alias("blank"))
+
+
 @query()
 def stream_dedupe_ingest(spark, d):
     import uuid

@@ -90,7 +90,7 @@ def expected_calibration_error(spark, d):
     return metrics.calibration_error(metrics.bins(predictions(spark, d))).select("model", *r6("ece"))
 
 
-@query(f"""WITH {PRED}, s AS (SELECT model, t AS threshold, truth, p1 < 0.5 AND p0 >= t AS skipped FROM pred CROSS JOIN (VALUES (0.6), (0.9), (1.000001)) v(t)) SELECT model, round(threshold, 6) AS threshold, count(*) AS rows, count(*) FILTER (WHERE skipped) AS discarded,
+@query(f"""WITH {PRED}, s AS (SELECT model, t::DOUBLE AS threshold, truth, p1 < 0.5 AND p0 >= t AS skipped FROM pred CROSS JOIN (VALUES (0.6), (0.9), (1.000001)) v(t)) SELECT model, round(threshold, 6) AS threshold, count(*) AS rows, count(*) FILTER (WHERE skipped) AS discarded,
  count(*) FILTER (WHERE skipped AND truth = 1) AS dangerous_misses, round(count(*) FILTER (WHERE skipped AND truth = 1) / nullif(sum(truth), 0), 6) AS dangerous_miss_rate, round(count(*) FILTER (WHERE skipped AND truth = 1) / nullif(count(*) FILTER (WHERE skipped), 0), 6) AS discard_contamination,
  round(count(*) FILTER (WHERE skipped) / count(*), 6) AS workload_reduction FROM s GROUP BY 1, 2""")
 def policy_scores(spark, d):
@@ -149,7 +149,7 @@ def fit_policies_check(spark, d):
 
 
 _GRID = f"""{PRED}, z AS (SELECT model, CASE WHEN truth = 1 THEN 1 ELSE -1 END * (ln(greatest(p1, 1e-12)) - ln(greatest(p0, 1e-12))) AS m FROM pred),
- grid AS (SELECT model, t, avg(greatest(-m / exp(t), 0) + ln(1 + exp(-abs(m / exp(t))))) AS nll FROM z CROSS JOIN (SELECT -3 + range * 0.25 AS t FROM range(25)) GROUP BY model, t)"""
+ grid AS (SELECT model, t, avg(greatest(-m / exp(t), 0) + ln(1 + exp(-abs(m / exp(t))))) AS nll FROM z CROSS JOIN (SELECT (-3 + range * 0.25)::DOUBLE AS t FROM range(25)) GROUP BY model, t)"""
 
 
 @query(f"WITH {_GRID} SELECT model, round(t, 6) AS log_t, round(nll, 6) AS nll FROM grid")
@@ -372,3 +372,37 @@ def sample_increments(spark, d):
     s = metrics.class_scores(metrics.scored(predictions(spark, d)).groupBy("model").agg(*metrics.cells())).withColumn("k", F.when(F.col("model") == "tfidf-4k", 1).otherwise(2))
     w = Window.orderBy("k")  # over one row per model
     return s.select(F.col("model").alias("smaller"), F.lead("model").over(w).alias("larger"), F.round(F.lead("macro_f1").over(w) - F.col("macro_f1"), 6).alias("gain"))
+
+
+@query(f"WITH {PRED} SELECT a.body_sha256, a.prediction AS tfidf, b.prediction AS lora, round(b.p1 - a.p1, 6) AS shift FROM pred a JOIN pred b ON a.body_sha256 = b.body_sha256 WHERE a.model = 'tfidf-4k' AND b.model = 'lora-4k' AND a.prediction <> b.prediction")
+def model_disagreement(spark, d):
+    p = metrics.scored(predictions(spark, d))
+    side = lambda m, n: p.where(F.col("model") == m).select("body_sha256", F.col("prediction").alias(n), F.col("p1").alias(f"p_{n}"))
+    j = side("tfidf-4k", "tfidf").join(side("lora-4k", "lora"), "body_sha256").where("tfidf <> lora")
+    return j.select("body_sha256", "tfidf", "lora", F.round(F.col("p_lora") - F.col("p_tfidf"), 6).alias("shift"))
+
+
+@query("SELECT model, task_id, first_scored = scored_at AS control, body_sha256, count(*) AS n FROM (SELECT *, min(scored_at) OVER (PARTITION BY model, family, document_type) AS first_scored FROM prediction_rows) WHERE first_scored = scored_at GROUP BY ALL")
+def matched_controls(spark, d):
+    """The first scored row of every kind, which the rest refer to."""
+    p = table(spark, d, "prediction_rows")
+    first = p.groupBy("model", "family", "document_type").agg(F.min("scored_at").alias("first_scored"))
+    held = p.join(first, ["model", "family", "document_type"]).where("scored_at = first_scored")
+    return held.groupBy("model", "task_id", F.lit(True).alias("control"), "body_sha256").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {PRED}, n AS (SELECT model, body_sha256, truth, guess, row_number() OVER (PARTITION BY model ORDER BY body_sha256) AS k FROM pred), s AS (SELECT * FROM n JOIN (VALUES (20), (40), (80), (160)) v(size) ON k <= size), c AS (SELECT model, size, {_CELLS} FROM s GROUP BY 1, 2) SELECT model, size, round({_F1}, 6) AS macro_f1 FROM c")
+def learning_curve(spark, d):
+    from quillstone.operators.ordering import rank_in_bucket
+
+    n = rank_in_bucket(metrics.scored(predictions(spark, d)).select("model", "body_sha256", "truth", "guess"), "model", ["body_sha256"], "k")
+    sizes = spark.createDataFrame([(20,), (40,), (80,), (160,)], "size int")
+    c = n.join(F.broadcast(sizes), F.col("k") <= F.col("size")).groupBy("model", "size").agg(*metrics.cells())
+    return metrics.class_scores(c).select("model", "size", *r6("macro_f1"))
+
+
+@query(f"WITH {PRED}, s AS (SELECT model, family, {_CELLS} FROM pred GROUP BY 1, 2) SELECT model, family, (2 * tp / nullif(2.0 * tp + fp + fn, 0)) IS NULL AS undefined, coalesce(printf('%.1f%%', 100.0 * (tn + tp) / nullif(tn + fp + fn + tp, 0)), '--') AS accuracy FROM s")
+def formatted_scores(spark, d):
+    s = metrics.scored(predictions(spark, d)).groupBy("model", "family").agg(*metrics.cells())
+    share = 100.0 * V.ratio(F.col("tn") + F.col("tp"), F.col("tn") + F.col("fp") + F.col("fn") + F.col("tp"))
+    return s.select("model", "family", (2 * F.col("tp") + F.col("fp") + F.col("fn") == 0).alias("undefined"), F.coalesce(F.format_string("%.1f%%", share), F.lit("--")).alias("accuracy"))
