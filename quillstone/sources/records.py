@@ -6,12 +6,11 @@ import hashlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import DoubleType, MapType, StringType, StructField, StructType
 
-RECORD = StructType.fromDDL(
-    "document_id string, url string, source string, document_type string, date string, date_precision string, body string, event_id string, issuer string, "
-    "llm struct<label:string,uncertainty:double>, human struct<label:string,uncertainty:double>, provenance map<string,string>, group_id string"
-)
+_ANNOTATION = StructType([StructField("label", StringType()), StructField("uncertainty", DoubleType())])
+_TEXTS = ("document_id", "url", "source", "document_type", "date", "date_precision", "body", "event_id", "issuer")
+RECORD = StructType([*[StructField(c, StringType()) for c in _TEXTS], StructField("llm", _ANNOTATION), StructField("human", _ANNOTATION), StructField("provenance", MapType(StringType(), StringType())), StructField("group_id", StringType())])
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -25,12 +24,14 @@ def read_records(spark: SparkSession, *paths: str, schema: StructType = RECORD,
     Adds ``origin`` (the file) and ``corrupt``, which holds lines that don't parse.
     """
     there = [p for p in paths if _exists(spark, p)]
-    full = StructType([*schema.fields, *StructType.fromDDL("corrupt string").fields])
+    full = StructType([*schema.fields, StructField("corrupt", StringType())])
     if not there:
         return spark.createDataFrame([], full).withColumn("origin", F.lit(None).cast("string"))
-    reader = spark.read.schema(full).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "corrupt")
-    reader = reader.option("multiLine", True) if array else reader.option("lineSep", "\n")
-    return reader.json(there).withColumn("origin", F.col("_metadata.file_path"))
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "corrupt"}
+    if array:
+        return spark.read.schema(full).options(multiLine=True, **options).json(there).withColumn("origin", F.col("_metadata.file_path"))
+    lines = spark.read.option("lineSep", "\n").text(there).select("value", F.col("_metadata.file_path").alias("origin")).where("trim(value) <> ''")
+    return lines.select(F.from_json("value", full, options).alias("r"), "origin").select("r.*", "origin")
 
 
 def read_split(spark: SparkSession, path: str, digest: str, count: int, labels: tuple[str, ...]) -> DataFrame:
