@@ -97,13 +97,12 @@ def repeated_lines(docs: DataFrame, share: float = 0.02, least: int = 10) -> Dat
 
 def without_repeated_lines(docs: DataFrame, share: float = 0.02, least: int = 10) -> DataFrame:
     """(id, source, text, removed): every text of ``docs`` without those lines, and how many went; null stays null."""
-    lines = parsed(docs, keep_text=True)
+    docs = docs.withColumn("source", F.coalesce("source", F.lit("\0")))
     found = repeated_templates(stage(parsed(docs)).frame, share, least)
     sets = found.groupBy("source").agg(F.collect_set("leaf").alias("gone"))
     counts = docs.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
-    sets = stage(counts.join(sets, "source", "left").select(F.coalesce("source", F.lit("\0")).alias("source"), "n", "gone")).frame
-    joined = skew_join(lines.withColumn("source", F.coalesce("source", F.lit("\0"))), sets, "source", "n")
+    joined = skew_join(parsed(docs, keep_text=True), stage(counts.join(sets, "source", "left")).frame, "source", "n")
     gone = F.coalesce("gone", F.array().cast("array<long>"))
     kept = F.filter(F.arrays_zip(F.split("text", "\n", -1).alias("line"), F.col("leaves").alias("leaf")), lambda x: ~F.array_contains(gone, x["leaf"]) | (x["leaf"] == 0))
     out = joined.withColumn("kept", kept)
-    return out.select("id", F.nullif("source", F.lit("\0")).alias("source"), F.when(F.col("text").isNotNull(), F.array_join(F.col("kept.line"), "\n")).alias("text"), (F.size("leaves") - F.size("kept")).alias("removed"))
+    return out.select("id", F.nullif("source", F.lit("\0")).alias("source"), F.when(F.col("text").isNotNull(), F.array_join(F.col("kept.line"), "\n")).alias("text"), F.when(F.col("text").isNotNull(), F.size("leaves") - F.size("kept")).otherwise(0).alias("removed"))
