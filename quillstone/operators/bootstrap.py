@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.operators.metrics import CELLS, cells, class_scores, scored
+from quillstone.staging import stage
 
 
 def group_cells(df: DataFrame, by: str = "model") -> DataFrame:
@@ -23,7 +24,8 @@ def weight(group: Column, replicate: Column) -> Column:
 
 def replicates(groups: DataFrame, n: int, by: str = "model") -> DataFrame:
     """(by, replicate, tn, fp, fn, tp) of ``n`` resamplings of groups. Groups with equal cells in all models are still drawn apart."""
-    drawn = groups.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("w", weight(F.col("group_id"), F.col("replicate"))).where("w > 0")
+    spread = groups.repartition(groups.sparkSession.sparkContext.defaultParallelism, "group_id")  # few rows that become many
+    drawn = spread.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("w", weight(F.col("group_id"), F.col("replicate"))).where("w > 0")
     return drawn.groupBy(by, "replicate").agg(*[F.sum(F.col(c) * F.col("w")).alias(c) for c in CELLS])
 
 
@@ -41,7 +43,7 @@ def intervals(reps: DataFrame, metric: str = "macro_f1", by: str = "model") -> D
 
 def contrasts(reps: DataFrame, reference: str, metric: str = "macro_f1", by: str = "model") -> DataFrame:
     """Paired differences of every model to ``reference`` within replicates."""
-    s = class_scores(reps).select(by, "replicate", F.col(metric).alias("m"))
+    s = stage(class_scores(reps).select(by, "replicate", F.col(metric).alias("m"))).frame  # read twice
     base = s.where(F.col(by) == reference).select("replicate", F.col("m").alias("base"))
     d = s.where(F.col(by) != reference).join(base, "replicate").withColumn("delta", F.col("m") - F.col("base"))
     return d.groupBy(by).agg(F.percentile("delta", F.lit(0.025)).alias("low"), F.avg("delta").alias("mean"), F.percentile("delta", F.lit(0.975)).alias("high"))

@@ -8,12 +8,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.functions.vectors import ratio0
+from quillstone.session import spread
 
 
 def ngrams(docs: DataFrame, text: str = "text") -> DataFrame:
     """(id, term, tf): words of two or more characters and pairs of them, counted per document."""
     tokens = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))
-    held = docs.select("id", tokens.alias("t"))
+    held = spread(docs).select("id", tokens.alias("t"))
     pairs = F.transform(F.slice("t", 1, F.greatest(F.size("t") - 1, F.lit(0))), lambda x, i: F.concat(x, F.lit(" "), F.get(F.col("t"), i + 1)))
     return held.select("id", F.explode_outer(F.concat("t", pairs)).alias("term")).where("term is not null").groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
 

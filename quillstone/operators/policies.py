@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstone.operators.metrics import scored
+from quillstone.staging import stage
 
 NEVER = 1.000001
 MISS_RATES = (0.01, 0.05)
@@ -39,31 +40,36 @@ def skip(p0: Column, p1: Column, threshold: Column) -> Column:
     return (p1 < 0.5) & (p0 >= threshold)
 
 
-def grid_temperature(df: DataFrame, log_temperatures: list[float], by: str = "model") -> DataFrame:
-    """(by, log_t, nll) over a grid of log temperatures: one aggregate; logits are log probabilities clipped at 1e-12."""
+def margins(df: DataFrame, by: str = "model") -> DataFrame:
+    """(by, margin, count): distinct log odds of the true class, clipped at 1e-12; a grid multiplies these, not rows."""
     data = scored(df)
     z = F.ln(F.greatest("p1", F.lit(1e-12))) - F.ln(F.greatest("p0", F.lit(1e-12)))
-    margin = F.when(F.col("truth") == 1, z).otherwise(-z)
-    grid = F.explode(F.array(*[F.lit(float(t)) for t in log_temperatures]))
-    loss = lambda m: F.greatest(-m, F.lit(0.0)) + F.log1p(F.exp(-F.abs(m)))  # noqa: E731  log(1 + exp(-m))
-    # distinct margins first: the grid multiplies distinct values, not rows
-    folded = data.select(by, margin.alias("margin")).groupBy(by, "margin").count()
-    return folded.select(by, "margin", "count", grid.alias("log_t")).groupBy(by, "log_t").agg((F.sum(F.col("count") * loss(F.col("margin") / F.exp("log_t"))) / F.sum("count")).alias("nll"))
+    return data.select(by, F.when(F.col("truth") == 1, z).otherwise(-z).alias("margin")).groupBy(by, "margin").count()
+
+
+def _losses(folded: DataFrame, grid: Column, by: str) -> DataFrame:
+    """(by, log_t, nll): mean log(1 + exp(-margin / t)) at each log temperature."""
+    m = F.col("margin") / F.exp("log_t")
+    loss = F.greatest(-m, F.lit(0.0)) + F.log1p(F.exp(-F.abs(m)))
+    spread = folded.repartition(folded.sparkSession.sparkContext.defaultParallelism, "margin").withColumn("log_t", F.explode(grid))
+    return spread.groupBy(by, "log_t").agg((F.sum(F.col("count") * loss) / F.sum("count")).alias("nll"))
+
+
+def grid_temperature(df: DataFrame, log_temperatures: list[float], by: str = "model") -> DataFrame:
+    """(by, log_t, nll) over a grid of log temperatures: one aggregate."""
+    return _losses(margins(df, by), F.array(*[F.lit(float(t)) for t in log_temperatures]), by)
 
 
 def fit_temperature(df: DataFrame, by: str = "model", rounds: int = 4, width: int = 24) -> DataFrame:
     """(by, log_t, nll): the best log temperature in [-3, 3], refined ``rounds`` times around the best grid point; all groups at once."""
     step = 6.0 / width
-    best = _best(grid_temperature(df, [-3 + i * step for i in range(width + 1)], by), by)
-    data = scored(df)
-    z = F.ln(F.greatest("p1", F.lit(1e-12))) - F.ln(F.greatest("p0", F.lit(1e-12)))
-    folded = data.select(by, F.when(F.col("truth") == 1, z).otherwise(-z).alias("margin")).groupBy(by, "margin").count()
+    folded = stage(margins(df, by)).frame
+    best = stage(_best(_losses(folded, F.array(*[F.lit(-3 + i * step) for i in range(width + 1)]), by), by)).frame
     for _ in range(rounds):
         span, step = step, 2 * step / width
-        around = F.explode(F.array(*[F.least(F.lit(3.0), F.greatest(F.lit(-3.0), F.col("log_t") - span + i * step)) for i in range(width + 1)]))
-        tried = folded.join(F.broadcast(best.select(by, "log_t")), by).select(by, "margin", "count", around.alias("log_t"))
-        m = F.col("margin") / F.exp("log_t")
-        best = _best(tried.groupBy(by, "log_t").agg((F.sum(F.col("count") * (F.greatest(-m, F.lit(0.0)) + F.log1p(F.exp(-F.abs(m))))) / F.sum("count")).alias("nll")), by)
+        around = F.array(*[F.least(F.lit(3.0), F.greatest(F.lit(-3.0), F.col("centre") - span + i * step)) for i in range(width + 1)])
+        tried = folded.join(F.broadcast(best.select(by, F.col("log_t").alias("centre"))), by)  # a row per group
+        best = stage(_best(_losses(tried, around, by), by)).frame
     return best
 
 

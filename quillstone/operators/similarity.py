@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from quillstone.functions.shingling import distinct_sets, fingerprints, mix
 from quillstone.operators.sketch import bucket, count_sketch, sketch_counts
+from quillstone.session import spread
 from quillstone.staging import Stage, stage, stage_bucketed
 
 SKETCH_BITS = 22
@@ -108,7 +109,7 @@ def prefixes(docs: DataFrame, t: float, k: int = 5, bits: int = SKETCH_BITS) ->
     Null texts count as empty; filter blank ones first if they shall not match each other.
     ``bits``: log2 of the sketch's buckets (2 bytes each), the size of what is broadcast.
     """
-    docs = docs.select("id", "text")
+    docs = spread(docs.select("id", "text"))
     load = docs.sparkSession.sparkContext.broadcast(count_sketch(docs.select("text"), lambda b: (h for _, h, _ in fingerprints(_texts(b), k)), bits))
 
     def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -10,6 +10,7 @@ from quillstone.operators import bootstrap as B
 from quillstone.operators import discovery, features, metrics, policies
 from quillstone.operators import records as R
 from quillstone.plans.registry import REC, Registry, table
+from quillstone.staging import stage
 
 evaluation = Registry()
 query = evaluation.query
@@ -300,7 +301,7 @@ def tfidf_terms(spark, d):
 @query(f"WITH {_GRAMS}, x AS (SELECT id, term, tf * idf AS x FROM tf JOIN idf USING (term)), n AS (SELECT id, sqrt(sum(x * x)) AS n FROM x GROUP BY id) SELECT id, count(*) AS terms, round(max(x / n), 6) AS heaviest, round(sum(x / n), 4) AS total FROM x JOIN n USING (id) GROUP BY id")
 def tfidf_vectors(spark, d):
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
-    grams = features.ngrams(docs)
+    grams = stage(features.ngrams(docs)).frame
     w = features.tfidf(grams, features.vocabulary(grams, docs.count()))
     return w.groupBy("id").agg(F.count(F.lit(1)).alias("terms"), F.round(F.max("weight"), 6).alias("heaviest"), F.round(F.sum("weight"), 4).alias("total"))
 

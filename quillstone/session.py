@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
 
@@ -23,3 +24,16 @@ def ship(spark: SparkSession) -> SparkSession:
         spark.sparkContext.addPyFile(str(target))
         _SHIPPED.add(app)
     return spark
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` on all cores where it comes from fewer files than there are cores, before work that is heavy per row.
+
+    Only plans without a shuffle are looked at (asking others for their partitions would run them); large tables have splits enough
+    and stay as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    if re.search(r"\b(Join|Aggregate|Repartition\w*|Window|Sort|Distinct|Deduplicate|Generate)\b", plan) or df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores)
