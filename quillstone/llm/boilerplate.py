@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillstone.session import spread
+
 # Wording of menus, prompts and notices on news and institutional sites.
 _MENU = {"home", "about us", "contact", "contact us", "search", "newsroom", "publications", "careers", "help", "menu", "sitemap", "site map", "login", "sign in", "subscribe", "market at a glance"}
 _MENU_TAIL = re.compile(r"^\w[\w' -]* (hub|tools|topics|glossary|calendar|questions|archive|briefings|updates|maps|library|standards|explained|desk|gateway|guide|centre|center|in figures|for \w+|at a glance)$")
@@ -174,7 +176,7 @@ def marked_lines(pages: DataFrame) -> DataFrame:
     def own(texts: pa.Array) -> pa.Array:
         return pa.array([own_lines(x or "") for x in texts.to_pylist()], pa.list_(pa.bool_()))
 
-    return pages.select("id", "text", own("text").alias("own"))
+    return spread(pages.select("id", "text")).select("id", "text", own("text").alias("own"))
 
 
 def boilerplate_lines(pages: DataFrame) -> DataFrame:

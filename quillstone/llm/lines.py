@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.operators.skew import skew_join
+from quillstone.session import spread
 from quillstone.staging import stage
 
 _LETTER = re.compile(r"[^\W\d_]")
@@ -67,7 +68,7 @@ def parsed(docs: DataFrame, keep_text: bool = False) -> DataFrame:
             out = {"id": batch["id"], "source": batch["source"], "nodes": lists[0], "leaves": lists[1]}
             yield pa.RecordBatch.from_pydict(out | ({"text": batch["text"]} if keep_text else {}))
 
-    return docs.select("id", "source", "text").mapInArrow(parse, "id long, source string, nodes array<long>, leaves array<long>" + ", text string" * keep_text)
+    return spread(docs.select("id", "source", "text")).mapInArrow(parse, "id long, source string, nodes array<long>, leaves array<long>" + ", text string" * keep_text)
 
 
 def repeated_templates(lines: DataFrame, share: float = 0.02, least: int = 10) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstone.llm.tokens import VOCABULARY, tokens_of
+from quillstone.session import spread
 from quillstone.staging import stage
 
 #: Rates of the Poisson distribution that are told apart; the last one means as often as permitted.
@@ -50,7 +51,7 @@ def mixture(docs: DataFrame, targets: DataFrame, seed: int = 42, vocabulary: str
     """
     goal = targets.where("source is not null and target_share > 0 and max_repeats > 0").groupBy("source").agg(F.sum("target_share").alias("share"), F.max("max_repeats").alias("cap"))
     most = goal.agg(F.max("cap")).first()[0] or 1
-    sized = stage(docs.where(F.length("text") > 0).join(goal, "source").select("id", "source", "text", "share", "cap").withColumn("tokens", tokens_of("text", vocabulary))).frame
+    sized = stage(spread(docs.select("id", "source", "text")).where(F.length("text") > 0).join(goal, "source").select("id", "source", "text", "share", "cap").withColumn("tokens", tokens_of("text", vocabulary))).frame
     u = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("id")), 11) * F.lit(2.0**-53)
     narrow = sized.select("id", "source", "share", "cap", "tokens", _jumps(u, most).alias("jumps"))
     have = narrow.groupBy("source", "share", "cap").agg(F.sum("tokens").alias("have"))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.llm.tokens import VOCABULARY, clean, encoder, pieces
+from quillstone.session import spread
 from quillstone.staging import stage
 
 CAPACITIES = (256, 512, 1024, 2048)
@@ -92,7 +93,7 @@ def pack(docs: DataFrame, capacities: tuple[int, ...] = CAPACITIES, vocabulary:
     Sizes, not texts, are shuffled: items are dealt by hash to shards of about ``SHARD_ITEMS``, each packed by
     ``best_fit``. Null and empty texts need no room and give no row; repeated ids are items of their own.
     """
-    items = stage(docs.select(F.col("id").alias("doc_id"), F.posexplode(parts_of("text", max(capacities), vocabulary)).alias("part", "p")).select("doc_id", (F.col("part") + 1).alias("part"), "p.start", "p.end", "p.tokens")).frame
+    items = stage(spread(docs.select("id", "text")).select(F.col("id").alias("doc_id"), F.posexplode(parts_of("text", max(capacities), vocabulary)).alias("part", "p")).select("doc_id", (F.col("part") + 1).alias("part"), "p.start", "p.end", "p.tokens")).frame
     shards = max(1, -(-items.count() // SHARD_ITEMS))
 
     def packed(rows: pd.DataFrame) -> pd.DataFrame:

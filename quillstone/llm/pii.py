@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillstone.session import spread
+
 KINDS = ("email", "phone", "id_number", "address", "name")
 THRESHOLD = 0.5
 
@@ -287,7 +289,7 @@ def with_spans(docs: DataFrame) -> DataFrame:
     def spans(texts: pa.Array) -> pa.Array:
         return pa.array([[dict(zip(("start", "end", "kind"), s)) for s in find_spans(t)] for t in texts.to_pylist()], pa.list_(SPAN))
 
-    return docs.select("id", "text", spans("text").alias("spans"))
+    return spread(docs.select("id", "text")).select("id", "text", spans("text").alias("spans"))
 
 
 def personal_information(docs: DataFrame) -> DataFrame:

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillstone.session import spread
+
 LEVELS = ("paragraph", "line", "sentence", "word", "hard")
 _SENTENCE = re.compile(r"[.!?](?=\s)\s*")
 _SPACES = re.compile(r"\s+")
@@ -145,7 +147,7 @@ def plan_pieces(docs: DataFrame, limit: int = 3000, overlap: int = 200) -> DataF
         piece = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("overlap", pa.int32())])
         return pa.array(out, pa.struct([("boundary", pa.string()), ("pieces", pa.list_(piece))]))
 
-    long = docs.where(F.length("text") > limit).select("id", F.replace("text", F.lit("\r\n"), F.lit("\n")).alias("text"))
+    long = spread(docs).where(F.length("text") > limit).select("id", F.replace("text", F.lit("\r\n"), F.lit("\n")).alias("text"))
     return long.withColumn("plan", planned("text")).select("id", "text", "plan.boundary", "plan.pieces")
 
 

@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillstone.session import spread
+
 #: The vocabulary (ranks of byte pairs) and the pattern that belongs to it.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -110,7 +112,7 @@ def token_totals(docs: DataFrame, by: list[str], vocabulary: str = VOCABULARY) -
             p = batch["piece"]
             yield pa.RecordBatch.from_pydict({"piece": p, "tokens": pa.array([len(enc.encode_ordinary(x)) for x in p.to_pylist()], pa.int64())})
 
-    freq = docs.select(*by, "text").mapInArrow(frequencies, f"{schema}, piece string, n long").repartition("piece").groupBy("piece", *by).agg(F.sum("n").alias("n"))
+    freq = spread(docs.select(*by, "text")).mapInArrow(frequencies, f"{schema}, piece string, n long").repartition("piece").groupBy("piece", *by).agg(F.sum("n").alias("n"))
     length = freq.select("piece").distinct().mapInArrow(lengths, "piece string, tokens long")
     totals = freq.join(length, "piece").groupBy(*by).agg(F.sum(F.col("n") * F.col("tokens")).alias("tokens"), F.sum("n").alias("pieces"))
     counts = docs.groupBy(*by).agg(F.count(F.lit(1)).alias("documents"), F.coalesce(F.sum(F.length("text")), F.lit(0)).cast("long").alias("characters"))
