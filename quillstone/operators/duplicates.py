@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.operators.graph import connected_components
+from quillstone.operators.ordering import ordered_digest, rank_in_bucket
 from quillstone.operators.records import edges_to_first
 from quillstone.operators.similarity import prefixes, shared_needed, similar_pairs, sizes_fit, verify
 from quillstone.staging import stage, stage_bucketed
@@ -59,8 +60,10 @@ def record_groups(records: DataFrame, aliases: DataFrame | None = None, t: float
 def group_identity(members: DataFrame) -> DataFrame:
     """(root, group_id, members, seen) of ``members`` (id, root, body_sha256, seen): the id is a hash of the sorted member hashes, copies kept.
 
-    Each distinct hash goes in with its count, so a family of copies adds one entry; ``seen`` if any member was.
+    Each distinct hash goes in with its count, so a family of copies adds one entry; entries are digested in order by chunks, so
+    no group is gathered. ``seen`` if any member was.
     """
-    counted = members.groupBy("root", "body_sha256").agg(F.count(F.lit(1)).alias("n"), F.max("seen").alias("seen"))
-    entry = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("body_sha256", "n"))), lambda x: F.concat(x["body_sha256"], F.lit(":"), x["n"].cast("string"))), "|")
-    return counted.groupBy("root").agg(F.sha2(entry, 256).alias("group_id"), F.sum("n").alias("members"), F.max("seen").alias("seen"))
+    counted = stage(members.groupBy("root", "body_sha256").agg(F.count(F.lit(1)).alias("n"), F.max("seen").alias("seen"))).frame
+    digest = ordered_digest(rank_in_bucket(counted.drop("seen"), "root", ["body_sha256"]), "root", "rn", F.concat("body_sha256", F.lit(":"), F.col("n").cast("string")))
+    totals = counted.groupBy("root").agg(F.sum("n").alias("members"), F.max("seen").alias("seen"))
+    return totals.join(digest.select("root", F.col("digest").alias("group_id")), "root").select("root", "group_id", "members", "seen")

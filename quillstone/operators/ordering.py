@@ -39,6 +39,38 @@ def _numbered(schema: t.StructType) -> t.StructType:
     return t.StructType([*schema.fields, t.StructField("__part", t.IntegerType()), t.StructField("__at", t.LongType())])
 
 
+def running_totals(df: DataFrame, bucket: str, order: list[Column], values: list[str]) -> DataFrame:
+    """``df`` with ``<value>_upto`` for each of the long columns ``values``: their sums over the bucket's rows up to this one.
+
+    ``order`` must tell a bucket's rows apart. As in ``with_ordinal``, a bucket may span any number of partitions: these add up their own
+    rows as they stream, and what lies before them comes from a table with a row per partition and bucket it touches.
+    """
+    schema = t.StructType([*df.schema.fields, t.StructField("__part", t.IntegerType()), *[t.StructField(f"__{v}", t.LongType()) for v in values]])
+    ranged = df.repartitionByRange(F.col(bucket), *order).sortWithinPartitions(F.col(bucket), *order).withColumn("__part", F.spark_partition_id())
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = {}
+        for b in batches:
+            keys = b[bucket].to_pylist()
+            starts = [i for i, k in enumerate(keys) if not i or k != keys[i - 1]]
+            for v in values:
+                x = np.asarray(b[v].to_numpy(zero_copy_only=False), dtype=np.int64)
+                out = np.empty(len(x), np.int64)
+                for s, e in zip(starts, [*starts[1:], len(keys)]):
+                    before = held.get(v, (None, 0))
+                    out[s:e] = np.cumsum(x[s:e]) + (before[1] if before[0] == (keys[s],) else 0)
+                    held[v] = (keys[s],), int(out[e - 1])
+                b = b.append_column(f"__{v}", pa.array(out))
+            yield b
+
+    summed = stage(ranged.mapInArrow(add_up, schema)).frame
+    parts = summed.groupBy("__part", F.col(bucket).alias("__bucket")).agg(*[F.sum(v).alias(v) for v in values])
+    w = Window.partitionBy("__bucket").orderBy("__part")
+    before = parts.select(F.col("__part").alias("__p"), "__bucket", *[(F.sum(v).over(w) - F.col(v)).alias(f"__before_{v}") for v in values])
+    joined = summed.join(before, (F.col("__part") == F.col("__p")) & F.col(bucket).eqNullSafe(F.col("__bucket")))
+    return joined.select(*df.columns, *[(F.col(f"__{v}") + F.col(f"__before_{v}")).alias(f"{v}_upto") for v in values])
+
+
 def rank_in_bucket(df: DataFrame, bucket: str, order: list[str], name: str = "rn") -> DataFrame:
     """Positions (from 1) within each value of ``bucket``, by ``order``; any bucket may hold most rows."""
     placed = with_ordinal(df, [bucket, *order], "__ordinal")

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.operators.metrics import scored
+from quillstone.operators.ordering import running_totals
 from quillstone.staging import stage
 
 NEVER = 1.000001
@@ -16,12 +17,10 @@ SKIP_SHARES = (0.1, 0.2, 0.3)
 def cut_points(df: DataFrame, by: str = "model") -> DataFrame:
     """Per distinct p0: how many rows and how many of them need review are skipped at that threshold; ties move together.
 
-    Rows are folded to distinct (p0, routine or not) before the window, so it runs over distinct values.
+    Rows are folded to distinct values of p0 first, and these added up in order over any number of tasks.
     """
-    data = scored(df).where("p1 < 0.5")
-    steps = data.groupBy(by, "p0").agg(F.count(F.lit(1)).alias("n"), F.sum("truth").alias("m"))
-    w = Window.partitionBy(by).orderBy(F.desc("p0")).rowsBetween(Window.unboundedPreceding, 0)
-    return steps.select(by, F.col("p0").alias("threshold"), F.sum("n").over(w).alias("skipped"), F.sum("m").over(w).alias("missed"))
+    steps = scored(df).where("p1 < 0.5").groupBy(by, "p0").agg(F.count(F.lit(1)).alias("skipped"), F.sum("truth").alias("missed"))
+    return running_totals(steps, by, [F.desc("p0")], ["skipped", "missed"]).select(by, F.col("p0").alias("threshold"), F.col("skipped_upto").alias("skipped"), F.col("missed_upto").alias("missed"))
 
 
 def fit_policies(df: DataFrame, by: str = "model") -> DataFrame:

@@ -223,8 +223,8 @@ def components(spark, d):
     return _groups(spark, d)
 
 
-@query(f"""{_GROUPS}, c AS (SELECT root, h, count(*) AS n, max(coalesce(m.train, 0)) AS seen FROM roots JOIN rec ON rec.record_id = roots.id LEFT JOIN (SELECT record_id, max(CASE WHEN cohort = 'train' THEN 1 ELSE 0 END) AS train FROM cohort_membership GROUP BY 1) m ON m.record_id = id WHERE h IS NOT NULL GROUP BY root, h)
- SELECT root, sha256(string_agg(h || ':' || n, '|' ORDER BY h)) AS group_id, sum(n)::BIGINT AS members, max(seen) = 1 AS seen FROM c GROUP BY root""")
+@query(f"""{_GROUPS}, c AS (SELECT root, h, count(*) AS n, max(coalesce(m.train, 0)) AS seen FROM roots JOIN rec ON rec.record_id = roots.id LEFT JOIN (SELECT record_id, max(CASE WHEN cohort = 'train' THEN 1 ELSE 0 END) AS train FROM cohort_membership GROUP BY 1) m ON m.record_id = id WHERE h IS NOT NULL GROUP BY root, h), o AS (SELECT *, (row_number() OVER (PARTITION BY root ORDER BY h) - 1) // 4096 AS k FROM c),
+ p AS (SELECT root, k, sha256(string_agg(h || ':' || n, chr(10) ORDER BY h)) AS d, sum(n) AS n, max(seen) AS seen FROM o GROUP BY root, k) SELECT root, sha256(string_agg(d, chr(10) ORDER BY k)) AS group_id, sum(n)::BIGINT AS members, max(seen) = 1 AS seen FROM p GROUP BY root""")
 def group_id_seen(spark, d):
     train = members(spark, d).where("cohort = 'train'").select(F.col("record_id").alias("id"), F.lit(True).alias("seen"))
     r = records(spark, d).where("body_sha256 is not null").select(F.col("record_id").alias("id"), "body_sha256").join(_groups(spark, d), "id").join(train, "id", "left").withColumn("seen", F.coalesce("seen", F.lit(False)))

@@ -9,6 +9,7 @@ from quillstone.functions import vectors as V
 from quillstone.operators import bootstrap as B
 from quillstone.operators import discovery, features, metrics, policies
 from quillstone.operators import records as R
+from quillstone.operators.ordering import rank_in_bucket, running_totals
 from quillstone.plans.registry import REC, Registry, table
 from quillstone.staging import stage
 
@@ -219,8 +220,8 @@ def ledger_retries(spark, d):
 
 @query("SELECT request_id, total <= 0.02 AS admitted FROM (SELECT request_id, sum(round(coalesce(charged, reserved) * 1e9)) OVER (PARTITION BY rubric ORDER BY request_id) / 1e9 AS total FROM label_requests)")
 def ledger_admission(spark, d):
-    x = table(spark, d, "label_requests").select("request_id", "rubric", F.round(F.coalesce("charged", "reserved") * 1e9).alias("nano"))
-    return R.running(x, "rubric", ["request_id"], "nano", "total").select("request_id", (F.col("total") / 1e9 <= 0.02).alias("admitted"))
+    x = table(spark, d, "label_requests").select("request_id", "rubric", F.round(F.coalesce("charged", "reserved", F.lit(0.0)) * 1e9).cast("long").alias("nano"))
+    return running_totals(x, "rubric", [F.col("request_id")], ["nano"]).select("request_id", (F.col("nano_upto") / 1e9 <= 0.02).alias("admitted"))
 
 
 @query("SELECT model, round(quantile_cont(uncertainty, 0.5), 6) AS p50, round(quantile_cont(uncertainty, 0.95), 6) AS p95, round(avg(uncertainty), 6) AS mean, max(uncertainty) AS highest FROM prediction_rows GROUP BY model")
@@ -394,8 +395,6 @@ def matched_controls(spark, d):
 
 @query(f"WITH {PRED}, n AS (SELECT model, body_sha256, truth, guess, row_number() OVER (PARTITION BY model ORDER BY body_sha256) AS k FROM pred), s AS (SELECT * FROM n JOIN (VALUES (20), (40), (80), (160)) v(size) ON k <= size), c AS (SELECT model, size, {_CELLS} FROM s GROUP BY 1, 2) SELECT model, size, round({_F1}, 6) AS macro_f1 FROM c")
 def learning_curve(spark, d):
-    from quillstone.operators.ordering import rank_in_bucket
-
     n = rank_in_bucket(metrics.scored(predictions(spark, d)).select("model", "body_sha256", "truth", "guess"), "model", ["body_sha256"], "k")
     sizes = spark.createDataFrame([(20,), (40,), (80,), (160,)], "size int")
     c = n.join(F.broadcast(sizes), F.col("k") <= F.col("size")).groupBy("model", "size").agg(*metrics.cells())

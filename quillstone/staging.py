@@ -9,22 +9,32 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _ROOTS: dict[str, str] = {}
+_TABLES: list[str] = []
 
 
 def staging_root(spark: SparkSession) -> str:
     """The application's folder below ``spark.checkpoint.dir``; a local one only where that is unset."""
     app = spark.sparkContext.applicationId
     if app not in _ROOTS:
-        base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+        base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
         if not base:
             if not spark.sparkContext.master.startswith("local"):
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             base = "file://" + tempfile.mkdtemp(prefix="quillstone-")
         _ROOTS[app] = f"{base.rstrip('/')}/quillstone-{app}"
-        atexit.register(_remove, spark, _ROOTS[app])
+        atexit.register(_end, spark, _ROOTS[app])
     return _ROOTS[app]
 
 
+def _end(spark: SparkSession, path: str) -> None:
+    try:
+        while _TABLES:
+            spark.sql(f"DROP TABLE IF EXISTS {_TABLES.pop()}")
+    except Exception:  # the session may be gone when the interpreter ends
+        pass
+    _remove(spark, path)
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark.sparkContext._jvm
@@ -60,6 +70,7 @@ class Buckets(Stage):
         self.name, self.key, self.part = f"quillstone_{uuid.uuid4().hex}", key, part
         self.buckets = min(100_000, int(spark.conf.get("spark.sql.shuffle.partitions")))
         self.path = f"{staging_root(spark)}/{self.name}"
+        _TABLES.append(self.name)
         self.add(df)
 
     def add(self, df: DataFrame) -> None:
