@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from quillstone.operators.graph import connected_components
 from quillstone.operators.similarity import prefixes, shared_needed, sizes_fit, verify
 from quillstone.operators.sketch import count_sketch
+from quillstone.operators.skew import skew_join
 from quillstone.staging import Buckets, stage
 
 BLOCK = 64
@@ -33,9 +34,9 @@ def near_duplicate_groups(docs: DataFrame, t: float = 0.8, k: int = 5) -> DataFr
     an empty table gives an empty result. Other columns of ``docs`` are ignored.
     """
     p = prefixes(docs, t, k)
-    classes = p.members.groupBy("class_id").agg(F.min("id").alias("rep"), F.first("min_hash").alias("min_hash"), F.first("sig").alias("sig"))
+    classes = p.members.groupBy("class_id").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("min_hash").alias("min_hash"), F.first("sig").alias("sig"))
     families = classes.groupBy("min_hash").agg(F.count(F.lit(1)).alias("n"), F.min_by(F.struct("class_id", "rep", "sig"), "class_id").alias("leader"))
-    placed = stage(classes.join(families, "min_hash").select("class_id", "rep", "min_hash", "sig", "n", "leader"))
+    placed = stage(classes.join(families, "min_hash").select("class_id", "rep", "copies", "min_hash", "sig", "n", "leader"))
 
     # Families beyond a block: which members are similar to their leader?
     agree = sum(((F.shiftrightunsigned(F.col("sig").bitwiseXOR(F.col("leader.sig")), 15 * i).bitwiseAND(F.lit(0x7FFF))) == 0).cast("int") for i in range(4))
@@ -71,11 +72,14 @@ def near_duplicate_groups(docs: DataFrame, t: float = 0.8, k: int = 5) -> DataFr
     pairs.drop()
     roots = connected_components(links.frame)
     degree = links.frame.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("links"))
-    by_class = reps.join(roots, reps["rep"] == roots["node"], "left").join(degree, "rep", "left").select("class_id", F.col("rep").alias("copy_of"), F.coalesce("root", "rep").alias("group_id"), F.coalesce("links", F.lit(0)).alias("links"))
-    return p.members.select("id", "class_id").join(by_class, "class_id").select("id", F.col("copy_of").alias("class_id"), "group_id", "links")
+    named_classes = placed.frame.select("class_id", "rep", "copies")
+    by_class = named_classes.join(roots, F.col("rep") == F.col("node"), "left").join(degree, "rep", "left").select("class_id", F.col("rep").alias("copy_of"), "copies", F.coalesce("root", "rep").alias("group_id"), F.coalesce("links", F.lit(0)).alias("links"))
+    joined = skew_join(p.members.select("id", "class_id"), stage(by_class).frame, "class_id", "copies")
+    return joined.select("id", F.col("copy_of").alias("class_id"), "group_id", "links")
 
 
 def groups_of_two(found: DataFrame) -> DataFrame:
     """Members of groups with at least two documents."""
-    sizes = found.groupBy("group_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("group_id")
-    return found.join(sizes, "group_id")
+    found = stage(found).frame
+    sizes = found.groupBy("group_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return skew_join(found, sizes, "group_id", "n")
