@@ -2,7 +2,8 @@
 
 Documents with equal word-run sets are one class. Classes with the same minimum hash form groups of at
 most ``BLOCK``; a larger family of edited copies is first held against its smallest member, and those that
-prove similar to it form groups that need not look at each other again. The matrix has a cell for
+prove similar to it form groups that need not look at each other again; nor do those of leaders that are linked, and
+others that look alike are held against the leader before any group of its family is opened. The matrix has a cell for
 each prefix run and group: the group's token union, with the members that hold the run. A query
 class meets a group only in that matrix; the number of its runs in the union bounds what it
 can share with any member, and only groups that reach the bound are opened.
@@ -15,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.operators.graph import connected_components
-from quillstone.operators.similarity import prefixes, shared_needed, sizes_fit, verify
+from quillstone.operators.similarity import id_filter, prefixes, shared_needed, sizes_fit, verify
 from quillstone.operators.sketch import count_sketch
 from quillstone.operators.skew import skew_join
 from quillstone.staging import Buckets, stage
@@ -30,7 +31,7 @@ def near_duplicate_groups(docs: DataFrame, t: float = 0.8, k: int = 5) -> DataFr
 
     ``class_id`` is the smallest id with the same set of word runs, ``group_id`` the smallest id that is
     linked by similarities of at least ``t``, also through others, and ``links`` the number of other classes
-    whose similarity to this one was established. Texts that are null or without words are one class;
+    whose similarity to this one was established (in families above ``BLOCK`` not all are tried, and leaders count as linked to their head). Texts that are null or without words are one class;
     an empty table gives an empty result. Other columns of ``docs`` are ignored.
     """
     p = prefixes(docs, t, k)
@@ -42,33 +43,36 @@ def near_duplicate_groups(docs: DataFrame, t: float = 0.8, k: int = 5) -> DataFr
     agree = sum(((F.shiftrightunsigned(F.col("sig").bitwiseXOR(F.col("leader.sig")), 15 * i).bitwiseAND(F.lit(0x7FFF))) == 0).cast("int") for i in range(4))
     star = placed.frame.where((F.col("n") > BLOCK) & (F.col("class_id") != F.col("leader.class_id")) & (agree >= 3))
     proven = stage(verify(star.select(F.col("leader.rep").alias("a"), F.col("rep").alias("b")), docs, t, k))
-    settled = proven.frame.select(F.col("b").alias("rep"), F.col("a").alias("lead")).union(proven.frame.select("a", "a").distinct())
+    # A leader with fewer followers than a block saves nothing; its links stand all the same.
+    heads = _heads(proven.frame.groupBy(F.col("a").alias("id")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= BLOCK).select("id"), docs, t, k)
+    settled = proven.frame.join(heads, "a").select(F.col("b").alias("rep"), F.col("head").alias("lead")).union(heads.select("a", "head"))
 
     held = stage(placed.frame.where(F.col("n") > BLOCK).join(settled, "rep").select("class_id", "lead")).frame
     sketch = count_sketch(classes.select("min_hash"), lambda b: iter([b["min_hash"].to_numpy().view(np.uint64)]), FAMILY_BITS)
     shared = p.postings(docs.sparkSession.sparkContext.broadcast(sketch), BLOCK)
     # part 0: rows of small families; 1: of large ones as they come; 2: these with their leaders
     part = F.when(F.col("large"), 1).otherwise(0).alias("part")
-    table = Buckets(shared.select("token", "class_id", "size", "family", F.lit(None).cast("long").alias("lead"), part), "token", "part")
+    table = Buckets(shared.dropDuplicates(["token", "class_id"]).select("token", "class_id", "size", "family", F.lit(None).cast("long").alias("lead"), part), "token", "part")
     led = table.frame.where("part = 1").drop("lead").join(held, "class_id", "left")
     table.add(led.select("token", "class_id", "size", "family", "lead", F.lit(2).alias("part")))
-    cells = table.frame.where("part in (0, 2)").select("token", "class_id", "size", "family", "lead").distinct()
+    cells = table.frame.where("part in (0, 2)").select("token", "class_id", "size", "family", "lead")
     leads = cells.groupBy("token").agg(F.min("lead").alias("lo"), F.max("lead").alias("hi"))
     queries = cells.join(leads, "token").where("lead is null or lo < hi").select("token", F.col("class_id").alias("q"), F.col("size").alias("q_size"), F.col("lead").alias("q_lead"))
     matrix = cells.groupBy("token", "family", "lead").agg(F.collect_list(F.struct("class_id", "size")).alias("held"))
-    one_sided = F.col("q_lead").isNull() & F.col("lead").isNotNull()
     peers = (F.col("q_lead").isNull() == F.col("lead").isNull()) & ((F.col("q_lead") != F.col("lead")) | F.col("lead").isNull())
-    met = queries.join(matrix, "token").where(one_sided | peers)
-    met = met.withColumn("held", F.filter("held", lambda m: ((m["class_id"] < F.col("q")) | F.col("lead").isNotNull() & F.col("q_lead").isNull()) & sizes_fit(m["size"], F.col("q_size"), t))).where(F.size("held") > 0)
-    met = met.withColumn("bound", F.array_min(F.transform("held", lambda m: shared_needed(m["size"], F.col("q_size"), t))))
-    opened = met.groupBy("q", "q_size", "family", "lead").agg(F.count(F.lit(1)).alias("overlap"), F.min("bound").alias("bound"), F.flatten(F.collect_list("held")).alias("held")).where("overlap >= bound")
+    opened = _opened(queries.join(matrix, "token").where(peers), t, smaller_only=True)
+    reps = placed.frame.select("class_id", "rep")
+    known = proven.frame.select("a", "b").union(heads.where("a <> head").select("head", "a"))
+    if not held.isEmpty():
+        asked, adopted = _adopt(cells, reps, docs, t, k)
+        known = known.union(adopted)
+        opened = opened.union(_opened(asked.join(matrix.where("lead is not null"), ["token", "lead"]), t, smaller_only=False))
     counted = opened.select("q", "q_size", F.explode("held").alias("m")).groupBy("q", "q_size", "m").count()
     candidates = counted.where(F.col("count") >= shared_needed(F.col("m.size"), F.col("q_size"), t)).select("q", F.col("m.class_id").alias("m"))
 
-    reps = placed.frame.select("class_id", "rep")
     named = candidates.join(reps.select(F.col("class_id").alias("q"), F.col("rep").alias("a")), "q").join(reps.select(F.col("class_id").alias("m"), F.col("rep").alias("b")), "m")
     pairs = stage(named.select("a", "b"))
-    links = stage(verify(pairs.frame, docs, t, k).select("a", "b").union(proven.frame.select("a", "b")).distinct())
+    links = stage(verify(pairs.frame, docs, t, k).select("a", "b").union(known).distinct())
     pairs.drop()
     roots = connected_components(links.frame)
     degree = links.frame.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("links"))
@@ -78,6 +82,43 @@ def near_duplicate_groups(docs: DataFrame, t: float = 0.8, k: int = 5) -> DataFr
     return joined.select("id", F.col("copy_of").alias("class_id"), "group_id", "links")
 
 
+def _heads(leaders: DataFrame, docs: DataFrame, t: float, k: int) -> DataFrame:
+    """(a, head) for each leader: the smallest leader that it is linked to among the leaders, found as for all documents."""
+    leaders = stage(leaders).frame
+    if leaders.count() < 2:
+        return leaders.select(F.col("id").alias("a"), F.col("id").alias("head"))
+    texts = stage(id_filter(docs.select("id", "text"), leaders).join(leaders, "id", "left_semi")).frame
+    return stage(near_duplicate_groups(texts, t, k).select(F.col("id").alias("a"), F.col("group_id").alias("head"))).frame
+
+
+def _opened(met: DataFrame, t: float, smaller_only: bool) -> DataFrame:
+    """Of the cells that queries meet, the groups that reach the bound, with the members held: q, q_size, held."""
+    fits = lambda m: sizes_fit(m["size"], F.col("q_size"), t)
+    held = F.filter("held", (lambda m: (m["class_id"] < F.col("q")) & fits(m)) if smaller_only else fits)
+    met = met.withColumn("held", held).where(F.size("held") > 0)
+    met = met.withColumn("bound", F.array_min(F.transform("held", lambda m: shared_needed(m["size"], F.col("q_size"), t))))
+    groups = met.groupBy("q", "q_size", "family", "lead").agg(F.count(F.lit(1)).alias("overlap"), F.min("bound").alias("bound"), F.flatten(F.collect_list("held")).alias("held"))
+    return groups.where("overlap >= bound").select("q", "q_size", "held")
+
+
+def _adopt(cells: DataFrame, reps: DataFrame, docs: DataFrame, t: float, k: int) -> tuple[DataFrame, DataFrame]:
+    """Queries without a leader against families with one, as a whole first.
+
+    Where the overlap with the family's union reaches the bound, the query is held against the leader: if similar it is linked (a, b)
+    and done with that family. The others (token, q, q_size, lead) must have its groups opened.
+    """
+    free = cells.where("lead is null").select("token", F.col("class_id").alias("q"), F.col("size").alias("q_size"))
+    tied = cells.where("lead is not null")
+    span = tied.groupBy("lead").agg(F.min("size").alias("lo"), F.max("size").alias("hi"))
+    touch = free.join(tied.select("token", "lead").distinct(), "token").groupBy("q", "q_size", "lead").agg(F.count(F.lit(1)).alias("overlap")).join(span, "lead")
+    lo, hi = F.greatest(F.col("lo"), F.ceil(F.lit(t) * F.col("q_size") - F.lit(1e-9))), F.least(F.col("hi"), F.floor(F.col("q_size") / F.lit(t) + F.lit(1e-9)))
+    least = F.least(shared_needed(lo, F.col("q_size"), t), shared_needed(hi, F.col("q_size"), t))
+    near = stage(touch.where((lo <= hi) & (F.col("overlap") >= least)).join(reps.select(F.col("class_id").alias("q"), "rep"), "q").select("q", "rep", "lead")).frame
+    adopted = stage(verify(near.select(F.col("lead").alias("a"), F.col("rep").alias("b")), docs, t, k).select("a", "b")).frame
+    left = near.join(adopted, (F.col("lead") == F.col("a")) & (F.col("rep") == F.col("b")), "left_anti").select("q", "lead")
+    return free.join(left, "q").select("token", "lead", "q", "q_size"), adopted
+
+
 def groups_of_two(found: DataFrame) -> DataFrame:
     """Members of groups with at least two documents."""
     found = stage(found).frame
