@@ -111,3 +111,9 @@ def containers(packed: DataFrame) -> DataFrame:
     item = F.struct("doc_id", "part", "start", "end", "tokens")
     rows = packed.groupBy("container_id", "capacity").agg(F.sum("tokens").alias("tokens"), F.array_sort(F.collect_list(item)).alias("items"))
     return rows.select("container_id", "capacity", "tokens", (F.col("capacity") - F.col("tokens")).alias("unused"), "items")
+
+
+def packed_texts(docs: DataFrame, packed: DataFrame) -> DataFrame:
+    """``packed`` with the text of each part. ``docs`` (id, text) must have unique ids here; the texts are shuffled once, by id."""
+    part = F.substring(F.col("text"), F.col("start") + 1, F.col("end") - F.col("start"))
+    return packed.join(docs.select(F.col("id").alias("doc_id"), "text"), "doc_id").select("container_id", "capacity", "doc_id", "part", "tokens", part.alias("text"))

@@ -12,7 +12,7 @@ from quillstone.llm.lines import repeated_lines, without_repeated_lines
 from quillstone.llm.mixing import mixture
 from quillstone.llm.neardup import groups_of_two, near_duplicate_groups
 from quillstone.llm.pii import personal_information, redact
-from quillstone.llm.packing import containers, pack
+from quillstone.llm.packing import containers, pack, packed_texts
 from quillstone.llm.splits import assign_splits, related_groups
 from quillstone.llm.splitting import plan_pieces, split_oversized
 from quillstone.llm.tokens import token_totals, tokens_of
@@ -126,6 +126,11 @@ def p8_containers(spark: SparkSession, d: str) -> DataFrame:
     return containers(pack(_documents(spark, d)))
 
 
+def p8_packed_texts(spark: SparkSession, d: str) -> DataFrame:
+    docs = _documents(spark, d)
+    return packed_texts(docs, pack(docs))
+
+
 def p8_fill(spark: SparkSession, d: str) -> DataFrame:
     rows = containers(pack(_documents(spark, d)))
     return rows.groupBy("capacity").agg(F.count(F.lit(1)).alias("containers"), F.sum("tokens").alias("tokens"), F.sum("unused").alias("unused"))
