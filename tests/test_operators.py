@@ -100,6 +100,18 @@ def test_ordinals_and_round_robin(spark):
     assert ordering.with_ordinal(df.limit(0), ["x"]).count() == 0
 
 
+def test_running_totals_over_many_partitions(spark):
+    rng = random.Random(8)
+    rows = [(rng.choice(["a", "b", None, "hot", "hot", "hot"]), i, rng.randrange(50)) for i in range(2000)]
+    df = spark.createDataFrame(rows, "bucket string, k int, v long")
+    got = {r["k"]: r["v_upto"] for r in ordering.running_totals(df, "bucket", [F.desc("k")], ["v"]).collect()}
+    held, want = {}, {}
+    for b, k, v in sorted(rows, key=lambda r: -r[1]):
+        held[b] = want[k] = held.get(b, 0) + v
+    assert got == want
+    assert ordering.running_totals(df.limit(0), "bucket", [F.col("k")], ["v"]).count() == 0
+
+
 def test_whole_groups_is_the_first_exact_choice(spark):
     rng = random.Random(5)
     for _ in range(6):
