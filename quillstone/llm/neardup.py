@@ -12,7 +12,7 @@ can share with any member, and only groups that reach the bound are opened.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.operators.graph import connected_components
@@ -101,6 +101,14 @@ def _opened(met: DataFrame, t: float, smaller_only: bool) -> DataFrame:
     return groups.where("overlap >= bound").select("q", "q_size", "held")
 
 
+def least_shared(lo: Column, hi: Column, size: Column, t: float) -> Column:
+    """At most the least that ``shared_needed`` asks of a set of ``size`` runs and any of ``lo`` to ``hi`` runs.
+
+    Up to ``size`` it grows with the other's size; beyond, it falls but for its ceilings, and so may lie one below its value at ``hi``.
+    """
+    return F.greatest(F.least(shared_needed(lo, size, t), shared_needed(hi, size, t)) - F.lit(1), F.lit(1))
+
+
 def _adopt(cells: DataFrame, reps: DataFrame, docs: DataFrame, t: float, k: int) -> tuple[DataFrame, DataFrame]:
     """Queries without a leader against families with one, as a whole first.
 
@@ -112,8 +120,7 @@ def _adopt(cells: DataFrame, reps: DataFrame, docs: DataFrame, t: float, k: int)
     span = tied.groupBy("lead").agg(F.min("size").alias("lo"), F.max("size").alias("hi"))
     touch = free.join(tied.select("token", "lead").distinct(), "token").groupBy("q", "q_size", "lead").agg(F.count(F.lit(1)).alias("overlap")).join(span, "lead")
     lo, hi = F.greatest(F.col("lo"), F.ceil(F.lit(t) * F.col("q_size") - F.lit(1e-9))), F.least(F.col("hi"), F.floor(F.col("q_size") / F.lit(t) + F.lit(1e-9)))
-    least = F.least(shared_needed(lo, F.col("q_size"), t), shared_needed(hi, F.col("q_size"), t))
-    near = stage(touch.where((lo <= hi) & (F.col("overlap") >= least)).join(reps.select(F.col("class_id").alias("q"), "rep"), "q").select("q", "rep", "lead")).frame
+    near = stage(touch.where((lo <= hi) & (F.col("overlap") >= least_shared(lo, hi, F.col("q_size"), t))).join(reps.select(F.col("class_id").alias("q"), "rep"), "q").select("q", "rep", "lead")).frame
     adopted = stage(verify(near.select(F.col("lead").alias("a"), F.col("rep").alias("b")), docs, t, k).select("a", "b")).frame
     left = near.join(adopted, (F.col("lead") == F.col("a")) & (F.col("rep") == F.col("b")), "left_anti").select("q", "lead")
     return free.join(left, "q").select("token", "lead", "q", "q_size"), adopted

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from quillstone.functions.shingling import shingle_set
 from quillstone.llm import boilerplate, contamination, lines, mixing, neardup, packing, pii, splits, splitting, tokens
+from quillstone.operators.similarity import shared_needed
 
 
 def roots(pairs, nodes):
@@ -133,6 +134,26 @@ def test_near_duplicate_groups_equal_brute_force(spark, monkeypatch):
     assert neardup.near_duplicate_groups(docs.limit(0)).count() == 0
 
 
+def test_families_of_leaders_are_bounded_by_all_their_sizes(spark):
+    sizes = spark.range(20, 141, 3).select(F.col("id").alias("q"))
+    spans = sizes.crossJoin(spark.range(16, 176, 5).select(F.col("id").alias("lo"))).crossJoin(spark.range(16, 176, 3).select(F.col("id").alias("hi"))).where("lo <= hi and lo >= 0.8 * q and 0.8 * hi <= q")
+    every = F.array_min(F.transform(F.sequence("lo", "hi"), lambda m: shared_needed(m, F.col("q"), 0.8)))
+    tried = spans.select(neardup.least_shared(F.col("lo"), F.col("hi"), F.col("q"), 0.8).alias("bound"), every.alias("least"))
+    assert tried.count() > 1000 and tried.where("bound > least or bound < 1 or bound < least - 1").isEmpty()
+
+
+def test_member_between_the_sizes_of_its_family_is_asked(spark):
+    # 100 and 109 runs are similar from 93 on, with as few as 6 of them in both prefixes; 110 runs need 7.
+    tied = [(100 + i, 10 + n, n, 5, 10) for i, n in enumerate((95, 109, 110))] + [(i, 119, 109, 5, 10) for i in range(6)]
+    free = [(i, 1, 100, 6, None) for i in range(6)]
+    cells = spark.createDataFrame(tied + free, "token long, class_id long, size int, family long, lead long")
+    reps = spark.createDataFrame([(1, 1), (10, 10)], "class_id long, rep long")
+    docs = spark.createDataFrame([(1, "one two three four five six"), (10, "ten words that are not at all like those")], "id long, text string")
+    asked, adopted = neardup._adopt(cells, reps, docs, 0.8, 5)
+    assert adopted.isEmpty()
+    assert {(r.token, r.q, r.lead) for r in asked.collect()} == {(i, 1, 10) for i in range(6)}
+
+
 def test_cross_split_pairs_equal_brute_force(spark):
     rng = random.Random(8)
     texts = [*corpus(rng, 25, 4), "same Text here, today and now", "SAME text here today -- and now!", "a b", "A, b"]
