@@ -3,7 +3,9 @@
 The tree is page, block (lines without a blank one between), line. A line has a link density: how much of it
 is menu, prompt or notice. It passes points for length and commas, less its link density, to its block and half of
 them to the page. The block with most points is the main container. Its lines and those of its siblings stay
-unless they are links themselves, or stand in a sibling that is a list of links.
+unless they are links themselves, or stand in a sibling that is a list of links: listed wording makes a line a link
+for certain (density 1), a short capitalised line that is no sentence is one by shape (density ``BY_SHAPE``), which counts
+only where such lines fill a sibling with few points.
 """
 
 from __future__ import annotations
@@ -55,6 +57,9 @@ _SENTENCE = re.compile(r"[.!?;:,]$|[.!?] [A-Z]")
 _SITE_WORDS = tuple(w + e for w in ("wire", "bulletin", "gazette", "review", "institute", "authority", "office", "news", "online") for e in ("", "."))
 _SITE_END = re.compile(rf"[+›:|–·,/]\s*{_SITE}\.?$|\bon {_SITE}$", re.I)
 
+#: Link density of a line that only looks like a link, and the share of the main container's points below which a sibling of such lines goes.
+BY_SHAPE, LOW = 0.6, 0.2
+
 
 @dataclass
 class _Line:
@@ -62,8 +67,13 @@ class _Line:
     density: float = 0.0
     title: bool = False
 
+    def lean(self) -> float:
+        """The density with the line's shape taken in."""
+        shaped = self.title and len(self.text) <= 60 and self.text[0].isupper() and not self.text.isupper() and not any(c.isdigit() for c in self.text)
+        return max(self.density, BY_SHAPE if shaped else 0.0)
+
     def points(self) -> float:
-        return (1 + self.text.count(",") + min(len(self.text) / 100, 3)) * (1 - self.density)
+        return (1 + self.text.count(",") + min(len(self.text) / 100, 3)) * (1 - self.lean())
 
 
 def _short_item(s: str) -> bool:
@@ -124,7 +134,8 @@ def own_lines(text: str) -> list[bool]:
             else:
                 blocks.append([i])
     headline = True  # the page's first title is its headline wherever it stands
-    for block in blocks:
+    titled = -1  # and its block
+    for k, block in enumerate(blocks):
         listing = False
         for n, i in enumerate(block):
             x = lines[i]
@@ -136,7 +147,7 @@ def own_lines(text: str) -> list[bool]:
                 continue
             if x.text and not _BULLET.match(x.text) and not _TABLE.search(x.text):
                 if x.title and headline and not _short_item(x.text):
-                    headline = False
+                    headline, titled = False, k if headline else titled
                 if not x.title or not _short_item(x.text):
                     listing = False
         _menu_runs([lines[i] for i in block])
@@ -147,8 +158,11 @@ def own_lines(text: str) -> list[bool]:
     for k, b in enumerate(blocks):
         linked = sum(len(lines[i].text) * lines[i].density for i in b) / sum(len(lines[i].text) for i in b)
         listing = k != best and linked > 0.9 and score[k] < 0.05 * page
+        lean = sum(len(lines[i].text) * lines[i].lean() for i in b) / sum(len(lines[i].text) for i in b)
+        shaped = sum(lines[i].density < 0.5 <= lines[i].lean() for i in b)  # one or two are headings
+        poor = k not in (best, titled) and shaped > 2 and lean >= 0.5 and score[k] < LOW * score[best]
         for i in b:
-            keep[i] = lines[i].density < 0.5 and not (listing and _short_item(lines[i].text))
+            keep[i] = lines[i].density < 0.5 and not (listing and _short_item(lines[i].text)) and not (poor and lines[i].lean() >= 0.5)
     return keep
 
 

@@ -245,6 +245,16 @@ def test_boilerplate_around_a_page(spark):
     assert boilerplate.boilerplate_lines(pages.limit(0)).count() == 0
 
 
+def test_poor_sibling_of_unlisted_links_goes_by_its_points():
+    own = "The board said on Monday, after a long debate, that it would raise the requirement, and that members, banks and funds had been told, " * 3
+    side = ["Harvest prospects for northern growers", "Roads closed around the old harbour", "Evening concerts in the town hall", "Walks along the restored canal"]
+    page = ["Changes to the reserve requirement in Northport", "", own + "as planned.", "", *side, "", "Background to the decision of the board", "", "It takes effect in May."]
+    assert [x for x, keep in zip(page, boilerplate.own_lines("\n".join(page))) if not keep] == side
+    few = [*page[:4], *side[:2], *page[8:]]
+    assert all(boilerplate.own_lines("\n".join(few)))  # headings
+    assert all(boilerplate.own_lines("\n".join(["Changes to the reserve requirement in Northport", "", *side, "", "It takes effect in May."])))  # the container itself
+
+
 # 8
 
 
