@@ -56,7 +56,7 @@ def class_weights(labels: DataFrame, power: float = 1.0) -> DataFrame:
     return raw.join(F.broadcast(mean)).select("label", "n", (F.col("raw") / F.col("mean")).alias("weight"))
 
 
-def logistic_grid(train: DataFrame, selection: DataFrame, grid: tuple[float, ...] = (0.01, 1.0, 100.0), balanced: tuple[bool, ...] = (False, True), max_iter: int = 200) -> DataFrame:
+def logistic_grid(train: DataFrame, selection: DataFrame, grid: tuple[float, ...] = (0.001, 0.01, 0.1, 1.0, 10.0, 30.0, 100.0), balanced: tuple[bool, ...] = (False, True), max_iter: int = 2000) -> DataFrame:
     """(trial, c, balanced, iterations, converged, macro_f1) of L2 logistic fits on array column x and label y (0 or 1).
 
     Inverse strength c over n rows is MLlib's regParam 1 / (c n). The best trial is the converged one with the highest macro F1 on

@@ -1,6 +1,7 @@
 """Core operators against plain versions on small and awkward inputs."""
 
 import gzip
+import inspect
 import itertools
 import json
 import math
@@ -226,6 +227,15 @@ def test_features_of_empty_and_short_texts(spark):
     assert [r["term"] for r in features.vocabulary(grams, 4).collect()] == ["ab"]
 
 
+def test_grid_of_linear_models_is_whole(spark):
+    rng = random.Random(8)
+    rows = [([rng.gauss(y, 1), rng.gauss(0, 1)], y) for y in (0, 1, 0) for _ in range(20)]
+    df = spark.createDataFrame(rows, "x array<double>, y int")
+    got = features.logistic_grid(df, df).collect()
+    assert [(r["c"], r["balanced"]) for r in got] == [(c, b) for c in (0.001, 0.01, 0.1, 1.0, 10.0, 30.0, 100.0) for b in (False, True)]
+    assert inspect.signature(features.logistic_grid).parameters["max_iter"].default == 2000 and all(r["converged"] for r in got)
+
+
 def test_json_lines_keep_their_separators(spark, tmp_path):
     rows = [{"document_id": "a", "body": "x y", "llm": {"label": "routine", "uncertainty": 0.1}}, {"document_id": "b", "body": "z", "llm": {"label": "routine"}}]
     path = tmp_path / "r.jsonl"
