@@ -19,6 +19,7 @@ from quillstone.operators import records as R
 from quillstone.operators.graph import connected_components
 from quillstone.operators.similarity import prefix_length, similar_pairs
 from quillstone.operators.skew import skew_join
+from quillstone.plans import catalogue
 from quillstone.sources import paged
 from quillstone.sources import records as files
 from quillstone.streaming.ingest import ingest, windowed_counts
@@ -191,6 +192,11 @@ def test_bootstrap_plans_agree(spark):
     assert a == b
 
 
+def test_whole_intervals_rest_on_all_replicates(spark, sf_dir):
+    got = catalogue.QUERIES["bootstrap_intervals_whole"](spark, sf_dir).collect()
+    assert got and all(r["replicates"] == 2000 for r in got)
+
+
 def test_subdivision_covers_every_day_once(spark):
     rng = random.Random(6)
     days = [(f"2024-{m:02d}-{d:02d}", rng.randrange(1, 9)) for m in (1, 2) for d in range(1, 29)] + [("2024-02-29", 50)]
