@@ -269,10 +269,35 @@ def nested_subsets(spark, d):
     return _robin(spark, d).join(F.broadcast(sizes), F.col("ordinal") <= F.col("size")).select("record_id", "size")
 
 
+def _composition(subsets: DataFrame, spark, d) -> DataFrame:
+    r = records(spark, d).select("record_id", "src", F.length("body").alias("n"), F.coalesce("human.label", "llm.label").alias("label"))
+    return subsets.join(r, "record_id").groupBy("size").agg(F.count(F.lit(1)).alias("n"), F.sum("n").alias("characters"), F.count_distinct("src").alias("sources"), F.count_if(F.col("label") == "review_worthy").alias("review_worthy"))
+
+
 @query(f"{_BUCKET} SELECT size, count(*) AS n, sum(length(body))::BIGINT AS characters, count(DISTINCT src) AS sources, count(*) FILTER (WHERE coalesce(human.label, llm.label) = 'review_worthy') AS review_worthy FROM t JOIN (VALUES (50), (100), (400)) s(size) ON ordinal <= size JOIN rec USING (record_id) GROUP BY size")
 def subset_composition(spark, d):
-    r = records(spark, d).select("record_id", "src", F.length("body").alias("n"), F.coalesce("human.label", "llm.label").alias("label"))
-    return nested_subsets(spark, d).join(r, "record_id").groupBy("size").agg(F.count(F.lit(1)).alias("n"), F.sum("n").alias("characters"), F.count_distinct("src").alias("sources"), F.count_if(F.col("label") == "review_worthy").alias("review_worthy"))
+    return _composition(nested_subsets(spark, d), spark, d)
+
+
+#: The subsets of the full job: 4,000, 16,000 and all rows, none above the count. The two queries before keep the sizes that their SQL fixes.
+ALL_SIZES = (4000, 16000)
+
+
+def _all_sizes(name: str) -> str:
+    of = "(SELECT v.size FROM (VALUES (4000), (16000)) v(size) WHERE v.size < (SELECT count(*) FROM t) UNION ALL SELECT count(*) FROM t) s"
+    return corpus.sql[name].replace("(VALUES (50), (100), (400)) s(size)", of)
+
+
+@query(_all_sizes("nested_subsets"))
+def nested_subsets_whole(spark, d):
+    rows = table(spark, d, "filing_records").count()
+    sizes = spark.createDataFrame([(n,) for n in (*(n for n in ALL_SIZES if n < rows), rows)], "size long")
+    return _robin(spark, d).join(F.broadcast(sizes), F.col("ordinal") <= F.col("size")).select("record_id", "size")
+
+
+@query(_all_sizes("subset_composition"))
+def subset_composition_whole(spark, d):
+    return _composition(nested_subsets_whole(spark, d), spark, d)
 
 
 @query(f"""WITH {REC}, m AS (SELECT DISTINCT record_id, cohort FROM cohort_membership), o AS (SELECT cohort, h || ':' || coalesce(human.label, llm.label, '') AS t, row_number() OVER (PARTITION BY cohort ORDER BY h, record_id) AS rn FROM rec JOIN m USING (record_id) WHERE h IS NOT NULL),

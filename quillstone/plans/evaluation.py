@@ -10,6 +10,7 @@ from quillstone.operators import bootstrap as B
 from quillstone.operators import discovery, features, metrics, policies
 from quillstone.operators import records as R
 from quillstone.operators.ordering import rank_in_bucket, running_totals
+from quillstone.plans.corpus import ALL_SIZES
 from quillstone.plans.registry import REC, Registry, table
 from quillstone.staging import stage
 
@@ -436,6 +437,20 @@ def learning_curve(spark, d):
     return metrics.class_scores(c).select("model", "size", *r6("macro_f1"))
 
 
+_OF = "(SELECT m.model, v.size FROM (SELECT model, count(*) AS n FROM pred GROUP BY model) m JOIN (VALUES (4000), (16000)) v(size) ON v.size < m.n UNION ALL SELECT model, count(*) FROM pred GROUP BY model) v"
+
+
+@query(evaluation.sql["learning_curve"].replace("SELECT * FROM n JOIN (VALUES (20), (40), (80), (160)) v(size) ON k <= size", f"SELECT n.*, v.size FROM n JOIN {_OF} ON n.model = v.model AND k <= v.size"))
+def learning_curve_whole(spark, d):
+    """At 4,000, 16,000 and all of a model's rows; ``learning_curve`` keeps the sizes that its SQL fixes."""
+    p = metrics.scored(predictions(spark, d)).select("model", "body_sha256", "truth", "guess")
+    n = rank_in_bucket(p, "model", ["body_sha256"], "k")
+    known = F.array(*[F.lit(x).cast("long") for x in ALL_SIZES])
+    sizes = p.groupBy("model").agg(F.count(F.lit(1)).alias("rows")).select("model", F.explode(F.concat(F.filter(known, lambda x: x < F.col("rows")), F.array("rows"))).alias("size"))
+    c = n.join(F.broadcast(sizes), "model").where("k <= size").groupBy("model", "size").agg(*metrics.cells())
+    return metrics.class_scores(c).select("model", "size", *r6("macro_f1"))
+
+
 @query(f"WITH {PRED}, s AS (SELECT model, family, {_CELLS} FROM pred GROUP BY 1, 2) SELECT model, family, (2 * tp / nullif(2.0 * tp + fp + fn, 0)) IS NULL AS undefined, coalesce(printf('%.1f%%', 100.0 * (tn + tp) / nullif(tn + fp + fn + tp, 0)), '--') AS accuracy FROM s")
 def formatted_scores(spark, d):
     s = metrics.scored(predictions(spark, d)).groupBy("model", "family").agg(*metrics.cells())

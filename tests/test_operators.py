@@ -197,6 +197,15 @@ def test_whole_intervals_rest_on_all_replicates(spark, sf_dir):
     assert got and all(r["replicates"] == 2000 for r in got)
 
 
+def test_whole_subsets_hold_every_row(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/filing_records.parquet").count()
+    got = {r["size"]: r["n"] for r in catalogue.QUERIES["subset_composition_whole"](spark, sf_dir).collect()}
+    assert got == {n: n for n in {min(4000, rows), min(16000, rows), rows}}
+    scored = {r["model"]: r["n"] for r in catalogue.QUERIES["prediction_rows"](spark, sf_dir).groupBy("model").agg(F.count(F.lit(1)).alias("n")).collect()}
+    curve = catalogue.QUERIES["learning_curve_whole"](spark, sf_dir).groupBy("model").agg(F.max("size").alias("n")).collect()
+    assert scored and {r["model"]: r["n"] for r in curve} == scored
+
+
 def test_subdivision_covers_every_day_once(spark):
     rng = random.Random(6)
     days = [(f"2024-{m:02d}-{d:02d}", rng.randrange(1, 9)) for m in (1, 2) for d in range(1, 29)] + [("2024-02-29", 50)]
