@@ -429,6 +429,16 @@ def matched_controls(spark, d):
     return held.groupBy("model", "task_id", F.lit(True).alias("control"), "body_sha256").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("SELECT model, family, document_type, task_id, body_sha256, first_value(task_id) OVER k AS control_task_id, first_value(body_sha256) OVER k AS control_body_sha256 FROM prediction_rows WINDOW k AS (PARTITION BY model, family, document_type ORDER BY scored_at NULLS LAST, task_id NULLS LAST, body_sha256 NULLS LAST)")
+def matched_controls_whole(spark, d):
+    """Every row with the one control of its kind, the first scored; ``matched_controls`` keeps the controls alone, as its SQL does."""
+    p = table(spark, d, "prediction_rows").select("model", "family", "document_type", "task_id", "body_sha256", "scored_at")
+    kind, order = ["model", "family", "document_type"], F.struct(*[x for c in ("scored_at", "task_id", "body_sha256") for x in (F.col(c).isNull(), F.col(c))])
+    first = p.groupBy(*kind).agg(F.min_by(F.struct("task_id", "body_sha256"), order).alias("c")).select(*[F.col(k).alias(f"k_{k}") for k in kind], "c")
+    same = [F.col(k).eqNullSafe(F.col(f"k_{k}")) for k in kind]
+    return p.join(F.broadcast(first), same).select(*kind, "task_id", "body_sha256", F.col("c.task_id").alias("control_task_id"), F.col("c.body_sha256").alias("control_body_sha256"))
+
+
 @query(f"WITH {PRED}, n AS (SELECT model, body_sha256, truth, guess, row_number() OVER (PARTITION BY model ORDER BY body_sha256) AS k FROM pred), s AS (SELECT * FROM n JOIN (VALUES (20), (40), (80), (160)) v(size) ON k <= size), c AS (SELECT model, size, {_CELLS} FROM s GROUP BY 1, 2) SELECT model, size, round({_F1}, 6) AS macro_f1 FROM c")
 def learning_curve(spark, d):
     n = rank_in_bucket(metrics.scored(predictions(spark, d)).select("model", "body_sha256", "truth", "guess"), "model", ["body_sha256"], "k")

@@ -206,6 +206,13 @@ def test_whole_subsets_hold_every_row(spark, sf_dir):
     assert scored and {r["model"]: r["n"] for r in curve} == scored
 
 
+def test_every_row_has_one_control_of_its_kind(spark, tmp_path):
+    rows = [("m", "f", None, "t2", "b2", 1), ("m", "f", None, "t1", "b1", 1), ("m", "f", None, "t3", "b3", 2), ("m", "f", "d", "t4", "b4", 3), ("n", None, "d", "t5", "b5", None)]
+    spark.createDataFrame(rows, "model string, family string, document_type string, task_id string, body_sha256 string, scored_at long").write.parquet(f"{tmp_path}/prediction_rows.parquet")
+    got = {r["task_id"]: (r["control_task_id"], r["control_body_sha256"]) for r in catalogue.QUERIES["matched_controls_whole"](spark, str(tmp_path)).collect()}
+    assert got == {"t1": ("t1", "b1"), "t2": ("t1", "b1"), "t3": ("t1", "b1"), "t4": ("t4", "b4"), "t5": ("t5", "b5")}
+
+
 def test_subdivision_covers_every_day_once(spark):
     rng = random.Random(6)
     days = [(f"2024-{m:02d}-{d:02d}", rng.randrange(1, 9)) for m in (1, 2) for d in range(1, 29)] + [("2024-02-29", 50)]
