@@ -90,7 +90,7 @@ _NUMBER = re.compile(
     rf"|[A-Z]{{1,3}}{_D}[A-Z0-9]*\d[A-Z0-9]*(?:{_D}[A-Z0-9]*\d[A-Z0-9]*)*|\d(?:{_D}\d){{5,14}}{_D}[A-Z]?(?!\w)", re.A,
 )
 _DIGITS = re.compile(r"[+(]?\d(?:[ \xa0./()–-]{0,3}\d){6,}")
-_BARE = re.compile(r"(?<![\w.,-])(?:\d{8}-?[A-Z]|\d{2}\.\d{3}\.\d{3}-?[A-Z]|[12]( ?)\d{2}\1\d{2}\1\d{2}\1\d{3}\1\d{3}\1\d{2})(?![\w-])", re.A)
+_BARE = re.compile(r"(?<![\w.,-])(?:\d{8}-?[A-Z]|\d{2}\.\d{3}\.\d{3}-?[A-Z]|[12]( ?)\d{2}\1\d{2}\1\d{2}\1\d{3}\1\d{3}\1\d{2}|[1-9]\d( ?)\d{3}\2\d{3}\2\d{3})(?![\w-])", re.A)
 
 _TYPE = r"(?:street|st\b\.?|road|rd\b\.?|avenue|ave\b\.?|lane|ln\b\.?|drive|dr\b\.?|court|ct\b\.?|way|terrace|parkway|pkwy\b\.?|boulevard|blvd\b\.?|close|crescent|square|row|hill|gardens|grove|walk|mews|highway|hwy\b\.?|circle|place|pl\b\.?|plaza)"
 _UNIT = r"(?:(?:flat|apartment|apt\.?|unit|suite|room|floor|ste\.?)\s#?\d{1,5}[a-z]?,?\s+)"
@@ -167,6 +167,21 @@ def nir_key(number: str) -> bool:
     return len(digits) == 15 and 97 - int(digits[:13]) % 97 == int(digits[13:])
 
 
+def tax_id(number: str) -> bool:
+    """Whether the last digit of a German tax number is its check by mod 11, 10, and one digit alone comes twice or three times in the ten before."""
+    digits = re.sub(r"\D", "", number)
+    if len(digits) != 11 or digits[0] == "0" or sorted(n for d in set(digits[:10]) if (n := digits[:10].count(d)) > 1) not in ([2], [3]):
+        return False
+    product = 10
+    for d in digits[:10]:
+        product = ((int(d) + product) % 10 or 10) * 2 % 11
+    return (11 - product) % 10 == int(digits[10])
+
+
+def _confirmed(number: str) -> bool:
+    return dni_letter(number) or nir_key(number) or tax_id(number)
+
+
 def luhn(number: str) -> bool:
     digits = [int(c) for c in re.sub(r"\D", "", number)][::-1]
     return sum(d if i % 2 == 0 else d * 2 - 9 * (d > 4) for i, d in enumerate(digits)) % 10 == 0
@@ -245,7 +260,7 @@ def _proposals(text: str):
             yield m.start(), m.end(), "phone", score
         for m in _BARE.finditer(text, a, min(len(text), b + 3)):
             s = m.group()
-            yield m.start(), m.end(), "id_number", 0.6 if dni_letter(s) or nir_key(s) else 0.2
+            yield m.start(), m.end(), "id_number", 0.6 if _confirmed(s) else 0.2
     for last, (size, wordy, kinds) in _hints().iter(_lower(text)):
         i, j = last - size + 1, last + 1
         if wordy and j < len(text) and (text[j].isalnum() or text[j] == "_"):
@@ -256,7 +271,7 @@ def _proposals(text: str):
                 label = _LABEL.match(text, j)
                 n = label and _NUMBER.match(text, label.end())
                 if n and sum(c.isdigit() for c in n.group()) >= 6:
-                    yield n.start(), n.end(), "id_number", 0.9
+                    yield n.start(), n.end(), "id_number", 0.95 if _confirmed(n.group()) else 0.9
             elif kind == "cue" and not inside:
                 yield from _cued(text, j)
             elif kind == 3 or kind in (0, 1, 2) and not inside:

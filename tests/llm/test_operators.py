@@ -333,6 +333,13 @@ def test_checksums():
     assert pii.luhn("4539 1488 0343 6467") and not pii.luhn("4539 1488 0343 6468")
 
 
+def test_tax_numbers_stand_by_their_check():
+    assert pii.tax_id("86 095 742 719") and not pii.tax_id("86 095 742 718") and not pii.tax_id("11 111 111 111")
+    assert pii.find_spans("Angegeben war 86095742719, dazu 86095742718.") == [(14, 25, "id_number")]
+    assert [s[3] for s in pii._proposals("Steuer-ID: 86 095 742 719") if s[2] == "id_number"] == [0.6, 0.95]
+    assert [s[3] for s in pii._proposals("Steuer-ID: 86 095 742 718") if s[2] == "id_number"] == [0.2, 0.9]
+
+
 def test_redaction_leaves_the_rest(spark):
     text = "Mail a@b.example now. Call Rosa Kelm on 01632 960158."
     docs = spark.createDataFrame([(1, text, None), (2, None, None), (3, "", None), (4, "nothing here", None)], "id long, text string, spans string")
