@@ -35,6 +35,12 @@ def _hash(s: str) -> int:
     return xxhash.xxh64_intdigest(s) - (1 << 63) or 1
 
 
+def leaf_of(line: str) -> int:
+    """The leaf of a line's template, 0 where it has none."""
+    s = template(line)
+    return 0 if s is None else _hash(s)
+
+
 def _nodes(s: str) -> tuple[int, int]:
     """The tree node above the leaf, and the leaf."""
     head = s.split(" ", 2)[:2]

@@ -99,7 +99,7 @@ def p5_clean(spark: SparkSession, d: str) -> DataFrame:
 
 def _pages(spark: SparkSession, d: str) -> DataFrame:
     f = table(spark, d, "filing_records").where((source_of() != "sec") & F.col("url").isNotNull())
-    return f.select(F.col("record_id").alias("id"), F.col("body").alias("text"))
+    return f.select(F.col("record_id").alias("id"), source_of().alias("source"), F.col("body").alias("text"))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:

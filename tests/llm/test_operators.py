@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from quillstone.functions.shingling import shingle_set
 from quillstone.llm import boilerplate, contamination, lines, mixing, neardup, packing, pii, splits, splitting, tokens
 from quillstone.operators.similarity import shared_needed
+from tests.llm.held_out_pages import LATER, PAGES, cases
 
 
 def roots(pairs, nodes):
@@ -255,6 +256,34 @@ def test_poor_sibling_of_unlisted_links_goes_by_its_points():
     assert all(boilerplate.own_lines("\n".join(["Changes to the reserve requirement in Northport", "", *side, "", "It takes effect in May."])))  # the container itself
 
 
+def test_pages_in_wording_never_seen():
+    for pages in (PAGES, LATER):
+        found = wrong = missed = 0
+        for lines, want in cases(pages):
+            got = {i for i, own in enumerate(boilerplate.own_lines("\n".join(lines))) if not own}
+            found, wrong, missed = found + len(got & want), wrong + len(got - want), missed + len(want - got)
+        assert wrong <= 0.05 * (found + wrong) and missed <= (0.05 if pages is PAGES else 0.15) * (found + missed)
+
+
+def test_points_decide(monkeypatch):
+    lines, around = next(cases())
+    signs = boilerplate._signs
+    monkeypatch.setattr(boilerplate, "_signs", lambda x: (signs(x)[0], 0.0, signs(x)[2]))
+    assert {i for i, own in enumerate(boilerplate.own_lines("\n".join(lines))) if not own} != around
+
+
+def test_lines_that_a_site_repeats_count_against_them_joined_or_broadcast(spark, monkeypatch):
+    text = "Headline of item {0} in full\n\nThe first sentence of item {0} says, after some thought, what happened.\nQuarterly letter of the house"
+    words = ["alder", "birch", "cedar", "elm", "fir", "gorse", "hazel", "ivy", "juniper", "larch", "maple", "oak", "pine", "rowan"]
+    rows = [(i, "a" if i < 12 else None if i == 12 else "b", text.format(w)) for i, w in enumerate(words)]
+    pages = spark.createDataFrame(rows, "id long, source string, text string")
+    want = {(i, 4) for i in range(12)}
+    assert {tuple(r) for r in boilerplate.boilerplate_lines(pages).collect()} >= want
+    first = sorted(map(tuple, boilerplate.marked_lines(pages).collect()), key=str)
+    monkeypatch.setattr(boilerplate, "BROADCAST_TEMPLATES", 0)
+    assert sorted(map(tuple, boilerplate.marked_lines(pages).collect()), key=str) == first
+
+
 # 8
 
 
