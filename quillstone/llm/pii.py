@@ -1,8 +1,15 @@
 """Personal information in free text: emails, phone numbers, identity numbers, street addresses and names.
 
-Patterns propose spans; labels and words around them and checksums (letter of the Spanish document, mod 97 of the French
-social security number, mod 11 of the German tax number, Luhn against card numbers) raise or lower a span's score;
-spans that reach the threshold are taken, the surer kind first, and do not overlap.
+Patterns propose spans with a score; checksums and the words around them raise or lower it; spans that reach the threshold
+are taken, the surer kind first, and do not overlap.
+
+Checksums: a Spanish document number whose letter is wrong is none, labelled or not; a French social security number (mod 97) or German
+tax number (mod 11) without a label counts only if its check holds, and with a weak label too; what Luhn's sum confirms as a card number or
+mod 97 as a bank account is neither a phone nor an identity number; a number whose parts are never given out (area 000 or 666, group 00,
+serial 0000, one digit throughout) is no social security number. A strong label outweighs a failing check of the French and German numbers, as people mistype them.
+
+Names are told by shape (two to four capitalised words that are no firm's, place's or office's) and context: titles, verbs of speech,
+roles, signatures and contact details before or behind. A list of common given names is one more sign, not a condition.
 """
 
 from __future__ import annotations
@@ -17,6 +24,8 @@ from quillstone.session import spread
 
 KINDS = ("email", "phone", "id_number", "address", "name")
 THRESHOLD = 0.5
+#: What a name's shape, a listed given name, a cue before it, one that is weak, and a word behind it add to its score.
+SHAPE, LISTED, CUE, WEAK_CUE, BEHIND = 0.3, 0.5, 0.35, 0.2, 0.3
 
 # Common given names of the languages at hand.
 _GIVEN = """
@@ -51,15 +60,28 @@ _MIDDLE = re.compile(rf"(?:-{_ONE})*(?:{_SP}{_INITIAL}(?!\w))*")
 _LONE = re.compile(r"[A-ZÀ-ÖØ-Þ]\.")
 _INITIALS = re.compile(rf"(?P<i>{_INITIAL}{{1,4}})(?P<s>{_SURNAME})")
 _MORE_INITIALS = re.compile(rf"[A-Z]\.(?:(?:{_SP})?[A-Z]\.)*(?=[\s,.;)]|$)")
-_CUE = (
-    r"(?:(?:\bMrs?|\bMs|\bMiss|\bDr|\bProf|\bSir|\bSra?|\bMe|\bHr|\bFr)\.?|\bM\.|\bD\.|\bD\.ª|\bMme|\bMlle|\bDon|\bDoña|\bFrau|\bHerrn?|\bMadame|\bMonsieur|/s/|\bgez\.|\b[Ss]igned by|\bsaid|\baccording to|\bAccording to|\bquestions call|\bname of|\braised with|\bform names|"
-    r"\b[Hh]olders?|\bShareholder|\b[Cc]ontact ?:|\bContact presse ?:|\bContacto ?:|\bPressekontakt ?:|\bAnsprechpartner ?:|\bSelon|\bLaut|\bSegún|\bInhaber(?:in)?|\bFirmado ?:|\bSigné ?:|\bUnterzeichnet ?:|\bcall|\bemployee|\bsalarié|\btitulaire|\btitular)"
-)
-_CUE_END = re.compile(_CUE + rf"(?:{_SP})?$")
-_CUED = re.compile(rf"{_SP}(?:(?:Mr|Mrs|Ms|Dr|Mme|M|D|Prof|Frau|Herr)\.?{_SP})?(?P<n>{_WORD}(?:{_SP}{_INITIAL})*{_SP}{_SURNAME}|{_SURNAME},{_SP}{_WORD})(?!{_SP}(?:&|{_FIRM}\b))")
-# Words that a name follows.
-_CUES = ("mr.", "mrs.", "ms.", "mr", "mrs", "ms", "dr.", "prof.", "m.", "d.", "mme", "mlle", "don", "doña", "sr.", "sra.", "frau", "herr", "herrn", "madame", "monsieur", "/s/", "gez.", "signed by", "said", "according to", "questions call", "name of", "raised with", "form names", "holder",
-         "shareholder", "contact:", "contact presse :", "contacto:", "pressekontakt:", "selon", "laut", "según", "inhaber", "inhaberin", "firmado:", "signé :", "unterzeichnet:")
+# Words before a name: titles, speech, signatures, contacts, holders, roles; and words that make one likely.
+_TITLES = ("mr.", "mrs.", "ms.", "mr", "mrs", "ms", "miss", "dr.", "dr", "prof.", "professor", "sir", "dame", "rev.", "m.", "d.", "mme", "mlle", "don", "doña", "sr.", "sra.", "señor", "señora", "frau", "herr", "herrn", "madame", "monsieur", "maître")
+_CUES = _TITLES + (
+    "said", "says", "told", "asked", "thanked", "according to", "selon", "laut", "según", "/s/", "gez.", "signed by", "signed:", "signé :", "signé par", "firmado:", "firmado por", "unterzeichnet:", "sincerely,", "regards,", "prepared by", "written by", "reviewed by", "approved by", "appointed", "elected",
+    "contact:", "contact", "contacts:", "attn:", "attention:", "c/o", "enquiries:", "ask for", "speak to", "write to", "call", "contact presse :", "contacto:", "pressekontakt:", "ansprechpartner:", "ansprechpartnerin:", "name:", "name of", "named", "names", "nom :", "nombre:", "holder", "shareholder", "employee", "beneficiary",
+    "claimant", "witness", "applicant", "tenant", "patient", "owner", "colleague", "inhaber", "inhaberin", "titulaire", "salarié", "titular", "empleado", "chairman", "chairwoman", "chair", "president", "director", "secretary", "analyst", "spokesman", "spokeswoman", "spokesperson", "minister", "governor", "judge", "auditor", "notary", "lawyer",
+    "attorney", "manager", "executive", "officer", "editor", "geschäftsführer", "geschäftsführerin", "vorstand", "sprecher", "sprecherin", "directeur", "directrice", "président", "présidente", "portavoz", "directora",
+)
+_WEAK_CUES = ("with", "by", "between", "and", "from", "avec", "par", "mit", "von", "con", "por")
+# Words behind a name.
+_AFTER = ("said", "says", "told", "added", "wrote", "joined", "resigned", "abstained", "retired", "died", "left", "leads", "was appointed", "was elected", "was named", "has been", "will succeed", "succeeds", "who", "chief", "director", "chair", "chairman", "president", "head of", "managing", "analyst", "aged", "born", "tel.", "tel", "on +", "a démissionné", "a déclaré",
+          "directeur", "directrice", "demeurant", "dit", "dejó", "declaró", "dijo", "directora", "con domicilio", "nacido", "nacida", "verlässt", "erklärte", "sagte", "wohnhaft", "geboren", "vorstand", "geschäftsführer", "leiter", "leiterin", "né le", "née le")
+_PARTICLES = {"van", "von", "de", "del", "der", "den", "dem", "dos", "da", "di", "du", "la", "le", "las", "los", "el", "al", "bin", "ten", "ter", "zu"}
+_OFFICES = set("""office offices relations department board committee council ministry desk team service services press investor investors media public affairs customer customers general annual report management
+january february march april may june july august september october november december monday tuesday wednesday thursday friday saturday sunday north south east west united new saint bank central european federal national royal
+university institute agency authority commission court parliament union association society foundation school college hospital bulletin wire gazette review news online segment segments market markets house church museum international chief executive officer director financial main
+this that these those his her our their your we they i our one two three all each every no not after before when while if as since until once upon under over despite although however""".split())
+_CUE_END = re.compile(rf"(?:{'|'.join(re.escape(w) for w in sorted(_CUES, key=len, reverse=True))})(?:{_SP})?$", re.I)
+_GIVEN_SHAPE = rf"{_ONE}(?:-(?:{_ONE}|[a-z]{{2,}}))*"
+_SHAPED = re.compile(rf",?{_SP}(?:(?:Mr|Mrs|Ms|Dr|Mme|M|D|Prof|Frau|Herr)\.?{_SP})?(?P<n>{_GIVEN_SHAPE} {_WORD} {_WORD}(?=[,.;:)]|\s[a-z(]|\s*$)|{_GIVEN_SHAPE}(?:{_SP}{_INITIAL})*{_SP}{_SURNAME}|{_SURNAME},{_SP}{_WORD})(?![\w-]|{_SP}(?:&|{_FIRM}\b))")
+_SHAPED_BEFORE = re.compile(rf"(?<![\w.&'’-])(?P<n>{_GIVEN_SHAPE}(?: {_WORD}|(?:{_SP}{_INITIAL})*){_SP}{_SURNAME}|{_SURNAME},{_SP}{_WORD})(?:,|{_SP}\(|,?{_SP})$")
+_IN_TITLE = re.compile(rf"{_WORD}{_SP}$")
 _FOLLOWED_BY_FIRM = re.compile(rf"{_SP}(?:&|{_FIRM}\b)", re.I)
 
 _AT = r"(?:@|\s@\s|\s?[\[({]\s?at\s?[\])}]\s?|\sAT\s|&#64;)"
@@ -82,6 +104,8 @@ _NOT_PHONE = re.compile(r"(?:\b(?:no|nr|ref|file|order|series|cik|accession|invo
 # Words that label an identity number.
 _LABELS = ("social security", "national insurance", "national id", "identity", "taxpayer", "tax id", "tax number", "tax reference", "id on file", "passport", "driving licence", "ssn", "nino", "itin", "tin", "curité sociale", "curitã© sociale", "numéro fiscal", "carte d'identité",
            "passeport", "nir", "documento", "pasaporte", "seguridad social", "dni", "nie", "nif", "ausweisnummer", "ausweis", "reisepass", "reisepassnummer", "personalausweis", "steuer-id", "steuerid", "steuernummer", "sozialversicherungsnummer")
+#: Labels that leave room for doubt; a number behind them must not fail its check.
+_WEAK_LABELS = ("nir", "nif", "tin", "id on file", "documento", "identity")
 _LABEL = re.compile(r"(?:\s+(?:number|nummer|id|no|nr|n°|nº|n[uú]m(?:ero)?)\b)?\.?\s*(?:as|is|was|:|=|#|n°|nº)?\s*(?=[A-Z0-9])", re.I)
 _D = r"[ \xa0–-]?"
 _NUMBER = re.compile(
@@ -120,6 +144,10 @@ def _hints():
         found: dict[str, list] = {}
         for w in _CUES:
             found.setdefault(w, []).append("cue")
+        for w in _WEAK_CUES:
+            found.setdefault(w, []).append("weak")
+        for w in _AFTER:
+            found.setdefault(w, []).append("after")
         for w in _LABELS:
             found.setdefault(w, []).append("label")
         for k, words in _STREET_WORDS.items():
@@ -127,7 +155,7 @@ def _hints():
                 found.setdefault(w, []).append(k)
         a = ahocorasick.Automaton()
         for w, kinds in found.items():
-            a.add_word(w, (len(w), w[-1].isalpha(), tuple(kinds)))
+            a.add_word(w, (len(w), w[-1].isalpha(), tuple(kinds), w in _WEAK_LABELS))
         a.make_automaton()
         _WORDS.append(a)
     return _WORDS[0]
@@ -178,8 +206,41 @@ def tax_id(number: str) -> bool:
     return (11 - product) % 10 == int(digits[10])
 
 
-def _confirmed(number: str) -> bool:
-    return dni_letter(number) or nir_key(number) or tax_id(number)
+def given_out(number: str) -> bool:
+    """Whether the parts of an American social security number are such as are given out, or of an invented one: no area 000 or 666, group 00, serial 0000 or one digit throughout."""
+    d = re.sub(r"\D", "", number)
+    return not (d[:3] in ("000", "666") or d[3:5] == "00" or d[5:] == "0000" or len(set(d)) == 1)
+
+
+def iban(number: str) -> bool:
+    """Whether the check digits of a bank account number hold (mod 97)."""
+    s = re.sub(r"[\W_]", "", number).upper()
+    return 15 <= len(s) <= 34 and int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
+
+
+#: Forms of identity numbers that have a check, the check, and how much its failing takes from a labelled number's score.
+_CHECKS = (
+    (re.compile(r"\d{2}\.?\d{3}\.?\d{3}[ –-]?[A-Za-z]$"), "dni_letter", 0.5),
+    (re.compile(r"[12](?:[ \xa0–-]?\d){14}$"), "nir_key", 0.3),
+    (re.compile(r"\d{2}[ \xa0–-]?\d{3}[ \xa0–-]?\d{3}[ \xa0–-]?\d{3}$"), "tax_id", 0.3),
+    (re.compile(r"\d{3}[ \xa0–-]?\d{2}[ \xa0–-]?\d{4}$"), "given_out", 0.5),
+)
+_ACCOUNT = re.compile(r"[A-Z]{2}\d{2}(?:[ \xa0-]?[A-Z0-9]{1,4}){3,9}", re.A)
+
+
+def _check(number: str) -> tuple[bool, float]:
+    """Whether the number has a check that holds, and what one that fails costs."""
+    for form, name, cost in _CHECKS:
+        if form.match(number):
+            holds = globals()[name](number)
+            return holds and name != "given_out", 0.0 if holds else cost
+    return False, 0.0
+
+
+def _card(digits: str) -> bool:
+    """Whether a run of digits is a card number."""
+    d = re.sub(r"\D", "", digits)
+    return 13 <= len(d) <= 19 and d[0] in "3456" and luhn(d)
 
 
 def luhn(number: str) -> bool:
@@ -207,10 +268,10 @@ def _names(text: str):
             before = None
         if before and (not after or _CUE_END.search(text, max(0, before.start() - 40), before.start())):
             end = _MIDDLE.match(text, j).end()
-            yield before.start(), end, 0.9
+            yield before.start(), end, SHAPE + LISTED
         elif after:
             end = after.end()
-            yield i, end, 0.9
+            yield i, end, SHAPE + LISTED
     end = -1
     for lone in _LONE.finditer(text):
         at = lone.start()
@@ -227,6 +288,8 @@ def _names(text: str):
                 letters = letters[1:]
                 yield start, m.end(), 0.7
                 continue
+            if len(letters) == 1 and letters[0] in "MD" and re.match(rf"{_SP}(?:{_INITIAL}{_SP})?{_PARTICLE}{{0,3}}{_WORD}", text[m.end() : m.end() + 40]):  # a title before a full name
+                continue
             cued = len(letters) > 1 or _CUE_END.search(text, max(0, start - 40), start)
             yield start, m.end(), 0.7 if cued else 0.3
         elif at > 2 and text[at - 1].isspace():
@@ -238,11 +301,46 @@ def _names(text: str):
                     yield before.start(), end, 0.7
 
 
-def _cued(text: str, at: int):
-    m = _CUED.match(text, at)
-    if m and all(w.lower() not in _NO_SURNAME for w in re.split(rf"{_SP}|,", m["n"]) if w) and not _FOLLOWED_BY_FIRM.match(text, m.end("n")):
-        if not re.match(rf"{_SP}[A-Z]\w+{_SP}(?:Ltd|plc|Inc|LP|AG)", text[m.end("n") : m.end("n") + 40]):
-            yield m.start("n"), m.end("n"), "name", 0.6
+def _bearers(name: str) -> bool:
+    """Whether the words of a name, but for particles, are two at least and none of a firm or office."""
+    words = [w for w in re.split(rf"{_SP}|,", name) if w and w.lower() not in _PARTICLES]
+    return len(words) > 1 and not any(w.lower() in _NO_SURNAME or w.lower() in _OFFICES or re.fullmatch(_FIRM, w, re.I) for w in words)
+
+
+def _person(text: str, m: re.Match) -> bool:
+    """Whether a shape that fits a name is none of a firm, place or office."""
+    return _bearers(m["n"]) and not _FOLLOWED_BY_FIRM.match(text, m.end("n")) and not re.match(rf"{_SP}[A-Z]\w+{_SP}(?:Ltd|plc|Inc|LP|AG|SA|NV|Corp)\b", text[m.end("n") : m.end("n") + 40])
+
+
+def _cued(text: str, at: int, weak: bool):
+    m = _SHAPED.match(text, at)
+    if m and _person(text, m) and not (weak and not re.match(r"[.,;)]|\s[a-z(]|\s*$", text[m.end("n") : m.end("n") + 2])):
+        yield m.start("n"), m.end("n"), "name", SHAPE + (WEAK_CUE if weak else CUE)
+
+
+def _followed(text: str, at: int):
+    """Names right before ``at``, where a word that follows names begins."""
+    m = _SHAPED_BEFORE.search(text, max(0, at - 70), at)
+    if m and _person_before(text, m):
+        yield m.start("n"), m.end("n"), "name", SHAPE + BEHIND
+
+
+def _person_before(text: str, m: re.Match) -> bool:
+    if _IN_TITLE.search(text, max(0, m.start() - 30), m.start()) and not _CUE_END.search(text, max(0, m.start() - 40), m.start()):
+        return False
+    return _bearers(m["n"])
+
+
+def _account(text: str, at: int) -> tuple[int, int] | None:
+    """The bank account number that stands at ``at`` or begins up to four characters before, if its check holds."""
+    for begin in {at, at - 2, at - 4}:
+        m = _ACCOUNT.match(text, begin) if begin >= 0 else None
+        while m and not iban(m.group()):  # a shorter one may hold
+            cut = max(m.group().rfind(c) for c in " \xa0-")
+            m = _ACCOUNT.fullmatch(text, begin, begin + cut) if cut > 0 else None
+        if m:
+            return m.span()
+    return None
 
 
 def _proposals(text: str):
@@ -251,17 +349,19 @@ def _proposals(text: str):
             yield m.start(), m.end(), "email", 0.95
     for run in _DIGITS.finditer(text):
         a, b = run.span()
+        if text[a] not in "+(0" and _card(run.group()):
+            continue
         for m in _PHONE.finditer(text, a, min(len(text), b + 6)):
             s, score = m.group(), 0.8
             if _NOT_PHONE.search(text, max(0, m.start() - 14), m.start()):
                 score -= 0.5
-            if sum(c.isdigit() for c in s) >= 13 and luhn(s) and s[0] not in "+0":
+            if b - a > 14 and (account := _account(text, a)) and account[0] < m.end() and m.start() < account[1]:
                 score -= 0.5
             yield m.start(), m.end(), "phone", score
         for m in _BARE.finditer(text, a, min(len(text), b + 3)):
             s = m.group()
-            yield m.start(), m.end(), "id_number", 0.6 if _confirmed(s) else 0.2
-    for last, (size, wordy, kinds) in _hints().iter(_lower(text)):
+            yield m.start(), m.end(), "id_number", 0.6 if _check(s)[0] else 0.2
+    for last, (size, wordy, kinds, doubtful) in _hints().iter(_lower(text)):
         i, j = last - size + 1, last + 1
         if wordy and j < len(text) and (text[j].isalnum() or text[j] == "_"):
             continue
@@ -270,10 +370,13 @@ def _proposals(text: str):
             if kind == "label" and not (inside and text[i].isascii() and text[i] != "c"):
                 label = _LABEL.match(text, j)
                 n = label and _NUMBER.match(text, label.end())
-                if n and sum(c.isdigit() for c in n.group()) >= 6:
-                    yield n.start(), n.end(), "id_number", 0.95 if _confirmed(n.group()) else 0.9
-            elif kind == "cue" and not inside:
-                yield from _cued(text, j)
+                if n and sum(c.isdigit() for c in n.group()) >= 6 and not _account(text, n.start()) and not _card(n.group()):
+                    holds, cost = _check(n.group())
+                    yield n.start(), n.end(), "id_number", 0.95 if holds else (0.7 if doubtful else 0.9) - cost
+            elif (kind == "cue" or kind == "weak" and text[i].islower()) and not inside:
+                yield from _cued(text, j, kind == "weak")
+            elif kind == "after" and not inside and i and text[i - 1] in " \xa0\n(":
+                yield from _followed(text, i)
             elif kind == 3 or kind in (0, 1, 2) and not inside:
                 for m in _STREET[kind].finditer(text, max(0, i - 80), min(len(text), j + 60)):
                     if m.start() <= i and j <= m.end() + 1:

@@ -14,6 +14,7 @@ from quillstone.functions.shingling import shingle_set
 from quillstone.llm import boilerplate, contamination, lines, mixing, neardup, packing, pii, splits, splitting, tokens
 from quillstone.operators.similarity import shared_needed
 from tests.llm.held_out_pages import LATER, PAGES, cases
+from tests.llm.unseen_names import NAMES, NOBODY
 
 
 def roots(pairs, nodes):
@@ -366,7 +367,42 @@ def test_tax_numbers_stand_by_their_check():
     assert pii.tax_id("86 095 742 719") and not pii.tax_id("86 095 742 718") and not pii.tax_id("11 111 111 111")
     assert pii.find_spans("Angegeben war 86095742719, dazu 86095742718.") == [(14, 25, "id_number")]
     assert [s[3] for s in pii._proposals("Steuer-ID: 86 095 742 719") if s[2] == "id_number"] == [0.6, 0.95]
-    assert [s[3] for s in pii._proposals("Steuer-ID: 86 095 742 718") if s[2] == "id_number"] == [0.2, 0.9]
+    assert [s[3] for s in pii._proposals("Steuer-ID: 86 095 742 718") if s[2] == "id_number"] == pytest.approx([0.2, 0.6])
+
+
+@pytest.mark.parametrize("check, text, number", [
+    ("dni_letter", "El titular, con documento {}.", "12345678Z"), ("dni_letter", "Entregado a {} ayer.", "12345678Z"), ("nir_key", "Le dossier {} est clos.", "255081416802538"), ("tax_id", "Die Zahl {} steht hier.", "86095742719"),
+    ("given_out", "SSN {} is on file.", "123-45-6789"),
+])
+def test_checks_decide(monkeypatch, check, text, number):
+    whole = text.format(number)
+    found = [(whole[a:b], k) for a, b, k in pii.find_spans(whole)]
+    assert found == [(number, "id_number")]
+    monkeypatch.setattr(pii, check, lambda _: False)
+    assert not [x for x in pii.find_spans(whole) if x[2] == "id_number"]
+
+
+@pytest.mark.parametrize("check, text", [("luhn", "The card 4111 1111 1111 1111 expires, passport 378282246310005."), ("iban", "Paid from tax id DE89 3704 0044 0532 0130 00 today.")])
+def test_accounts_and_cards_are_none(monkeypatch, check, text):
+    assert not pii.find_spans(text)
+    monkeypatch.setattr(pii, check, lambda _: False)
+    assert pii.find_spans(text)
+
+
+def test_numbers_with_failing_checks():
+    for text in ("DNI 12345678A", "SSN 999-99-9999", "SSN 000-12-3456", "SSN 666-12-3456", "SSN 123-00-4567", "nir 255081416802539", "nif 86095742710"):
+        assert not pii.find_spans(text), text
+    assert pii.find_spans("numéro de sécurité sociale 255081416802539") and pii.find_spans("Steuer-ID 86 095 742 710")  # mistyped, but there's no doubt about the label
+
+
+def test_names_never_seen():
+    found = 0
+    for line in NAMES.split("\n"):
+        text, name = line.split("|")
+        assert not any(name.split()[0] == g for g in pii._GIVEN)
+        found += [text[a:b] for a, b, k in pii.find_spans(text) if k == "name"] == [name]
+    assert found >= 0.9 * len(NAMES.split("\n"))
+    assert not [x for line in NOBODY.split("\n") for x in pii.find_spans(line)]
 
 
 def test_redaction_leaves_the_rest(spark):
