@@ -87,7 +87,7 @@ _FOLLOWED_BY_FIRM = re.compile(rf"{_SP}(?:&|{_FIRM}\b)", re.I)
 _AT = r"(?:@|\s@\s|\s?[\[({]\s?at\s?[\])}]\s?|\sAT\s|&#64;)"
 _DOT = r"(?:\.|\s?[\[({]\s?dot\s?[\])}]\s?|\sDOT\s)"
 _EMAIL = re.compile(rf"(?<![\w.+%-])[A-Za-z0-9](?:[\w.+%-]*[\w+%-])?{_AT}[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:{_DOT}[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)*{_DOT}[A-Za-z]{{2,24}}(?![\w-])", re.A)
-_EMAIL_HINT = re.compile(r"@|&#64;|[\[({]\s?at\s?[\])}]|\sAT\s")
+_BRACKETED_AT = re.compile(r"[\[({]\s?at\s?[\])}]")
 
 _S = r"[ \xa0./–-]"
 _PHONE = re.compile(
@@ -132,6 +132,9 @@ _STREET_WORDS = {
     3: ("straße", "strasse", "straãÿe", "str.", "weg", "platz", "allee", "gasse", "ring", "ufer", "damm", "chaussee", "steig"),
 }
 
+#: What counts as a blank before a word.
+_BLANKS = "\n\r\t\xa0(\"“„«[>"
+
 _AUTOMATON: list = []
 _WORDS: list = []
 
@@ -155,7 +158,11 @@ def _hints():
                 found.setdefault(w, []).append(k)
         a = ahocorasick.Automaton()
         for w, kinds in found.items():
-            a.add_word(w, (len(w), w[-1].isalpha(), tuple(kinds), w in _WEAK_LABELS))
+            free = 3 in kinds or "label" in kinds or not w[0].isalnum()  # may stand within a word
+            closed = w[-1].isalpha() and all(k in ("cue", "weak") for k in kinds)  # a blank follows
+            tails = (" ", ",") if closed else (" ", ".", ",", ";", ")", "<") if len(w) == 2 and not free else ("",)
+            for tail in tails:
+                a.add_word(" " * (not free) + w + tail, (len(w), len(tail), w[-1].isalpha(), tuple(kinds), w in _WEAK_LABELS))
         a.make_automaton()
         _WORDS.append(a)
     return _WORDS[0]
@@ -331,6 +338,20 @@ def _person_before(text: str, m: re.Match) -> bool:
     return _bearers(m["n"])
 
 
+def _ats(text: str) -> list[int]:
+    """Where an at sign stands, in any of its spellings."""
+    places = []
+    for sign in ("@", "&#64;", "AT"):
+        at = text.find(sign)
+        while at >= 0:
+            if sign != "AT" or at and text[at - 1].isspace() and text[at + 2 : at + 3].isspace():
+                places.append(at)
+            at = text.find(sign, at + 1)
+    if "[" in text or "(" in text or "{" in text:
+        places += [m.start() for m in _BRACKETED_AT.finditer(text)]
+    return sorted(places)
+
+
 def _account(text: str, at: int) -> tuple[int, int] | None:
     """The bank account number that stands at ``at`` or begins up to four characters before, if its check holds."""
     for begin in {at, at - 2, at - 4}:
@@ -344,9 +365,15 @@ def _account(text: str, at: int) -> tuple[int, int] | None:
 
 
 def _proposals(text: str):
-    if _EMAIL_HINT.search(text):
-        for m in _EMAIL.finditer(text):
-            yield m.start(), m.end(), "email", 0.95
+    end = 0
+    for at in _ats(text):
+        i = at - (at > 0 and text[at - 1].isspace())
+        j = i
+        while j > end and (text[j - 1].isascii() and text[j - 1].isalnum() or text[j - 1] in "_.+%-"):
+            j -= 1
+        if j < i and (m := _EMAIL.match(text, j)):
+            end = m.end()
+            yield j, end, "email", 0.95
     for run in _DIGITS.finditer(text):
         a, b = run.span()
         if text[a] not in "+(0" and _card(run.group()):
@@ -361,8 +388,12 @@ def _proposals(text: str):
         for m in _BARE.finditer(text, a, min(len(text), b + 3)):
             s = m.group()
             yield m.start(), m.end(), "id_number", 0.6 if _check(s)[0] else 0.2
-    for last, (size, wordy, kinds, doubtful) in _hints().iter(_lower(text)):
-        i, j = last - size + 1, last + 1
+    low = _lower(text).replace("&nbsp;", "      ")
+    for c in _BLANKS:
+        low = low.replace(c, " ")
+    for last, (size, tail, wordy, kinds, doubtful) in _hints().iter(f" {low} "):
+        j = last - tail
+        i = j - size
         if wordy and j < len(text) and (text[j].isalnum() or text[j] == "_"):
             continue
         inside = i and text[i - 1].isalnum()
