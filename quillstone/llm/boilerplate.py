@@ -16,21 +16,16 @@ import re
 from collections.abc import Collection
 from functools import lru_cache
 
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.lines import leaf_of, parsed, repeated_templates
-from quillstone.operators.skew import skew_join
-from quillstone.session import spread
+from quillstone.llm.lines import leaf_of, parsed, repeated_templates, with_templates
 from quillstone.staging import stage
 
 #: The share of the main container's points that a sibling needs, and the bounds of what that may come to.
 LOW, LEAST, MOST = 0.1, 0.45, 0.6
 #: Points that a title gets at least from a container that it heads, and the link density up to which the main container stays whatever it scores.
 HEADED, LISTED = 2.0, 0.65
-#: Templates of repeated lines that may be broadcast (8 bytes each); beyond, they are joined.
-BROADCAST_TEMPLATES = 2_000_000
 
 # Words that menus, prompts and notices of all sites share (a star: any ending), ways in which a page speaks of itself and to its reader, and words of reissues.
 _CHROME = """cookie* consent preferences privacy imprint sitemap site_map legal_notice terms_of_use terms_and_conditions terms_apply accessibility disclaimer rights_reserved copyright reproduced
@@ -259,41 +254,16 @@ def _runs(signs: list, again: list[bool], raw: list[str]) -> list[_Run]:
     return runs
 
 
-def _repeated(pages: DataFrame) -> DataFrame:
-    """(source, leaf) of the lines that sites repeat, by the operator for repeated lines."""
-    return stage(repeated_templates(stage(parsed(pages)).frame).select("source", "leaf")).frame
-
-
 def marked_lines(pages: DataFrame) -> DataFrame:
     """``pages`` (id, source, text) with ``own``: for each line of the text whether it is the page's own.
 
-    ``source`` is the site whose repeated lines count against them; null is a site of its own, and without the column all pages are one site's. How many templates there are is
-    counted before they are broadcast; if sites are so many that they are too large for that, each page is joined with its site's.
+    ``source`` is the site whose repeated lines count against them (see ``lines``); null is a site of its own, and without the column all pages are one site's.
     """
     site = F.col("source") if "source" in pages.columns else F.lit(None).cast("string")
-    pages = pages.select("id", F.coalesce(site, F.lit("\0")).alias("source"), "text")
-    found = _repeated(pages)
-    if found.count() <= BROADCAST_TEMPLATES:
-        by_site: dict[str, set[int]] = {}
-        for row in found.collect():
-            by_site.setdefault(row["source"], set()).add(row["leaf"])
-        known = pages.sparkSession.sparkContext.broadcast(by_site)
-
-        @F.arrow_udf("array<boolean>")
-        def own(texts: pa.Array, sites: pa.Array) -> pa.Array:
-            return pa.array([own_lines(x or "", known.value.get(s, ())) for x, s in zip(texts.to_pylist(), sites.to_pylist())], pa.list_(pa.bool_()))
-
-        marked = spread(pages).select("id", "source", "text", own("text", "source").alias("own"))
-    else:
-
-        @F.arrow_udf("array<boolean>")
-        def own(texts: pa.Array, leaves: pa.Array) -> pa.Array:
-            return pa.array([own_lines(x or "", frozenset(n or ())) for x, n in zip(texts.to_pylist(), leaves.to_pylist())], pa.list_(pa.bool_()))
-
-        sets = found.groupBy("source").agg(F.collect_set("leaf").alias("gone"))
-        sites = pages.groupBy("source").agg(F.count(F.lit(1)).alias("n")).join(sets, "source", "left")
-        marked = skew_join(pages, stage(sites).frame, "source", "n").select("id", "source", "text", own("text", "gone").alias("own"))
-    return marked.select("id", F.nullif("source", F.lit("\0")).alias("source"), "text", "own")
+    pages = pages.select("id", site.alias("source"), "text")
+    found = stage(repeated_templates(stage(parsed(pages)).frame).select("source", "leaf")).frame
+    marked = with_templates(pages, found, own_lines, "array<boolean>")
+    return marked.select("id", "source", "text", F.coalesce("done", F.array(F.lit(True))).alias("own"))
 
 
 def boilerplate_lines(pages: DataFrame) -> DataFrame:

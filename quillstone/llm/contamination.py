@@ -9,8 +9,8 @@ from quillstone.operators.similarity import prefixes, representatives, shared_ne
 from quillstone.staging import stage, stage_bucketed
 
 
-def cross_split_pairs(docs: DataFrame, sides: DataFrame, t: float = 0.8, k: int = 5) -> DataFrame:
-    """(train_id, eval_id) of all records of ``docs`` (id, text) on different sides with similarity t or more.
+def linked_classes(docs: DataFrame, sides: DataFrame, t: float = 0.8, k: int = 5) -> tuple[DataFrame, DataFrame]:
+    """Classes of equal records with similarity t or more, a of the training and b of the evaluation side, and the records (id, class_id, side) behind them.
 
     ``sides``: (id, side) with side ``train`` or ``eval``. Records are canonicalised (case, punctuation and
     white space) and hashed; evaluation hashes joined with training hashes give the equal ones. For the
@@ -36,9 +36,30 @@ def cross_split_pairs(docs: DataFrame, sides: DataFrame, t: float = 0.8, k: int
     each = verify(found.frame.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), docs, t, k).select("a", "b")
     sure = found.frame.withColumns({"lo": F.least("a", "b"), "hi": F.greatest("a", "b")}).join(each.select(F.col("a").alias("lo"), F.col("b").alias("hi")), ["lo", "hi"])
     classes = stage(sure.select(F.col("class_a").alias("a"), F.col("class_b").alias("b")).union(equal))
-    train = placed.frame.where("side = 'train'").select(F.col("class_id").alias("a"), F.col("id").alias("train_id"))
-    evaluation = placed.frame.where("side = 'eval'").select(F.col("class_id").alias("b"), F.col("id").alias("eval_id"))
-    return classes.frame.join(train, "a").join(evaluation, "b").select("train_id", "eval_id")
+    return classes.frame, placed.frame
+
+
+def cross_split_pairs(docs: DataFrame, sides: DataFrame, t: float = 0.8, k: int = 5) -> DataFrame:
+    """(train_id, eval_id) of all records of ``docs`` (id, text) on different sides (id, side) with similarity t or more: the linked classes, expanded."""
+    classes, placed = linked_classes(docs, sides, t, k)
+    train = placed.where("side = 'train'").select(F.col("class_id").alias("a"), F.col("id").alias("train_id"))
+    evaluation = placed.where("side = 'eval'").select(F.col("class_id").alias("b"), F.col("id").alias("eval_id"))
+    return classes.join(train, "a").join(evaluation, "b").select("train_id", "eval_id")
+
+
+def overlap_counts(docs: DataFrame, sides: DataFrame, facts: DataFrame, t: float = 0.8, k: int = 5) -> DataFrame:
+    """Records of the evaluation side, those that overlap with training records, and the pairs, per cohort and source.
+
+    ``sides``: (id, side, cohort); ``facts``: (id, source). Copies are counted per class before classes are joined, so no pair of records is ever made.
+    """
+    classes, placed = linked_classes(docs, sides.select("id", "side"), t, k)
+    held = placed.where("side = 'train'").groupBy(F.col("class_id").alias("a")).agg(F.count(F.lit(1)).alias("n"))
+    partners = classes.join(held, "a").groupBy(F.col("b").alias("class_id")).agg(F.sum("n").alias("partners"))
+    evaluated = sides.where("side = 'eval'").join(facts.select("id", "source"), "id")
+    per_class = evaluated.join(placed.where("side = 'eval'").select("id", "class_id"), "id", "left").groupBy("class_id", "cohort", "source").agg(F.count(F.lit(1)).alias("records"))
+    counted = per_class.join(partners, "class_id", "left")
+    sums = [F.sum("records").alias("records"), F.coalesce(F.sum(F.when(F.col("partners").isNotNull(), F.col("records"))), F.lit(0)).alias("overlapping"), F.coalesce(F.sum(F.col("records") * F.col("partners")), F.lit(0)).alias("pairs")]
+    return counted.groupBy("cohort", "source").agg(*sums)
 
 
 def clean_digest(column: str):

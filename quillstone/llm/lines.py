@@ -1,7 +1,7 @@
 """Lines that recur across one source's documents, by fixed-depth token trees with wildcard slots.
 
 Every line is parsed along a tree: source, number of tokens, first token, second token, leaf. Runs of digits
-are the wildcard slots, so lines that differ only there share a template. The tasks' trees are merged by adding up
+are the wildcard slots, so lines that differ only there share a template; slots are not learnt, as what counts as alike is fixed. The tasks' trees are merged by adding up
 how many documents pass a node; a node that fewer documents pass than a template needs is pruned with all its leaves
 before these are counted.
 """
@@ -9,7 +9,7 @@ before these are counted.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Collection, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -21,6 +21,10 @@ from quillstone.operators.skew import skew_join
 from quillstone.session import spread
 from quillstone.staging import stage
 
+#: Templates that may be broadcast (8 bytes each).
+BROADCAST_TEMPLATES = 2_000_000
+ARROW = {"array<boolean>": pa.list_(pa.bool_()), "struct<text:string,removed:int>": pa.struct([("text", pa.string()), ("removed", pa.int32())])}
+
 _LETTER = re.compile(r"[^\W\d_]")
 _DIGITS = re.compile(r"[0-9]+")
 
@@ -47,8 +51,8 @@ def _nodes(s: str) -> tuple[int, int]:
     return _hash(f"{s.count(' ')} {' '.join(head)}"), _hash(s)
 
 
-def parsed(docs: DataFrame, keep_text: bool = False) -> DataFrame:
-    """(id, source, nodes, leaves[, text]): a node and a leaf for each line of ``text`` split at \\n, 0 where it is no template's."""
+def parsed(docs: DataFrame) -> DataFrame:
+    """(id, source, nodes, leaves): a node and a leaf for each line of ``text`` split at \\n, 0 where it is no template's."""
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, tuple[int, int]] = {}
@@ -71,10 +75,9 @@ def parsed(docs: DataFrame, keep_text: bool = False) -> DataFrame:
             for i in (0, 1):
                 values = pa.array([p[i] for p in pairs], pa.int64()).take(encoded.indices)
                 lists.append(pa.ListArray.from_arrays(split.offsets, values))
-            out = {"id": batch["id"], "source": batch["source"], "nodes": lists[0], "leaves": lists[1]}
-            yield pa.RecordBatch.from_pydict(out | ({"text": batch["text"]} if keep_text else {}))
+            yield pa.RecordBatch.from_pydict({"id": batch["id"], "source": batch["source"], "nodes": lists[0], "leaves": lists[1]})
 
-    return spread(docs.select("id", "source", "text")).mapInArrow(parse, "id long, source string, nodes array<long>, leaves array<long>" + ", text string" * keep_text)
+    return spread(docs.select("id", "source", "text")).mapInArrow(parse, "id long, source string, nodes array<long>, leaves array<long>")
 
 
 def repeated_templates(lines: DataFrame, share: float = 0.02, least: int = 10) -> DataFrame:
@@ -102,14 +105,54 @@ def repeated_lines(docs: DataFrame, share: float = 0.02, least: int = 10) -> Dat
     return each.join(found, each["source"].eqNullSafe(found["source"]) & (each["leaf"] == found["leaf"])).select("id", (F.col("at") + 1).alias("line_no"), each["source"], "documents")
 
 
+def by_source(found: DataFrame) -> dict[str | None, set[int]] | None:
+    """The leaves of ``found`` (source, leaf) per source if there are at most ``BROADCAST_TEMPLATES``, else None.
+
+    A source's templates are at most ``1 / share`` times the lines that its documents have on average; the number of sources has no bound.
+    """
+    if found.count() > BROADCAST_TEMPLATES:
+        return None
+    sets: dict[str | None, set[int]] = {}
+    for row in found.select("source", "leaf").collect():
+        sets.setdefault(row["source"], set()).add(row["leaf"])
+    return sets
+
+
+def with_templates(docs: DataFrame, found: DataFrame, act: Callable[[str, Collection[int]], object], kind: str) -> DataFrame:
+    """``docs`` (id, source, text) with ``done``: what ``act`` makes of each text and the leaves of ``found`` of its source; None where the text is null.
+
+    The leaves are broadcast once their number is known to be small; else each document is joined with its source's, sources that hold
+    many documents being salted. The text is shuffled in that case only.
+    """
+    sets = by_source(found)
+    if sets is not None:
+        known = docs.sparkSession.sparkContext.broadcast(sets)
+
+        @F.arrow_udf(kind)
+        def done(texts: pa.Array, sources: pa.Array) -> pa.Array:
+            return pa.array([None if x is None else act(x, known.value.get(s, ())) for x, s in zip(texts.to_pylist(), sources.to_pylist())], ARROW[kind])
+
+        return spread(docs.select("id", "source", "text")).select("id", "source", "text", done("text", "source").alias("done"))
+
+    @F.arrow_udf(kind)
+    def done_joined(texts: pa.Array, leaves: pa.Array) -> pa.Array:
+        return pa.array([None if x is None else act(x, frozenset(n or ())) for x, n in zip(texts.to_pylist(), leaves.to_pylist())], ARROW[kind])
+
+    docs = docs.select("id", F.coalesce("source", F.lit("\0")).alias("source"), "text")
+    leaves = found.groupBy(F.coalesce("source", F.lit("\0")).alias("source")).agg(F.collect_set("leaf").alias("leaves"))
+    keyed = docs.groupBy("source").agg(F.count(F.lit(1)).alias("n")).join(leaves, "source", "left")
+    joined = skew_join(docs, stage(keyed).frame, "source", "n")
+    return joined.select("id", F.nullif("source", F.lit("\0")).alias("source"), "text", done_joined("text", "leaves").alias("done"))
+
+
+def _without(text: str, leaves: Collection[int]) -> dict[str, object]:
+    lines = text.split("\n")
+    kept = [x for x in lines if not (leaf := leaf_of(x)) or leaf not in leaves] if leaves else lines
+    return {"text": "\n".join(kept), "removed": len(lines) - len(kept)}
+
+
 def without_repeated_lines(docs: DataFrame, share: float = 0.02, least: int = 10) -> DataFrame:
     """(id, source, text, removed): every text of ``docs`` without those lines, and how many went; null stays null."""
-    docs = docs.withColumn("source", F.coalesce("source", F.lit("\0")))
-    found = repeated_templates(stage(parsed(docs)).frame, share, least)
-    sets = found.groupBy("source").agg(F.collect_set("leaf").alias("gone"))
-    counts = docs.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
-    joined = skew_join(parsed(docs, keep_text=True), stage(counts.join(sets, "source", "left")).frame, "source", "n")
-    gone = F.coalesce("gone", F.array().cast("array<long>"))
-    kept = F.filter(F.arrays_zip(F.split("text", "\n", -1).alias("line"), F.col("leaves").alias("leaf")), lambda x: ~F.array_contains(gone, x["leaf"]) | (x["leaf"] == 0))
-    out = joined.withColumn("kept", kept)
-    return out.select("id", F.nullif("source", F.lit("\0")).alias("source"), F.when(F.col("text").isNotNull(), F.array_join(F.col("kept.line"), "\n")).alias("text"), F.when(F.col("text").isNotNull(), F.size("leaves") - F.size("kept")).otherwise(0).alias("removed"))
+    found = stage(repeated_templates(stage(parsed(docs)).frame, share, least).select("source", "leaf")).frame
+    out = with_templates(docs, found, _without, "struct<text:string,removed:int>")
+    return out.select("id", "source", F.col("done.text").alias("text"), F.coalesce("done.removed", F.lit(0)).alias("removed"))

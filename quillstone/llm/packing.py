@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
-
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -16,8 +14,9 @@ from quillstone.staging import stage
 CAPACITIES = (256, 512, 1024, 2048)
 #: Items packed together. A shard leaves few of its last containers part empty, so the loss is below one in a hundred.
 SHARD_ITEMS = 5000
-#: What opening a container costs besides its capacity, in tokens; it makes the longest one cheapest per token.
-OPENING = 16
+#: What opening a container costs besides its capacity, in tokens, and the length at which attention doubles the cost of a token. The
+#: one speaks for long containers, the other for short ones: a full one of 512 is cheapest per token, if it can be filled as well.
+OPENING, ATTENTION = 16.0, 16384.0
 #: A stretch of so many characters never has more tokens than bytes, 4 each.
 _ATOM = 512
 
@@ -57,33 +56,59 @@ def parts_of(column: str, capacity: int, vocabulary: str = VOCABULARY) -> Column
     return parts(F.col(column))
 
 
-def best_fit(sizes: list[int], capacities: tuple[int, ...], opening: int = OPENING) -> tuple[list[int], list[int]]:
-    """Container number of each item, and each container's capacity.
+def cost(capacity: int, opening: float = OPENING, attention: float = ATTENTION) -> float:
+    """What a container costs whatever it holds: its tokens, the attention among them, and its opening."""
+    return capacity * (1 + capacity / attention) + opening
+
 
-    Items go largest first into the open container they fill best. If none takes one, the capacity of least cost
-    per token is opened, unless all that is left fits a smaller one. At the end each container shrinks to the
-    least capacity that holds its contents.
+def _filled(first: int, capacity: int, there: int, count: list[int]) -> list[tuple[int, int]]:
+    """(size, how many) of the items that fill a container best if ``first`` goes in: always the largest that still fits.
+
+    ``there`` has a bit for each size of which ``count`` has items left.
+    """
+    chosen, room = [(first, 1)], capacity - first
+    if count[first] == 1:
+        there &= ~(1 << first)
+    while room:
+        n = (there & ((2 << room) - 1)).bit_length() - 1
+        if n <= 0:
+            break
+        k = min(count[n] - (n == first), room // n)
+        chosen.append((n, k))
+        room -= n * k
+        there &= ~(1 << n)
+    return chosen
+
+
+def best_fit(sizes: list[int], capacities: tuple[int, ...], opening: float = OPENING, attention: float = ATTENTION) -> tuple[list[int], list[int]]:
+    """Container number of each item, and each container's capacity; items are of 1 token or more and fit the largest capacity.
+
+    The largest item left opens a container. For each permitted capacity that it fits, the best filling with what is left
+    is found, and the capacity of least cost per token filled is opened with that filling; so the lengths compete for
+    the same items. At the end each container shrinks to the least capacity that holds its contents.
     """
     capacities = tuple(sorted(capacities))
-    order = sorted(range(len(sizes)), key=lambda i: (-sizes[i], i))
-    left, place, used = sum(sizes), [0] * len(sizes), []
-    room: list[tuple[int, int]] = []  # (room, container), ascending
-    for i in order:
-        n = sizes[i]
-        k = bisect_left(room, (n, -1))
-        if k < len(room):
-            free, c = room.pop(k)
-        else:
-            fitting = [x for x in capacities if x >= n]
-            whole = [x for x in fitting if x >= left]
-            free, c = whole[0] if whole else min(fitting, key=lambda x: (x + opening) / x), len(used)
-            used.append(0)
-        place[i] = c
-        used[c] += n
-        left -= n
-        if free > n:
-            insort(room, (free - n, c))
-    return place, [next(x for x in capacities if x >= u) for u in used]
+    held: dict[int, list[int]] = {}
+    for i, n in enumerate(sizes):
+        held.setdefault(n, []).append(i)
+    count = [0] * (max(held, default=0) + 1)
+    there = 0
+    for n, items in held.items():
+        items.reverse()  # taken from the end, first come first
+        count[n] = len(items)
+        there |= 1 << n
+    place, shrunk = [0] * len(sizes), []
+    while there:
+        first = there.bit_length() - 1
+        _, _, used, chosen = min(((cost(c, opening, attention) / (total := sum(n * k for n, k in fill)), -c, total, fill) for c in capacities if c >= first for fill in [_filled(first, c, there, count)]), key=lambda x: x[:2])
+        for n, k in chosen:
+            for _ in range(k):
+                place[held[n].pop()] = len(shrunk)
+            count[n] -= k
+            if not count[n]:
+                there &= ~(1 << n)
+        shrunk.append(next(x for x in capacities if x >= used))
+    return place, shrunk
 
 
 def pack(docs: DataFrame, capacities: tuple[int, ...] = CAPACITIES, vocabulary: str = VOCABULARY) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillstone.llm.boilerplate import boilerplate_lines, main_text
 from quillstone.llm.common import SPACE_CHARS, blank, source_of, table
-from quillstone.llm.contamination import cross_split_pairs, split_sides
+from quillstone.llm.contamination import cross_split_pairs, overlap_counts, split_sides
 from quillstone.llm.lines import repeated_lines, without_repeated_lines
 from quillstone.llm.mixing import mixture
 from quillstone.llm.neardup import groups_of_two, near_duplicate_groups
@@ -62,21 +62,18 @@ def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
     return split_oversized(_texts(spark, d)).withColumnRenamed("id", "record_id")
 
 
-def _overlaps(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+def _sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     docs = _bodies(spark, d)
-    sides = split_sides(docs, table(spark, d, "cohort_membership"), table(spark, d, "audit_membership_correction"))
-    return sides, cross_split_pairs(docs, sides)
+    return docs, split_sides(docs, table(spark, d, "cohort_membership"), table(spark, d, "audit_membership_correction"))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return _overlaps(spark, d)[1].select(F.least("train_id", "eval_id").alias("record_a"), F.greatest("train_id", "eval_id").alias("record_b"))
+    return cross_split_pairs(*_sides(spark, d)).select(F.least("train_id", "eval_id").alias("record_a"), F.greatest("train_id", "eval_id").alias("record_b"))
 
 
 def p3_overlap_counts(spark: SparkSession, d: str) -> DataFrame:
-    sides, pairs = _overlaps(spark, d)
-    per = pairs.groupBy(F.col("eval_id").alias("id")).agg(F.count(F.lit(1)).alias("partners"))
-    rows = sides.where("side = 'eval'").join(table(spark, d, "filing_records").select(F.col("record_id").alias("id"), source_of().alias("source")), "id").join(per, "id", "left")
-    return rows.groupBy("cohort", "source").agg(F.count(F.lit(1)).alias("records"), F.count("partners").alias("overlapping"), F.coalesce(F.sum("partners"), F.lit(0)).alias("pairs"))
+    facts = table(spark, d, "filing_records").select(F.col("record_id").alias("id"), source_of().alias("source"))
+    return overlap_counts(*_sides(spark, d), facts)
 
 
 def p4_token_budget(spark: SparkSession, d: str) -> DataFrame:

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.operators.skew import skew_join
@@ -12,8 +13,6 @@ from quillstone.staging import Stage, cut, stage
 
 #: Positions in a family's hash order that a part of its dates is cut into.
 HASH_BUCKETS = 1024
-#: A component above this share of its family goes to train at once.
-GIANT = 0.05
 
 
 def frontier_components(edges: DataFrame) -> DataFrame:
@@ -79,9 +78,9 @@ def assign_splits(records: DataFrame, groups: DataFrame, train: float = 0.8, val
     """(id, group_id, split): whole groups to train, validation and test in the given shares, in every family and over time.
 
     ``records`` has id, family, day (yyyy-MM-dd or any string, null allowed). A group counts in the family and quarter of its
-    smallest record. Within a family groups stand in the order of quarter and component hash; their running record
-    count goes around cycles of about a quarter's records, whose first ``train`` part is train and so on. A group above
-    ``GIANT`` of its family is train, and the others' shares make up for it.
+    smallest record. Within a family groups stand in the order of quarter and component hash; each goes to the split that is
+    then furthest below its share of all records so far, so the shares hold at every point of time as closely as whole groups
+    allow, and a group that is too large for validation or test goes to train because train alone lacks so many.
     """
     day = F.col("day")
     quarter = F.concat(F.substring(day, 1, 4), F.lit("q"), F.ceil(F.try_to_number(F.substring(day, 6, 2), F.lit("99")) / 3).cast("string"))
@@ -89,19 +88,22 @@ def assign_splits(records: DataFrame, groups: DataFrame, train: float = 0.8, val
     heads = groups.groupBy("group_id").agg(F.count(F.lit(1)).alias("n")).join(facts.dropDuplicates(["id"]), F.col("group_id") == F.col("id")).drop("id")
     bucket: Column = F.pmod(F.xxhash64("group_id"), F.lit(HASH_BUCKETS))
     heads = stage(heads.withColumn("bucket", bucket)).frame
-    family = heads.groupBy("family").agg(F.sum("n").alias("total"), F.count_distinct("quarter").alias("quarters"))
-    heads = heads.join(F.broadcast(family), "family").withColumn("giant", (F.col("n") > GIANT * F.col("total")) & (F.col("total") > 40))
-    giants = heads.groupBy("family").agg(F.sum(F.when(F.col("giant"), F.col("n")).otherwise(0)).alias("heavy"))
-    order = Window.partitionBy("family").orderBy("quarter", "bucket")
-    # families x quarters x HASH_BUCKETS rows at most, whatever the number of records
-    cells = heads.where("not giant").groupBy("family", "quarter", "bucket", "total", "quarters").agg(F.sum("n").alias("n"))
-    cells = cells.join(F.broadcast(giants), "family")
-    rest, cycle = F.col("total") - F.col("heavy"), F.greatest(F.lit(40), F.col("total") / F.col("quarters"))
-    share = F.greatest(F.lit(0.0), (F.lit(train) * F.col("total") - F.col("heavy")) / rest)
-    tail = F.lit(validation / (1 - train))
-    at = (F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n") / 2) / cycle
-    at = at - F.floor(at)
-    cells = cells.withColumn("at", at).select("family", "quarter", "bucket", F.when(F.col("at") < share, "train").when(F.col("at") < share + (1 - share) * tail, "validation").otherwise("test").alias("split"))
-    placed = heads.where("not giant").join(cells, ["family", "quarter", "bucket"]).select("group_id", "split").union(heads.where("giant").select("group_id", F.lit("train")))
-    sizes = heads.select("group_id", "n").join(placed, "group_id")
+    # quarters x HASH_BUCKETS rows a family at most, whatever the number of records
+    cells = heads.groupBy("family", "quarter", "bucket").agg(F.sum("n").alias("n"))
+    wanted = {"train": train, "validation": validation, "test": 1 - train - validation}
+
+    def assign(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["quarter", "bucket"])
+        short, split = dict.fromkeys(wanted, 0.0), []
+        for n in rows["n"].tolist():
+            for s, share in wanted.items():
+                short[s] += share * n
+            chosen = max(short, key=short.__getitem__)
+            short[chosen] -= n
+            split.append(chosen)
+        rows["split"] = split
+        return rows[["family", "quarter", "bucket", "split"]]
+
+    placed = cells.groupBy("family").applyInPandas(assign, "family string, quarter string, bucket long, split string")
+    sizes = heads.join(placed, ["family", "quarter", "bucket"]).select("group_id", "n", "split")
     return skew_join(groups.select("id", "group_id"), cut(sizes), "group_id", "n").select("id", "group_id", "split")

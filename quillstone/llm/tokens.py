@@ -78,7 +78,7 @@ def token_totals(docs: DataFrame, by: list[str], vocabulary: str = VOCABULARY) -
     """Documents, characters and exact tokens of ``text`` per slice ``by`` (string columns; null is a slice of its own).
 
     Tasks split their texts into pieces and count them per slice; the piece frequencies of all tasks are added
-    up by piece, each distinct piece is tokenized once, and its length joined with its frequencies. Null and
+    up and sorted by piece, each distinct piece is tokenized once, and its length merged with its frequencies. Null and
     empty texts count as documents without tokens; an empty table has no slices; other columns are ignored.
     """
     schema = ", ".join(f"`{c}` string" for c in by)
@@ -106,15 +106,23 @@ def token_totals(docs: DataFrame, by: list[str], vocabulary: str = VOCABULARY) -
         out["n"] = pa.array([n for c in slices.values() for n in c.values()], pa.int64())
         return pa.RecordBatch.from_pydict(out)
 
-    def lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(vocabulary)
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sums per slice over pieces in order, so each is tokenized once and its length meets all its frequencies."""
+        enc, last, length = encoder(vocabulary), None, 0
+        sums: dict[tuple, list[int]] = {}
         for batch in batches:
-            p = batch["piece"]
-            yield pa.RecordBatch.from_pydict({"piece": p, "tokens": pa.array([len(enc.encode_ordinary(x)) for x in p.to_pylist()], pa.int64())})
+            for key, piece, n in zip(zip(*(batch[c].to_pylist() for c in by)), batch["piece"].to_pylist(), batch["n"].to_pylist()):
+                if piece != last:
+                    last, length = piece, len(enc.encode_ordinary(piece))
+                held = sums.setdefault(key, [0, 0])
+                held[0] += n
+                held[1] += n * length
+        out = {name: pa.array([k[i] for k in sums], pa.string()) for i, name in enumerate(by)}
+        yield pa.RecordBatch.from_pydict(out | {"pieces": pa.array([v[0] for v in sums.values()], pa.int64()), "tokens": pa.array([v[1] for v in sums.values()], pa.int64())})
 
     freq = spread(docs.select(*by, "text")).mapInArrow(frequencies, f"{schema}, piece string, n long").repartition("piece").groupBy("piece", *by).agg(F.sum("n").alias("n"))
-    length = freq.select("piece").distinct().mapInArrow(lengths, "piece string, tokens long")
-    totals = freq.join(length, "piece").groupBy(*by).agg(F.sum(F.col("n") * F.col("tokens")).alias("tokens"), F.sum("n").alias("pieces"))
+    per_task = freq.sortWithinPartitions("piece").mapInArrow(summed, f"{schema}, pieces long, tokens long")
+    totals = per_task.groupBy(*by).agg(F.sum("tokens").alias("tokens"), F.sum("pieces").alias("pieces"))
     counts = docs.groupBy(*by).agg(F.count(F.lit(1)).alias("documents"), F.coalesce(F.sum(F.length("text")), F.lit(0)).cast("long").alias("characters"))
     same = [counts[c].eqNullSafe(totals[c]) for c in by]
     return counts.join(totals, same, "left").select(*[counts[c] for c in by], "documents", "characters", F.coalesce("pieces", F.lit(0)).alias("pieces"), F.coalesce("tokens", F.lit(0)).alias("tokens"))

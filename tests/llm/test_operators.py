@@ -260,17 +260,17 @@ def test_poor_sibling_of_unlisted_links_goes_by_its_points():
 def test_pages_in_wording_never_seen():
     for pages in (PAGES, LATER):
         found = wrong = missed = 0
-        for lines, want in cases(pages):
-            got = {i for i, own in enumerate(boilerplate.own_lines("\n".join(lines))) if not own}
+        for page, want in cases(pages):
+            got = {i for i, own in enumerate(boilerplate.own_lines("\n".join(page))) if not own}
             found, wrong, missed = found + len(got & want), wrong + len(got - want), missed + len(want - got)
         assert wrong <= 0.05 * (found + wrong) and missed <= (0.05 if pages is PAGES else 0.15) * (found + missed)
 
 
 def test_points_decide(monkeypatch):
-    lines, around = next(cases())
+    page, around = next(cases())
     signs = boilerplate._signs
     monkeypatch.setattr(boilerplate, "_signs", lambda x: (signs(x)[0], 0.0, signs(x)[2]))
-    assert {i for i, own in enumerate(boilerplate.own_lines("\n".join(lines))) if not own} != around
+    assert {i for i, own in enumerate(boilerplate.own_lines("\n".join(page))) if not own} != around
 
 
 def test_lines_that_a_site_repeats_count_against_them_joined_or_broadcast(spark, monkeypatch):
@@ -281,7 +281,7 @@ def test_lines_that_a_site_repeats_count_against_them_joined_or_broadcast(spark,
     want = {(i, 4) for i in range(12)}
     assert {tuple(r) for r in boilerplate.boilerplate_lines(pages).collect()} >= want
     first = sorted(map(tuple, boilerplate.marked_lines(pages).collect()), key=str)
-    monkeypatch.setattr(boilerplate, "BROADCAST_TEMPLATES", 0)
+    monkeypatch.setattr(lines, "BROADCAST_TEMPLATES", 0)
     assert sorted(map(tuple, boilerplate.marked_lines(pages).collect()), key=str) == first
 
 
@@ -299,6 +299,19 @@ def test_best_fit_respects_capacities(sizes):
     assert all(cap == min(x for x in (16, 32, 64) if x >= used[c]) for c, cap in enumerate(capacity))
 
 
+def test_lengths_compete():
+    rng = random.Random(9)
+    sizes = [min(2048, max(1, int(rng.lognormvariate(5.5, 0.9)))) for _ in range(3000)]
+    outcome = {}
+    for permitted in ((2048,), packing.CAPACITIES):
+        _, opened = packing.best_fit(sizes, permitted)
+        outcome[permitted] = sum(map(packing.cost, opened)), 1 - sum(sizes) / sum(opened), collections.Counter(opened)
+    (plain, _, _), (joint, unused, opened) = outcome.values()
+    assert joint < 0.97 * plain and unused < 0.005 and sum(n > 10 for n in opened.values()) >= 3
+    _, long = packing.best_fit(sizes, packing.CAPACITIES, opening=500.0)
+    assert sum(c == 2048 for c in long) > 0.9 * len(long)  # dear openings speak for the longest
+
+
 def test_pack_divides_only_what_is_too_long(spark):
     texts = ["word " * n for n in (5, 3000, 900, 900, 200)] + ["x" * 9000, None, "", "\U0001f642" * 3000]
     docs = spark.createDataFrame([(i, t, 0) for i, t in enumerate(texts)] + [(4, "again", 0)], "id long, text string, part int")
