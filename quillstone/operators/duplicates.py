@@ -11,7 +11,7 @@ from quillstone.operators.graph import connected_components
 from quillstone.operators.ordering import ordered_digest, rank_in_bucket
 from quillstone.operators.records import edges_to_first
 from quillstone.operators.similarity import prefixes, shared_needed, similar_pairs, sizes_fit, verify
-from quillstone.staging import stage, stage_bucketed
+from quillstone.staging import stage
 
 NEAR = 0.9
 
@@ -30,10 +30,10 @@ def near_matches(candidates: DataFrame, base: DataFrame, t: float = NEAR) -> Dat
     p = prefixes(tagged, t)
     members = p.members.select("class_id", "id")
     sides = stage(members.groupBy("class_id").agg(F.min("id").alias("rep"), F.max((F.col("id") % 2 == 0)).alias("is_candidate"), F.min(F.when(F.col("id") % 2 == 1, F.col("id"))).alias("least_base"))).frame
-    posts = stage_bucketed(p.postings().select("token", "class_id", "size").join(sides, "class_id").select("token", "class_id", "size", "is_candidate", "least_base").repartition("token").dropDuplicates(["token", "class_id"]), "token").frame
-    left = posts.where("is_candidate").select("token", F.col("class_id").alias("a"), F.col("size").alias("sa"))
-    right = posts.where("least_base is not null").select("token", F.col("class_id").alias("b"), F.col("size").alias("sb"))
-    met = left.join(right, "token").where("a <> b").where(sizes_fit(F.col("sa"), F.col("sb"), t)).groupBy("a", "b", "sa", "sb").count().where(F.col("count") >= shared_needed(F.col("sa"), F.col("sb"), t))
+    posts = p.written(p.postings().select("token", "class_id", "size", "hot").join(sides, "class_id").select("token", "class_id", "size", "hot", "is_candidate", "least_base"))
+    left = posts.each(lambda rows: rows.where("is_candidate").select("token", F.col("class_id").alias("a"), F.col("size").alias("sa")))
+    right = posts.each(lambda rows: rows.where("least_base is not null").select("token", F.col("class_id").alias("b"), F.col("size").alias("sb")))
+    met = left.join(right).where("a <> b").where(sizes_fit(F.col("sa"), F.col("sb"), t)).groupBy("a", "b", "sa", "sb").count().where(F.col("count") >= shared_needed(F.col("sa"), F.col("sb"), t))
     rep = sides.select("class_id", "rep", "least_base")
     named = stage(met.join(rep.select(F.col("class_id").alias("a"), F.col("rep").alias("ra")), "a").join(rep.select(F.col("class_id").alias("b"), F.col("rep").alias("rb"), "least_base"), "b").select("a", F.col("ra"), "rb", "least_base")).frame
     sure = verify(named.select(F.col("ra").alias("a"), F.col("rb").alias("b")), tagged, t).select(F.col("a").alias("ra"), F.col("b").alias("rb"))

@@ -8,7 +8,7 @@ only, never the result. Equal sets are folded into one class before anything is
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,12 +19,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstone.functions.shingling import distinct_sets, fingerprints, mix
-from quillstone.operators.sketch import bucket, count_sketch, sketch_counts
+from quillstone.operators.sketch import Counter, bucket, count_sketch, decoded, few_tasks, merged_sketch, sketch_counts
 from quillstone.session import spread
 from quillstone.staging import Stage, stage, stage_bucketed
 
-SKETCH_BITS = 22
+#: Bounds of the sketch's width (log2; 2 bytes an entry are broadcast, 8 and 64 MB): between them it has an entry for about ten runs.
+SKETCH_BITS, MOST_BITS = 22, 25
+#: Characters of text for each entry, as a run begins at every word.
+CHARS_AN_ENTRY = 60
 MEMBER_BITS = 23
+#: A run is hot if more than so many documents and more than a ``HOT_SHARE``-th of all hold it, and is then dealt to ``HOT_SALTS`` tasks.
+HOT_RUN, HOT_SHARE, HOT_SALTS = 10_000, 500, 16
 #: Seeds of the four extra minimum hashes of a document.
 SIGNATURES = 4
 
@@ -48,9 +53,32 @@ def _texts(batch: pa.RecordBatch) -> list[str]:
     return [x or "" for x in batch["text"].to_pylist()]
 
 
+@dataclass
+class Postings:
+    """Rows of runs (token): those of hot runs lie apart and are joined with salt, the others are bucketed by token."""
+
+    cold: DataFrame
+    hot: DataFrame | None
+
+    def each(self, change: Callable[[DataFrame], DataFrame]) -> Postings:
+        return Postings(change(self.cold), None if self.hot is None else change(self.hot))
+
+    def join(self, other: Postings, on: tuple[str, ...] = ("token",)) -> DataFrame:
+        """Inner join: without a shuffle for what is bucketed; of a hot run this side's rows are dealt out, and the other's repeated."""
+        met = self.cold.join(other.cold, list(on))
+        if self.hot is None or other.hot is None:
+            return met
+        dealt = self.hot.withColumn("__salt", F.pmod(F.xxhash64(*self.hot.columns), F.lit(HOT_SALTS)).cast("int"))
+        repeated = other.hot.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(HOT_SALTS - 1))))
+        return met.unionByName(dealt.join(repeated, [*on, "__salt"]).drop("__salt"))
+
+    def all(self) -> DataFrame:
+        return self.cold if self.hot is None else self.cold.unionByName(self.hot)
+
+
 @dataclass
 class Prefixes:
-    """``members``: a row per document (id, class_id, size, min_hash, sig)."""
+    """``members``: a row per document (id, class_id, size, min_hash, sig). ``hot_at``: documents from which a run is hot, None if no run is."""
 
     members: DataFrame
     stages: list[Stage]
@@ -59,14 +87,15 @@ class Prefixes:
     t: float
     k: int
     bits: int
+    hot_at: float | None
 
     def postings(self, families: Broadcast | None = None, block: int = 64) -> DataFrame:
-        """A row per class and prefix run that another class has too: token, class_id, size, family, large.
+        """A row per class and prefix run that another class has too (or that is hot): token, class_id, size, family, large, hot.
 
         ``families``: a counting sketch of the classes' minimum hashes. Those above ``block`` are large; their classes are
         dealt to blocks, ``family`` being a hash of minimum hash and block. Copies may repeat a row.
         """
-        t, k, bits, load = self.t, self.k, self.bits, self.load
+        t, k, bits, load, hot_at = self.t, self.k, self.bits, self.load, self.hot_at
 
         def wide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             seen: set[int] = set()  # classes this task has sent: copies add no postings
@@ -84,7 +113,8 @@ class Prefixes:
                         if c not in seen:
                             seen.add(c)
                             fresh[i] = True
-                    rank = load.value[bucket(h, bits)].astype(np.uint64) << np.uint64(48) | h >> np.uint64(16)
+                    level = load.value[bucket(h, bits)]
+                    rank = level.astype(np.uint64) << np.uint64(48) | h >> np.uint64(16)
                     firsts = prefix_length(n, t)
                     at = [a + rank[a:b].argsort(kind="stable")[:p] for a, b, p, new in zip(start.tolist(), (start + n).tolist(), firsts.tolist(), fresh) if new]
                     at = np.concatenate(at) if at else np.zeros(0, np.int64)
@@ -92,30 +122,49 @@ class Prefixes:
                     yield pa.RecordBatch.from_pydict({
                         "token": pa.array(h[at].view(np.int64)), "class_id": pa.array(cls[of].view(np.int64)), "size": pa.array(n[of].astype(np.int32)),
                         "family": pa.array(family[of].view(np.int64)), "large": pa.array((count > block)[of]),
+                        "hot": pa.array(np.zeros(len(at), bool) if hot_at is None else decoded(level[at]) > hot_at),
                     })
 
-        every = self.docs.select("text").mapInArrow(wide, "token long, class_id long, size int, family long, large boolean")
-        same = Window.partitionBy("token")
-        return every.withColumns({"lo": F.min("class_id").over(same), "hi": F.max("class_id").over(same)}).where("lo < hi").drop("lo", "hi")
+        every = self.docs.select("text").mapInArrow(wide, "token long, class_id long, size int, family long, large boolean, hot boolean")
+        same = Window.partitionBy("token", F.when(F.col("hot"), F.col("class_id")))  # a hot run is shared for certain
+        return every.withColumns({"lo": F.min("class_id").over(same), "hi": F.max("class_id").over(same)}).where("lo < hi or hot").drop("lo", "hi")
+
+    def written(self, rows: DataFrame) -> Postings:
+        """``rows`` with token, class_id and hot, each class once a token, written: hot runs apart, the others in buckets."""
+        if self.hot_at is not None:
+            self.stages.append(stage(rows))
+            rows = self.stages[-1].frame
+        cold = stage_bucketed(rows.where("not hot").drop("hot").repartition("token").dropDuplicates(["token", "class_id"]), "token")
+        self.stages.append(cold)
+        if self.hot_at is None:
+            return Postings(cold.frame, None)
+        hot = stage(rows.where("hot").drop("hot").dropDuplicates(["token", "class_id"]))
+        self.stages.append(hot)
+        return Postings(cold.frame, hot.frame)
 
     def drop(self) -> None:
         for s in self.stages:
             s.drop()
 
 
-def prefixes(docs: DataFrame, t: float, k: int = 5, bits: int = SKETCH_BITS) -> Prefixes:
+def prefixes(docs: DataFrame, t: float, k: int = 5, bits: int | None = None) -> Prefixes:
     """Classes and shared prefix runs of ``docs`` (id long, text string).
 
-    Null texts count as empty; filter blank ones first if they shall not match each other.
-    ``bits``: log2 of the sketch's buckets (2 bytes each), the size of what is broadcast.
+    Null texts count as empty; filter blank ones first if they shall not match each other. One pass over the texts gives both the
+    classes and the counts of runs. ``bits``: log2 of the sketch's entries, else as wide as the texts ask for.
     """
     docs = spread(docs.select("id", "text"))
-    load = docs.sparkSession.sparkContext.broadcast(count_sketch(docs.select("text"), lambda b: (h for _, h, _ in fingerprints(_texts(b), k)), bits))
+    if bits is None:
+        chars = docs.agg(F.sum(F.length("text").cast("long"))).first()[0] or 1
+        bits = min(max(SKETCH_BITS, (chars // CHARS_AN_ENTRY).bit_length()), MOST_BITS)
+    schema = "id long, class_id long, size int, min_hash long, sig long, chunk int, counts binary"
 
     def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counter = Counter(bits)
         for batch in batches:
             ids, texts = batch["id"].to_numpy(zero_copy_only=False), _texts(batch)
             for begin, hashes, runs in fingerprints(texts, k):
+                counter.add(hashes)
                 d, h, n = distinct_sets(hashes, runs)
                 start = np.cumsum(n) - n
                 with np.errstate(over="ignore"):
@@ -125,10 +174,19 @@ def prefixes(docs: DataFrame, t: float, k: int = 5, bits: int = SKETCH_BITS) ->
                         "id": pa.array(ids[begin : begin + len(n)]), "class_id": pa.array(cls.view(np.int64)), "size": pa.array(n.astype(np.int32)),
                         "min_hash": pa.array(mix(h[start]).view(np.int64)),
                         "sig": pa.array(sum(((s & np.uint64(0x7FFF)) << np.uint64(15 * i) for i, s in enumerate(sig)), np.zeros(len(n), np.uint64)).view(np.int64)),
+                        "chunk": pa.nulls(len(n), pa.int32()), "counts": pa.nulls(len(n), pa.binary()),
                     })
+        for chunk, counts in counter.chunks():
+            none = pa.nulls(1, pa.int64())
+            yield pa.RecordBatch.from_pydict({"id": none, "class_id": none, "size": pa.nulls(1, pa.int32()), "min_hash": none, "sig": none, "chunk": pa.array([chunk], pa.int32()), "counts": pa.array([counts], pa.binary())})
 
-    members = stage(docs.mapInArrow(narrow, "id long, class_id long, size int, min_hash long, sig long"))
-    return Prefixes(members.frame, [members], docs, load, t, k, bits)
+    both = stage(few_tasks(docs).mapInArrow(narrow, schema))
+    load = merged_sketch(both.frame.where("chunk is not null"), bits)
+    members = both.frame.where("chunk is null").select("id", "class_id", "size", "min_hash", "sig")
+    hot_at: float | None = max(HOT_RUN, members.count() / HOT_SHARE)
+    if not (decoded(load.max(initial=0)) > hot_at):
+        hot_at = None
+    return Prefixes(members, [both], docs, docs.sparkSession.sparkContext.broadcast(load), t, k, bits, hot_at)
 
 
 def _class_ids(h: np.ndarray, n: np.ndarray, start: np.ndarray) -> np.ndarray:
@@ -156,7 +214,11 @@ def id_filter(df: DataFrame, ids: DataFrame, column: str = "id", bits: int = MEM
 
 
 def verify(pairs: DataFrame, docs: DataFrame, t: float, k: int = 5) -> DataFrame:
-    """Of ``pairs`` (a, b: ids of ``docs``), those whose texts have similarity t or more, with it."""
+    """Of ``pairs`` (a, b: ids of ``docs``), those whose texts have similarity t or more, with it.
+
+    The texts' sets of runs are made anew and compared by 64-bit fingerprints, so two different runs are taken for one with a chance of
+    2**-64. The second text is joined first: the first one, which may stand in many pairs, is not carried through another shuffle.
+    """
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -179,15 +241,15 @@ def verify(pairs: DataFrame, docs: DataFrame, t: float, k: int = 5) -> DataFrame
 
     needed = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     texts = id_filter(docs.select("id", "text"), needed).repartition("id")
-    sides = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
+    sides = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
     return sides.mapInArrow(exact, "a long, b long, similarity double")
 
 
-def class_pairs(postings: DataFrame, t: float) -> DataFrame:
+def class_pairs(postings: Postings, t: float) -> DataFrame:
     """Pairs of classes (a < b) that share enough prefix runs for similarity t."""
-    left = postings.select("token", F.col("class_id").alias("a"), F.col("size").alias("size_a"))
-    right = postings.select("token", F.col("class_id").alias("b"), F.col("size").alias("size_b"))
-    joined = left.join(right, "token").where(F.col("a") < F.col("b")).where(sizes_fit(F.col("size_a"), F.col("size_b"), t)).select("token", "a", "b", "size_a", "size_b").distinct()
+    left = postings.each(lambda rows: rows.select("token", F.col("class_id").alias("a"), F.col("size").alias("size_a")))
+    right = postings.each(lambda rows: rows.select("token", F.col("class_id").alias("b"), F.col("size").alias("size_b")))
+    joined = left.join(right).where(F.col("a") < F.col("b")).where(sizes_fit(F.col("size_a"), F.col("size_b"), t))
     return joined.groupBy("a", "b", "size_a", "size_b").count().where(F.col("count") >= shared_needed(F.col("size_a"), F.col("size_b"), t)).select("a", "b")
 
 
@@ -200,9 +262,7 @@ def similar_pairs(docs: DataFrame, t: float, k: int = 5) -> tuple[DataFrame, Dat
     """Pairs (a, b, similarity) of class representatives, the representatives, and the memberships behind them."""
     p = prefixes(docs, t, k)
     reps = representatives(p.members)
-    postings = stage_bucketed(p.postings().select("token", "class_id", "size"), "token")
-    p.stages.append(postings)
-    c = class_pairs(postings.frame, t)
+    c = class_pairs(p.written(p.postings().select("token", "class_id", "size", "hot")), t)
     named = c.join(reps.select(F.col("class_id").alias("a"), F.col("id").alias("ra")), "a").join(reps.select(F.col("class_id").alias("b"), F.col("id").alias("rb")), "b")
     pairs = stage(named.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")))
     p.stages.append(pairs)

@@ -8,43 +8,52 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-CHUNK = 1 << 16
+#: Entries of a row that a task sends; the rows of each chunk are added up by one task.
+CHUNK = 1 << 14
 PORTION = 1 << 22
+#: Tasks a core that count, whatever the number of input splits: what is sent grows with the cluster, not with the data.
+TASKS = 4
+CHUNKS = "chunk int, counts binary"
 
 
 def bucket(hashes: np.ndarray, bits: int) -> np.ndarray:
     return (hashes.view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def count_sketch(df: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.ndarray]], bits: int) -> np.ndarray:
-    """Occurrences of 64-bit hashes per bucket (the top ``bits`` bits), over all rows of ``df``.
+class Counter:
+    """One task's counts, taken in portions, as each count walks over all buckets."""
 
-    Every task counts into one array of 2**bits integers; tasks send it in chunks, which are added
-    up as they stream in. What reaches the driver has 2**bits entries whatever the input's size.
-    """
+    def __init__(self, bits: int):
+        self.bits, self.held = bits, 0
+        self.counts = np.zeros(1 << bits, dtype=np.uint32)
+        self.waiting: list[np.ndarray] = []
 
-    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << bits, dtype=np.uint32)
-        waiting: list[np.ndarray] = []  # counted in portions, as each count walks over all buckets
-        held = 0
+    def add(self, hashes: np.ndarray) -> None:
+        self.waiting.append(bucket(hashes, self.bits))
+        self.held += len(hashes)
+        if self.held >= PORTION:
+            self._count()
 
-        def count() -> None:
-            if waiting:
-                np.add(counts, np.bincount(np.concatenate(waiting), minlength=1 << bits), out=counts, casting="unsafe")
-                waiting.clear()
+    def _count(self) -> None:
+        if self.waiting:
+            np.add(self.counts, np.bincount(np.concatenate(self.waiting), minlength=1 << self.bits), out=self.counts, casting="unsafe")
+            self.waiting, self.held = [], 0
 
-        for batch in batches:
-            for h in hashes(batch):
-                waiting.append(bucket(h, bits))
-                held += len(h)
-                if held >= PORTION:
-                    count()
-                    held = 0
-        count()
-        for i in range(0, 1 << bits, CHUNK):
-            part = counts[i : i + CHUNK]
+    def chunks(self) -> Iterator[tuple[int, bytes]]:
+        self._count()
+        for i in range(0, 1 << self.bits, CHUNK):
+            part = self.counts[i : i + CHUNK]
             if part.any():
-                yield pa.RecordBatch.from_pydict({"chunk": pa.array([i // CHUNK], pa.int32()), "counts": pa.array([part.tobytes()], pa.binary())})
+                yield i // CHUNK, part.tobytes()
+
+
+def few_tasks(df: DataFrame) -> DataFrame:
+    """``df`` read by ``TASKS`` tasks a core at most, without a shuffle."""
+    return df.coalesce(TASKS * df.sparkSession.sparkContext.defaultParallelism)
+
+
+def merged_sketch(rows: DataFrame, bits: int) -> np.ndarray:
+    """The sum of the chunks that tasks sent, on a logarithmic scale; it has 2**bits entries whatever the input's size."""
 
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
@@ -55,20 +64,40 @@ def count_sketch(df: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.n
         for c, s in sums.items():
             yield pa.RecordBatch.from_pydict({"chunk": pa.array([c], pa.int32()), "counts": pa.array([_squash(s).tobytes()], pa.binary())})
 
-    schema = "chunk int, counts binary"
-    rows = df.mapInArrow(local, schema).repartition("chunk").mapInArrow(merged, schema).collect()
     out = np.zeros(1 << bits, dtype=np.uint16)
-    for r in rows:
+    for r in rows.select("chunk", "counts").repartition("chunk").mapInArrow(merged, CHUNKS).collect():
         part = np.frombuffer(r["counts"], dtype=np.uint16)
         out[r["chunk"] * CHUNK : r["chunk"] * CHUNK + len(part)] = part
     return out
 
 
+def count_sketch(df: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.ndarray]], bits: int) -> np.ndarray:
+    """Occurrences of 64-bit hashes per bucket (the top ``bits`` bits), over all rows of ``df``.
+
+    Every task counts into one array of 2**bits integers; tasks send it in chunks, which are added up as they stream in.
+    """
+
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counter = Counter(bits)
+        for batch in batches:
+            for h in hashes(batch):
+                counter.add(h)
+        for chunk, counts in counter.chunks():
+            yield pa.RecordBatch.from_pydict({"chunk": pa.array([chunk], pa.int32()), "counts": pa.array([counts], pa.binary())})
+
+    return merged_sketch(few_tasks(df).mapInArrow(local, CHUNKS), bits)
+
+
 def _squash(counts: np.ndarray) -> np.ndarray:
     """Counts of any size on a logarithmic scale of 16 bits; order is kept, 0 stays 0."""
     return np.minimum(np.ceil(np.log2(1.0 + counts) * 1400), 65535).astype(np.uint16)
 
 
+def decoded(levels: np.ndarray) -> np.ndarray:
+    """Counts behind the sketch's logarithmic scale, never less than they were."""
+    return np.ceil(np.exp2(levels / 1400.0) - 1.0)
+
+
 def sketch_counts(sketch: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     """About how often each hash was counted, never less than it was."""
-    return np.ceil(np.exp2(sketch[bucket(hashes, len(sketch).bit_length() - 1)] / 1400.0) - 1.0)
+    return decoded(sketch[bucket(hashes, len(sketch).bit_length() - 1)])
