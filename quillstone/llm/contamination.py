@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.operators.similarity import prefixes, representatives, shared_needed, sizes_fit, verify
-from quillstone.staging import stage, stage_bucketed
+from quillstone.staging import stage
 
 
 def linked_classes(docs: DataFrame, sides: DataFrame, t: float = 0.8, k: int = 5) -> tuple[DataFrame, DataFrame]:
@@ -23,11 +23,10 @@ def linked_classes(docs: DataFrame, sides: DataFrame, t: float = 0.8, k: int = 5
     flags = stage(placed.frame.groupBy("class_id").agg(F.max(F.col("side") == "train").alias("train"), F.max(F.col("side") == "eval").alias("eval")))
     equal = flags.frame.where("train and eval").select(F.col("class_id").alias("a"), F.col("class_id").alias("b"))
 
-    marked = p.postings().select("token", "class_id", "size").join(flags.frame, "class_id")
-    held = stage_bucketed(marked.repartition("token").dropDuplicates(["token", "class_id"]), "token").frame
-    left = held.where("train").select("token", F.col("class_id").alias("a"), F.col("size").alias("size_a"))
-    right = held.where("eval").select("token", F.col("class_id").alias("b"), F.col("size").alias("size_b"))
-    met = left.join(right, "token").where("a <> b").where(sizes_fit(F.col("size_a"), F.col("size_b"), t))
+    held = p.written(p.postings().select("token", "class_id", "size", "hot").join(flags.frame, "class_id"))
+    left = held.each(lambda rows: rows.where("train").select("token", F.col("class_id").alias("a"), F.col("size").alias("size_a")))
+    right = held.each(lambda rows: rows.where("eval").select("token", F.col("class_id").alias("b"), F.col("size").alias("size_b")))
+    met = left.join(right).where("a <> b").where(sizes_fit(F.col("size_a"), F.col("size_b"), t))
     near = met.groupBy("a", "b", "size_a", "size_b").count().where(F.col("count") >= shared_needed(F.col("size_a"), F.col("size_b"), t))
 
     reps = representatives(p.members).select("class_id", "id")

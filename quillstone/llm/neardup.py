@@ -16,10 +16,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.operators.graph import connected_components
-from quillstone.operators.similarity import id_filter, prefixes, shared_needed, sizes_fit, verify
+from quillstone.operators.similarity import Postings, id_filter, prefixes, shared_needed, sizes_fit, verify
 from quillstone.operators.sketch import count_sketch
 from quillstone.operators.skew import skew_join
-from quillstone.staging import Buckets, stage
+from quillstone.staging import Buckets, Stage, stage
 
 BLOCK = 64
 #: log2 of the buckets that count the families' classes.
@@ -27,59 +27,82 @@ FAMILY_BITS = 20
 
 
 def near_duplicate_groups(docs: DataFrame, t: float = 0.8, k: int = 5) -> DataFrame:
-    """(id, class_id, group_id, links) of every document of ``docs`` (id long, text string).
+    """(id, class_id, group_id) of every document of ``docs`` (id long, text string).
 
     ``class_id`` is the smallest id with the same set of word runs, ``group_id`` the smallest id that is
-    linked by similarities of at least ``t``, also through others, and ``links`` the number of other classes
-    whose similarity to this one was established (in families above ``BLOCK`` not all are tried, and leaders count as linked to their head). Texts that are null or without words are one class;
+    linked by similarities of at least ``t``, also through others. Links are not counted: within a large family those that
+    change no group are never looked for. Texts that are null or without words are one class;
     an empty table gives an empty result. Other columns of ``docs`` are ignored.
     """
+    written: list[Stage] = []  # dropped at the end, as only members and groups are read from then on
+
+    def keep(s: Stage) -> DataFrame:
+        written.append(s)
+        return s.frame
+
     p = prefixes(docs, t, k)
     classes = p.members.groupBy("class_id").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("min_hash").alias("min_hash"), F.first("sig").alias("sig"))
     families = classes.groupBy("min_hash").agg(F.count(F.lit(1)).alias("n"), F.min_by(F.struct("class_id", "rep", "sig"), "class_id").alias("leader"))
-    placed = stage(classes.join(families, "min_hash").select("class_id", "rep", "copies", "min_hash", "sig", "n", "leader"))
+    placed = keep(stage(classes.join(families, "min_hash").select("class_id", "rep", "copies", "min_hash", "sig", "n", "leader")))
 
     # Families beyond a block: which members are similar to their leader?
     agree = sum(((F.shiftrightunsigned(F.col("sig").bitwiseXOR(F.col("leader.sig")), 15 * i).bitwiseAND(F.lit(0x7FFF))) == 0).cast("int") for i in range(4))
-    star = placed.frame.where((F.col("n") > BLOCK) & (F.col("class_id") != F.col("leader.class_id")) & (agree >= 3))
-    proven = stage(verify(star.select(F.col("leader.rep").alias("a"), F.col("rep").alias("b")), docs, t, k))
+    star = placed.where((F.col("n") > BLOCK) & (F.col("class_id") != F.col("leader.class_id")) & (agree >= 3))
+    proven = keep(stage(verify(star.select(F.col("leader.rep").alias("a"), F.col("rep").alias("b")), docs, t, k)))
     # A leader with fewer followers than a block saves nothing; its links stand all the same.
-    heads = _heads(proven.frame.groupBy(F.col("a").alias("id")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= BLOCK).select("id"), docs, t, k)
-    settled = proven.frame.join(heads, "a").select(F.col("b").alias("rep"), F.col("head").alias("lead")).union(heads.select("a", "head"))
+    heads = _heads(proven.groupBy(F.col("a").alias("id")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= BLOCK).select("id"), docs, t, k)
+    settled = proven.join(heads, "a").select(F.col("b").alias("rep"), F.col("head").alias("lead")).union(heads.select("a", "head"))
 
-    held = stage(placed.frame.where(F.col("n") > BLOCK).join(settled, "rep").select("class_id", "lead")).frame
+    held = keep(stage(placed.where(F.col("n") > BLOCK).join(settled, "rep").select("class_id", "lead")))
     sketch = count_sketch(classes.select("min_hash"), lambda b: iter([b["min_hash"].to_numpy().view(np.uint64)]), FAMILY_BITS)
     shared = p.postings(docs.sparkSession.sparkContext.broadcast(sketch), BLOCK)
+    if p.hot_at is not None:
+        shared = keep(stage(shared))
+    columns = ["token", "class_id", "size", "family"]
+
+    def placed_cells(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Rows of small families as they are, and of large ones with their leaders."""
+        led = rows.where("large").join(held, "class_id", "left").select(*columns, "lead")
+        return rows.where("not large").select(*columns, F.lit(None).cast("long").alias("lead")), led
+
     # part 0: rows of small families; 1: of large ones as they come; 2: these with their leaders
     part = F.when(F.col("large"), 1).otherwise(0).alias("part")
-    table = Buckets(shared.dropDuplicates(["token", "class_id"]).select("token", "class_id", "size", "family", F.lit(None).cast("long").alias("lead"), part), "token", "part")
+    table = Buckets(shared.where("not hot").dropDuplicates(["token", "class_id"]).select(*columns, F.lit(None).cast("long").alias("lead"), part), "token", "part")
     led = table.frame.where("part = 1").drop("lead").join(held, "class_id", "left")
-    table.add(led.select("token", "class_id", "size", "family", "lead", F.lit(2).alias("part")))
-    cells = table.frame.where("part in (0, 2)").select("token", "class_id", "size", "family", "lead")
-    leads = cells.groupBy("token").agg(F.min("lead").alias("lo"), F.max("lead").alias("hi"))
-    queries = cells.join(leads, "token").where("lead is null or lo < hi").select("token", F.col("class_id").alias("q"), F.col("size").alias("q_size"), F.col("lead").alias("q_lead"))
-    matrix = cells.groupBy("token", "family", "lead").agg(F.collect_list(F.struct("class_id", "size")).alias("held"))
+    table.add(led.select(*columns, "lead", F.lit(2).alias("part")))
+    written.append(table)
+    hot = None
+    if p.hot_at is not None:
+        small, large = placed_cells(shared.where("hot").dropDuplicates(["token", "class_id"]))
+        hot = keep(stage(small.union(large)))
+    cells = Postings(table.frame.where("part in (0, 2)").select(*columns, "lead"), hot)
+    matrix = cells.each(lambda rows: rows.groupBy("token", "family", "lead").agg(F.collect_list(F.struct("class_id", "size")).alias("held")))
+
+    def asking(rows: DataFrame) -> DataFrame:
+        leads = rows.groupBy("token").agg(F.min("lead").alias("lo"), F.max("lead").alias("hi"))
+        return rows.join(leads, "token").where("lead is null or lo < hi").select("token", F.col("class_id").alias("q"), F.col("size").alias("q_size"), F.col("lead").alias("q_lead"))
+
     peers = (F.col("q_lead").isNull() == F.col("lead").isNull()) & ((F.col("q_lead") != F.col("lead")) | F.col("lead").isNull())
-    opened = _opened(queries.join(matrix, "token").where(peers), t, smaller_only=True)
-    reps = placed.frame.select("class_id", "rep")
-    known = proven.frame.select("a", "b").union(heads.where("a <> head").select("head", "a"))
+    opened = _opened(cells.each(asking).join(matrix).where(peers), t, smaller_only=True)
+    reps = placed.select("class_id", "rep")
+    known = proven.select("a", "b").union(heads.where("a <> head").select("head", "a"))
     if not held.isEmpty():
-        asked, adopted = _adopt(cells, reps, docs, t, k)
+        asked, adopted = _adopt(cells.cold, reps, docs, t, k, cells.hot)
         known = known.union(adopted)
-        opened = opened.union(_opened(asked.join(matrix.where("lead is not null"), ["token", "lead"]), t, smaller_only=False))
+        opened = opened.union(_opened(asked.join(matrix.each(lambda rows: rows.where("lead is not null")), ("token", "lead")), t, smaller_only=False))
     counted = opened.select("q", "q_size", F.explode("held").alias("m")).groupBy("q", "q_size", "m").count()
     candidates = counted.where(F.col("count") >= shared_needed(F.col("m.size"), F.col("q_size"), t)).select("q", F.col("m.class_id").alias("m"))
 
     named = candidates.join(reps.select(F.col("class_id").alias("q"), F.col("rep").alias("a")), "q").join(reps.select(F.col("class_id").alias("m"), F.col("rep").alias("b")), "m")
     pairs = stage(named.select("a", "b"))
-    links = stage(verify(pairs.frame, docs, t, k).select("a", "b").union(known).distinct())
+    links = keep(stage(verify(pairs.frame, docs, t, k).select("a", "b").union(known).distinct()))
     pairs.drop()
-    roots = connected_components(links.frame)
-    degree = links.frame.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("links"))
-    named_classes = placed.frame.select("class_id", "rep", "copies")
-    by_class = named_classes.join(roots, F.col("rep") == F.col("node"), "left").join(degree, "rep", "left").select("class_id", F.col("rep").alias("copy_of"), "copies", F.coalesce("root", "rep").alias("group_id"), F.coalesce("links", F.lit(0)).alias("links"))
-    joined = skew_join(p.members.select("id", "class_id"), stage(by_class).frame, "class_id", "copies")
-    return joined.select("id", F.col("copy_of").alias("class_id"), "group_id", "links")
+    roots = connected_components(links)
+    named_classes = placed.select("class_id", "rep", "copies")
+    by_class = stage(named_classes.join(roots, F.col("rep") == F.col("node"), "left").select("class_id", F.col("rep").alias("copy_of"), "copies", F.coalesce("root", "rep").alias("group_id"))).frame
+    for s in [*written, *p.stages[1:]]:
+        s.drop()
+    return skew_join(p.members.select("id", "class_id"), by_class, "class_id", "copies").select("id", F.col("copy_of").alias("class_id"), "group_id")
 
 
 def _heads(leaders: DataFrame, docs: DataFrame, t: float, k: int) -> DataFrame:
@@ -109,21 +132,22 @@ def least_shared(lo: Column, hi: Column, size: Column, t: float) -> Column:
     return F.greatest(F.least(shared_needed(lo, size, t), shared_needed(hi, size, t)) - F.lit(1), F.lit(1))
 
 
-def _adopt(cells: DataFrame, reps: DataFrame, docs: DataFrame, t: float, k: int) -> tuple[DataFrame, DataFrame]:
+def _adopt(cells: DataFrame, reps: DataFrame, docs: DataFrame, t: float, k: int, hot: DataFrame | None = None) -> tuple[Postings, DataFrame]:
     """Queries without a leader against families with one, as a whole first.
 
     Where the overlap with the family's union reaches the bound, the query is held against the leader: if similar it is linked (a, b)
     and done with that family. The others (token, q, q_size, lead) must have its groups opened.
     """
-    free = cells.where("lead is null").select("token", F.col("class_id").alias("q"), F.col("size").alias("q_size"))
-    tied = cells.where("lead is not null")
-    span = tied.groupBy("lead").agg(F.min("size").alias("lo"), F.max("size").alias("hi"))
-    touch = free.join(tied.select("token", "lead").distinct(), "token").groupBy("q", "q_size", "lead").agg(F.count(F.lit(1)).alias("overlap")).join(span, "lead")
+    both = Postings(cells, hot)
+    free = both.each(lambda rows: rows.where("lead is null").select("token", F.col("class_id").alias("q"), F.col("size").alias("q_size")))
+    span = both.all().where("lead is not null").groupBy("lead").agg(F.min("size").alias("lo"), F.max("size").alias("hi"))
+    met = free.join(both.each(lambda rows: rows.where("lead is not null").select("token", "lead").distinct()))
+    touch = met.groupBy("q", "q_size", "lead").agg(F.count(F.lit(1)).alias("overlap")).join(span, "lead")
     lo, hi = F.greatest(F.col("lo"), F.ceil(F.lit(t) * F.col("q_size") - F.lit(1e-9))), F.least(F.col("hi"), F.floor(F.col("q_size") / F.lit(t) + F.lit(1e-9)))
     near = stage(touch.where((lo <= hi) & (F.col("overlap") >= least_shared(lo, hi, F.col("q_size"), t))).join(reps.select(F.col("class_id").alias("q"), "rep"), "q").select("q", "rep", "lead")).frame
     adopted = stage(verify(near.select(F.col("lead").alias("a"), F.col("rep").alias("b")), docs, t, k).select("a", "b")).frame
     left = near.join(adopted, (F.col("lead") == F.col("a")) & (F.col("rep") == F.col("b")), "left_anti").select("q", "lead")
-    return free.join(left, "q").select("token", "lead", "q", "q_size"), adopted
+    return free.each(lambda rows: rows.join(left, "q").select("token", "lead", "q", "q_size")), adopted
 
 
 def groups_of_two(found: DataFrame) -> DataFrame:

@@ -112,7 +112,7 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_classes(spark: SparkSession, d: str) -> DataFrame:
-    return near_duplicate_groups(_bodies(spark, d)).select(F.col("id").alias("record_id"), "class_id", "group_id", "links")
+    return near_duplicate_groups(_bodies(spark, d)).select(F.col("id").alias("record_id"), "class_id", "group_id")
 
 
 def _documents(spark: SparkSession, d: str) -> DataFrame:

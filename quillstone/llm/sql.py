@@ -35,7 +35,6 @@ SQL: dict[str, str] = {
     "p5_found": f"WITH {_LINES} SELECT record_id, CAST(line_no AS INTEGER) AS line_no FROM norm JOIN often USING (source, k)",
     "p5_clean": f"WITH {_LINES}, kept AS (SELECT record_id, string_agg(line, chr(10) ORDER BY line_no) FILTER (WHERE o.k IS NULL) AS body, count(o.k) AS removed FROM norm LEFT JOIN often o ON o.source = norm.source AND o.k = norm.k GROUP BY record_id) SELECT f.record_id, {_SOURCE} AS source, CASE WHEN f.body IS NOT NULL THEN coalesce(kept.body, '') END AS body, coalesce(removed, 0)::INTEGER AS removed FROM filing_records f LEFT JOIN kept ON kept.record_id = f.record_id",
     "p7_found": f"WITH RECURSIVE {_SETS}, e0 AS (SELECT a, b FROM pairs), {_WALK} SELECT id AS record_id, root AS group_id FROM roots",
-    "p7_classes": f"""WITH RECURSIVE {_SETS}, e0 AS (SELECT a, b FROM pairs), {_WALK}, c AS (SELECT record_id, min(record_id) OVER (PARTITION BY md5(array_to_string(list_sort(s), '|'))) AS class_id FROM runs),
- n AS (SELECT x.class_id AS c, count(*) AS links FROM (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs) p JOIN c x ON x.record_id = p.a AND x.class_id = p.a JOIN c y ON y.record_id = p.b AND y.class_id = p.b GROUP BY 1)
- SELECT record_id, class_id, coalesce(root, record_id) AS group_id, coalesce(links, 0) AS links FROM c LEFT JOIN roots ON roots.id = record_id LEFT JOIN n ON n.c = class_id""",
+    "p7_classes": f"""WITH RECURSIVE {_SETS}, e0 AS (SELECT a, b FROM pairs), {_WALK}, c AS (SELECT record_id, min(record_id) OVER (PARTITION BY md5(array_to_string(list_sort(s), '|'))) AS class_id FROM runs)
+ SELECT record_id, class_id, coalesce(root, record_id) AS group_id FROM c LEFT JOIN roots ON roots.id = record_id""",
 }

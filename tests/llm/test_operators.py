@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from quillstone.functions.shingling import shingle_set
 from quillstone.llm import boilerplate, contamination, lines, mixing, neardup, packing, pii, splits, splitting, tokens
+from quillstone.operators import similarity
 from quillstone.operators.similarity import shared_needed
 from tests.llm.held_out_pages import LATER, PAGES, cases
 from tests.llm.unseen_names import NAMES, NOBODY
@@ -136,6 +137,24 @@ def test_near_duplicate_groups_equal_brute_force(spark, monkeypatch):
     assert neardup.near_duplicate_groups(docs.limit(0)).count() == 0
 
 
+def test_hot_runs_lie_apart_and_lose_nothing(spark, monkeypatch):
+    """A run in a fifth of all documents, and short documents that share little else."""
+    monkeypatch.setattr(similarity, "HOT_RUN", 8)
+    monkeypatch.setattr(similarity, "HOT_SHARE", 10**9)
+    monkeypatch.setattr(neardup, "BLOCK", 8)
+    rng = random.Random(11)
+    notice = "this notice stands in many texts of the house"
+    texts = [*corpus(rng, 12, 6), *corpus(rng, 1, 60)]
+    texts = [f"{notice} {t}" if i % 5 == 0 else t for i, t in enumerate(texts)] + [f"{notice} {w}" for w in "abcdefghijkl"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    p = similarity.prefixes(docs, 0.8)
+    assert p.hot_at is not None and p.postings().where("hot").count() > 0
+    pairs = [(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if alike(texts[i], texts[j])]
+    assert {r["id"]: r["group_id"] for r in neardup.near_duplicate_groups(docs).collect()} == roots(pairs, range(len(texts)))
+    sides = spark.createDataFrame([(i, "train" if i % 2 else "eval") for i in range(len(texts))], "id long, side string")
+    assert {tuple(r) for r in contamination.cross_split_pairs(docs, sides).collect()} == {(a, b) if a % 2 else (b, a) for a, b in pairs if a % 2 != b % 2}
+
+
 def test_families_of_leaders_are_bounded_by_all_their_sizes(spark):
     sizes = spark.range(20, 141, 3).select(F.col("id").alias("q"))
     spans = sizes.crossJoin(spark.range(16, 176, 5).select(F.col("id").alias("lo"))).crossJoin(spark.range(16, 176, 3).select(F.col("id").alias("hi"))).where("lo <= hi and lo >= 0.8 * q and 0.8 * hi <= q")
@@ -153,7 +172,7 @@ def test_member_between_the_sizes_of_its_family_is_asked(spark):
     docs = spark.createDataFrame([(1, "one two three four five six"), (10, "ten words that are not at all like those")], "id long, text string")
     asked, adopted = neardup._adopt(cells, reps, docs, 0.8, 5)
     assert adopted.isEmpty()
-    assert {(r.token, r.q, r.lead) for r in asked.collect()} == {(i, 1, 10) for i in range(6)}
+    assert {(r.token, r.q, r.lead) for r in asked.all().collect()} == {(i, 1, 10) for i in range(6)}
 
 
 def test_cross_split_pairs_equal_brute_force(spark):
