@@ -23,10 +23,10 @@ from quillstone.operators.sketch import Counter, bucket, count_sketch, decoded,
 from quillstone.session import spread
 from quillstone.staging import Stage, stage, stage_bucketed
 
-#: Bounds of the sketch's width (log2; 2 bytes an entry are broadcast, 8 and 64 MB): between them it has an entry for about ten runs.
+#: Bounds of the sketch's width (log2; 2 bytes an entry are broadcast, 8 and 64 MB): between them it has an entry for some twenty runs.
 SKETCH_BITS, MOST_BITS = 22, 25
 #: Characters of text for each entry, as a run begins at every word.
-CHARS_AN_ENTRY = 60
+CHARS_AN_ENTRY = 100
 MEMBER_BITS = 23
 #: A run is hot if more than so many documents and more than a ``HOT_SHARE``-th of all hold it, and is then dealt to ``HOT_SALTS`` tasks.
 HOT_RUN, HOT_SHARE, HOT_SALTS = 10_000, 500, 16
@@ -126,15 +126,19 @@ class Prefixes:
                     })
 
         every = self.docs.select("text").mapInArrow(wide, "token long, class_id long, size int, family long, large boolean, hot boolean")
-        same = Window.partitionBy("token", F.when(F.col("hot"), F.col("class_id")))  # a hot run is shared for certain
+        same = Window.partitionBy("token") if hot_at is None else Window.partitionBy("token", F.when(F.col("hot"), F.col("class_id")))  # a hot run is shared for certain
         return every.withColumns({"lo": F.min("class_id").over(same), "hi": F.max("class_id").over(same)}).where("lo < hi or hot").drop("lo", "hi")
 
-    def written(self, rows: DataFrame) -> Postings:
-        """``rows`` with token, class_id and hot, each class once a token, written: hot runs apart, the others in buckets."""
+    def written(self, rows: DataFrame, clustered: bool = False) -> Postings:
+        """``rows`` with token, class_id and hot, each class once a token, written: hot runs apart, the others in buckets.
+
+        ``clustered``: they come by token, as ``postings`` gives them.
+        """
         if self.hot_at is not None:
             self.stages.append(stage(rows))
             rows = self.stages[-1].frame
-        cold = stage_bucketed(rows.where("not hot").drop("hot").repartition("token").dropDuplicates(["token", "class_id"]), "token")
+        cold = rows.where("not hot").drop("hot")
+        cold = stage_bucketed((cold if clustered and self.hot_at is None else cold.repartition("token")).dropDuplicates(["token", "class_id"]), "token")
         self.stages.append(cold)
         if self.hot_at is None:
             return Postings(cold.frame, None)
@@ -262,7 +266,7 @@ def similar_pairs(docs: DataFrame, t: float, k: int = 5) -> tuple[DataFrame, Dat
     """Pairs (a, b, similarity) of class representatives, the representatives, and the memberships behind them."""
     p = prefixes(docs, t, k)
     reps = representatives(p.members)
-    c = class_pairs(p.written(p.postings().select("token", "class_id", "size", "hot")), t)
+    c = class_pairs(p.written(p.postings().select("token", "class_id", "size", "hot"), clustered=True), t)
     named = c.join(reps.select(F.col("class_id").alias("a"), F.col("id").alias("ra")), "a").join(reps.select(F.col("class_id").alias("b"), F.col("id").alias("rb")), "b")
     pairs = stage(named.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")))
     p.stages.append(pairs)

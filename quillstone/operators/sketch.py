@@ -40,11 +40,12 @@ class Counter:
             self.waiting, self.held = [], 0
 
     def chunks(self) -> Iterator[tuple[int, bytes]]:
+        """Number and counts of every chunk, a byte each where that is enough."""
         self._count()
         for i in range(0, 1 << self.bits, CHUNK):
             part = self.counts[i : i + CHUNK]
-            if part.any():
-                yield i // CHUNK, part.tobytes()
+            if (most := part.max()):
+                yield i // CHUNK, (part.astype(np.uint8) if most < 256 else part).tobytes()
 
 
 def few_tasks(df: DataFrame) -> DataFrame:
@@ -59,7 +60,7 @@ def merged_sketch(rows: DataFrame, bits: int) -> np.ndarray:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for c, raw in zip(batch["chunk"].to_pylist(), batch["counts"].to_pylist()):
-                part = np.frombuffer(raw, dtype=np.uint32).astype(np.uint64)
+                part = np.frombuffer(raw, dtype=np.uint8 if len(raw) < 4 * CHUNK else np.uint32).astype(np.uint64)
                 sums[c] = sums[c] + part if c in sums else part
         for c, s in sums.items():
             yield pa.RecordBatch.from_pydict({"chunk": pa.array([c], pa.int32()), "counts": pa.array([_squash(s).tobytes()], pa.binary())})
