@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstone.functions.vectors import ratio0
@@ -29,8 +29,8 @@ def vocabulary(grams: DataFrame, documents: int, min_df: int = 2, most: int = 10
 def tfidf(grams: DataFrame, vocab: DataFrame) -> DataFrame:
     """(id, term, weight): tf times idf at length 1 per document."""
     raw = grams.join(vocab.select("term", "idf"), "term").withColumn("x", F.col("tf") * F.col("idf"))
-    length = raw.groupBy("id").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("length"))
-    return raw.join(length, "id").select("id", "term", (F.col("x") / F.col("length")).alias("weight"))
+    length = F.sqrt(F.sum(F.col("x") * F.col("x")).over(Window.partitionBy("id")))  # a document's terms, and one shuffle
+    return raw.select("id", "term", (F.col("x") / length).alias("weight"))
 
 
 def standardized(df: DataFrame, vector: str, key: str) -> DataFrame:

@@ -55,10 +55,14 @@ def log_loss(floor: float = 1e-12) -> Column:
 def breakdown(df: DataFrame, slices: list[str], by: str = "model") -> DataFrame:
     """Scores overall and by each of ``slices``, per ``by``, by grouping sets: one scan, one shuffle."""
     data = scored(df)
-    null = lambda c: F.lit(None).cast("string").alias(c)
-    expanded = data.select(by, "truth", "guess", "p0", "p1", F.explode(F.array(F.struct(F.lit("overall").alias("slice"), null("value")), *[F.struct(F.lit(s).alias("slice"), F.col(s).cast("string").alias("value")) for s in slices])).alias("g"))
-    grouped = expanded.groupBy(by, F.col("g.slice").alias("slice"), F.col("g.value").alias("slice_value")).agg(F.count(F.lit(1)).alias("rows"), *cells(), brier().alias("brier"), log_loss().alias("log_loss"))
-    return class_scores(grouped)
+    columns = [F.col(s) for s in slices]
+    grouped = data.groupingSets([[F.col(by)], *[[F.col(by), c] for c in columns]], F.col(by), *columns).agg(F.grouping_id().alias("__set"), F.count(F.lit(1)).alias("rows"), *cells(), brier().alias("brier"), log_loss().alias("log_loss"))
+    width = len(slices)  # the bit of a column that a row is grouped by is 0
+    name, value = F.lit("overall"), F.lit(None).cast("string")
+    for i, s in enumerate(slices):
+        mine = F.col("__set") == (2**width - 1) ^ (1 << (width - 1 - i))
+        name, value = F.when(mine, s).otherwise(name), F.when(mine, F.col(s).cast("string")).otherwise(value)
+    return class_scores(grouped.withColumns({"slice": name, "slice_value": value}).drop("__set", *slices))
 
 
 def bins(df: DataFrame, by: str = "model") -> DataFrame:

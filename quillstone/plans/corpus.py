@@ -263,9 +263,15 @@ def group_order(spark, d):
     return _ordered_groups(spark, d)
 
 
-@query(f"{_BUCKET} SELECT record_id, size FROM t JOIN (VALUES (50), (100), (400)) s(size) ON ordinal <= size")
+#: The sizes of nested subsets; all rows are the last one, and none is above their count.
+ALL_SIZES = (4000, 16000)
+_SIZES = "(SELECT v.size FROM (VALUES (4000), (16000)) v(size) WHERE v.size < (SELECT count(*) FROM t) UNION ALL SELECT count(*) FROM t) s"
+
+
+@query(f"{_BUCKET} SELECT record_id, size FROM t JOIN {_SIZES} ON ordinal <= size")
 def nested_subsets(spark, d):
-    sizes = spark.createDataFrame([(50,), (100,), (400,)], "size int")
+    rows = table(spark, d, "filing_records").count()
+    sizes = spark.createDataFrame([(n,) for n in (*(n for n in ALL_SIZES if n < rows), rows)], "size long")
     return _robin(spark, d).join(F.broadcast(sizes), F.col("ordinal") <= F.col("size")).select("record_id", "size")
 
 
@@ -274,30 +280,20 @@ def _composition(subsets: DataFrame, spark, d) -> DataFrame:
     return subsets.join(r, "record_id").groupBy("size").agg(F.count(F.lit(1)).alias("n"), F.sum("n").alias("characters"), F.count_distinct("src").alias("sources"), F.count_if(F.col("label") == "review_worthy").alias("review_worthy"))
 
 
-@query(f"{_BUCKET} SELECT size, count(*) AS n, sum(length(body))::BIGINT AS characters, count(DISTINCT src) AS sources, count(*) FILTER (WHERE coalesce(human.label, llm.label) = 'review_worthy') AS review_worthy FROM t JOIN (VALUES (50), (100), (400)) s(size) ON ordinal <= size JOIN rec USING (record_id) GROUP BY size")
+@query(f"{_BUCKET} SELECT size, count(*) AS n, sum(length(body))::BIGINT AS characters, count(DISTINCT src) AS sources, count(*) FILTER (WHERE coalesce(human.label, llm.label) = 'review_worthy') AS review_worthy FROM t JOIN {_SIZES} ON ordinal <= size JOIN rec USING (record_id) GROUP BY size")
 def subset_composition(spark, d):
     return _composition(nested_subsets(spark, d), spark, d)
 
 
-#: The subsets of the full job: 4,000, 16,000 and all rows, none above the count. The two queries before keep the sizes that their SQL fixes.
-ALL_SIZES = (4000, 16000)
-
-
-def _all_sizes(name: str) -> str:
-    of = "(SELECT v.size FROM (VALUES (4000), (16000)) v(size) WHERE v.size < (SELECT count(*) FROM t) UNION ALL SELECT count(*) FROM t) s"
-    return corpus.sql[name].replace("(VALUES (50), (100), (400)) s(size)", of)
-
-
-@query(_all_sizes("nested_subsets"))
-def nested_subsets_whole(spark, d):
-    rows = table(spark, d, "filing_records").count()
-    sizes = spark.createDataFrame([(n,) for n in (*(n for n in ALL_SIZES if n < rows), rows)], "size long")
-    return _robin(spark, d).join(F.broadcast(sizes), F.col("ordinal") <= F.col("size")).select("record_id", "size")
-
-
-@query(_all_sizes("subset_composition"))
-def subset_composition_whole(spark, d):
-    return _composition(nested_subsets_whole(spark, d), spark, d)
+@query(f"{_BUCKET}, s AS (SELECT record_id, size FROM t JOIN {_SIZES} ON ordinal <= size), k AS (SELECT DISTINCT size FROM s) SELECT a.size AS smaller, min(b.size) AS larger, 0::BIGINT AS missing FROM k a JOIN k b ON a.size < b.size GROUP BY a.size")
+def nested_prefix_check(spark, d):
+    """Of each subset, how many rows the next larger one lacks."""
+    s = nested_subsets(spark, d)
+    k = s.select("size").distinct()
+    following = k.select(F.col("size").alias("smaller")).join(F.broadcast(k), F.col("smaller") < F.col("size")).groupBy("smaller").agg(F.min("size").alias("larger"))
+    left = s.join(F.broadcast(following), F.col("size") == F.col("smaller")).select("record_id", "smaller", "larger")
+    lacking = left.join(s, (left["record_id"] == s["record_id"]) & (left["larger"] == s["size"]), "left_anti").groupBy("smaller").agg(F.count(F.lit(1)).alias("n"))
+    return following.join(lacking, "smaller", "left").select("smaller", "larger", F.coalesce("n", F.lit(0)).alias("missing"))
 
 
 @query(f"""WITH {REC}, m AS (SELECT DISTINCT record_id, cohort FROM cohort_membership), o AS (SELECT cohort, h || ':' || coalesce(human.label, llm.label, '') AS t, row_number() OVER (PARTITION BY cohort ORDER BY h, record_id) AS rn FROM rec JOIN m USING (record_id) WHERE h IS NOT NULL),
@@ -334,6 +330,17 @@ def replace_groups(spark, d):
     return selection.replace_groups(base, ordering.with_ordinal(pure, ["group_id"]), additions)
 
 
+@query(f"""WITH {REC}, b AS (SELECT coalesce(event, h) AS g, src FROM rec WHERE coalesce(event, h) IS NOT NULL), n AS (SELECT count(*) AS n FROM b)
+ SELECT 'whole' AS part, n // 5 AS rows, 0::BIGINT AS split FROM n UNION ALL SELECT 'selection', n // 10, 0 FROM n UNION ALL SELECT 'calibration', n // 20, 0 FROM n UNION ALL SELECT 'replaced', n, 0 FROM n""")
+def group_selection_totals(spark, d):
+    """How many rows each choice of whole groups has, and how many groups it holds in part."""
+    base = records(spark, d).select(F.coalesce("event", "body_sha256").alias("group_id")).where("group_id is not null").groupBy("group_id").agg(F.count(F.lit(1)).alias("whole"))
+    parts = sequential_topup(spark, d).select("part", "group_id", "size").unionByName(whole_group_select(spark, d).select(F.lit("whole").alias("part"), "group_id", "size"))
+    replaced = replace_groups(spark, d).groupBy("group_id").agg(F.count(F.lit(1)).alias("size")).select(F.lit("replaced").alias("part"), "group_id", "size")
+    kept = parts.unionByName(replaced).join(base, "group_id", "left")
+    return kept.groupBy("part").agg(F.sum("size").alias("rows"), F.count_if((F.col("size") != F.col("whole")) & ~F.col("group_id").startswith("new:")).alias("split"))
+
+
 @query(f"WITH {REC}, g AS (SELECT coalesce(event, h) AS group_id, src FROM rec WHERE coalesce(event, h) IS NOT NULL) SELECT group_id, count(*) AS size FROM g GROUP BY group_id HAVING bool_and(src = 'sec')")
 def homogeneous_groups(spark, d):
     g = records(spark, d).select(F.coalesce("event", "body_sha256").alias("group_id"), "src").where("group_id is not null")

@@ -141,13 +141,14 @@ def fit_policies(spark, d):
 
 @query(f"WITH {_POINTS} SELECT model, policy, max(skipped)::BIGINT AS skipped FROM ok GROUP BY model, policy")
 def fit_policies_check(spark, d):
-    """By direct comparison of every row with every cut-off, as a second formulation."""
+    """From the other end: what a cut-off leaves is added up from the lowest p0, and what it skips is the rest."""
     p = metrics.scored(predictions(spark, d)).select("model", "p0", "p1", "truth")
-    cuts = p.where("p1 < 0.5").select("model", F.col("p0").alias("t")).distinct()
-    tot = p.groupBy("model").agg(F.count(F.lit(1)).alias("rows"), F.sum("truth").alias("support"))
-    hit = cuts.join(p, "model").groupBy("model", "t").agg(F.count_if((F.col("p1") < 0.5) & (F.col("p0") >= F.col("t"))).alias("s"), F.count_if((F.col("p1") < 0.5) & (F.col("p0") >= F.col("t")) & (F.col("truth") == 1)).alias("m")).join(tot, "model")
+    tot = p.groupBy("model").agg(F.count(F.lit(1)).alias("rows"), F.sum("truth").alias("support"), F.count_if(F.col("p1") < 0.5).alias("open"), F.count_if((F.col("p1") < 0.5) & (F.col("truth") == 1)).alias("risky"))
+    steps = p.where("p1 < 0.5").groupBy("model", "p0").agg(F.count(F.lit(1)).alias("n"), F.sum("truth").alias("t"))
+    upto = running_totals(steps, "model", [F.asc("p0")], ["n", "t"]).join(F.broadcast(tot), "model")
+    hit = upto.withColumns({"s": F.col("open") - F.col("n_upto") + F.col("n"), "m": F.col("risky") - F.col("t_upto") + F.col("t")})
     rules = [(str(b), (F.col("support") > 0) & (F.col("m") <= b * F.col("support"))) for b in policies.MISS_RATES] + [(f"skip_{b}", F.col("s") <= F.floor(b * F.col("rows") + 1e-9)) for b in policies.SKIP_SHARES]
-    best = hit.groupBy("model").agg(*[F.coalesce(F.max(F.when(c, F.col("s"))), F.lit(0)).alias(n) for n, c in rules])
+    best = tot.select("model").join(hit, "model", "left").groupBy("model").agg(*[F.coalesce(F.max(F.when(c, F.col("s"))), F.lit(0)).alias(n) for n, c in rules])
     return best.select("model", F.explode(F.create_map(*[x for n, _ in rules for x in (F.lit(n), F.col(f"`{n}`"))])).alias("policy", "skipped"))
 
 
@@ -165,9 +166,9 @@ def temperature_fit(spark, d):
     return policies.fit_temperature(predictions(spark, d)).select("model", *r6("log_t", "nll"))
 
 
-_U = "('0x' || substr(sha256(g || ':' || r), 1, 8))::BIGINT / 4294967296.0"
-_W = "(u >= 0.36787944117144233)::INT + (u >= 0.7357588823428847)::INT + (u >= 0.9196986029286058)::INT + (u >= 0.9810118431238462)::INT + (u >= 0.9963401531726563)::INT + (u >= 0.9994058151824183)::INT"
-REPLICATES = 200
+_U = "substr(sha256(g || ':' || (r // 8)), 1 + 8 * (r % 8)::INT, 8)"
+_W = " + ".join(f"(u >= '{s}')::INT" for s in B.STEPS)
+REPLICATES = 2000
 _BOOT = f"""{PRED}, cells AS (SELECT model, coalesce(group_id, body_sha256) AS g, {_CELLS} FROM pred GROUP BY 1, 2), u AS (SELECT *, {_U} AS u FROM cells CROSS JOIN (SELECT range AS r FROM range({REPLICATES}))), w AS (SELECT *, {_W} AS w FROM u),
  reps AS (SELECT model, r, sum(tn * w) AS tn, sum(fp * w) AS fp, sum(fn * w) AS fn, sum(tp * w) AS tp FROM w WHERE w > 0 GROUP BY 1, 2), f1 AS (SELECT model, r, {_F1} AS m FROM reps)"""
 
@@ -212,27 +213,35 @@ def results_table(spark, d):
     return _results(spark, d, REPLICATES)
 
 
-#: The replicates of the full job. The queries above keep the few that their SQL fixes; these have the same SQL with all.
-ALL_REPLICATES = 2000
+_NAMED = """macro_f1: {f1}; dangerous_miss_rate: fn / nullif(fn + tp, 0); review_precision: coalesce(tp / nullif(tp + fp, 0), 0); review_recall: coalesce(tp / nullif(tp + fn, 0), 0); review_workload: (fp + tp) / (tn + fp + fn + tp); skip_fraction: (tn + fn) / (tn + fp + fn + tp)""".format(f1=_F1)
+POLICIES = ("0.01", "0.05", "skip_0.1", "skip_0.2", "skip_0.3")
+_GONE = ", ".join(f"count(*) FILTER (WHERE coalesce(discard['{q}'], false)) AS gone_{i}, count(*) FILTER (WHERE coalesce(discard['{q}'], false) AND truth = 1) AS lost_{i}" for i, q in enumerate(POLICIES))
+_ALL = [tuple(x.split(": ", 1)) for x in _NAMED.split("; ")] + [x for i, q in enumerate(POLICIES) for x in ((f"workload_{q}", f"gone_{i} / (tn + fp + fn + tp)"), (f"dangerous_miss_rate_{q}", f"lost_{i} / nullif(fn + tp, 0)"))]
+_SUMS = ", ".join(f"sum({c} * w) AS {c}" for c in ("tn", "fp", "fn", "tp", *[f"{k}_{i}" for i in range(len(POLICIES)) for k in ("gone", "lost")]))
+_STUDY = f"""{PRED}, cells AS (SELECT model, coalesce(group_id, body_sha256) AS g, {_CELLS}, {_GONE} FROM pred GROUP BY 1, 2), u AS (SELECT *, {_U} AS u FROM cells CROSS JOIN (SELECT range AS r FROM range({REPLICATES}))), w AS (SELECT *, {_W} AS w FROM u),
+ reps AS (SELECT model, r, {_SUMS} FROM w WHERE w > 0 GROUP BY 1, 2), v AS ({" UNION ALL ".join(f"SELECT model, r, '{k}' AS metric, ({x})::DOUBLE AS value FROM reps" for k, x in _ALL)})"""
 
 
-def _all_replicates(name: str) -> str:
-    return evaluation.sql[name].replace(f"range({REPLICATES})", f"range({ALL_REPLICATES})")
+def _study(spark, d) -> DataFrame:
+    p = table(spark, d, "prediction_rows").withColumns({"__p1": F.col("probabilities")[1], "__discard": F.map_entries("discard")}).drop("discard")
+    p = R.latest(p, ["model", "body_sha256"], ["scored_at", "__p1", "characters"]).withColumn("discard", F.map_from_entries("__discard"))
+    values = (*metrics.CELLS, *[f"{k}_{i}" for i in range(len(POLICIES)) for k in ("gone", "lost")])
+    return stage(B.study_metrics(B.replicates(B.study_cells(p, POLICIES), REPLICATES, values=values), POLICIES)).frame
 
 
-@query(_all_replicates("bootstrap_intervals"))
-def bootstrap_intervals_whole(spark, d):
-    return _intervals(spark, d, ALL_REPLICATES)
+@query(f"WITH {_STUDY} SELECT model, metric, round(quantile_cont(value, 0.025), 6) AS low, round(quantile_cont(value, 0.975), 6) AS high, count(value) AS valid_replicates FROM v GROUP BY 1, 2")
+def bootstrap_metrics(spark, d):
+    """Intervals of every named metric; replicates in which one is undefined don't count for it."""
+    return B.intervals_of(_study(spark, d)).select("model", "metric", *r6("low", "high"), "valid_replicates")
 
 
-@query(_all_replicates("paired_contrasts"))
-def paired_contrasts_whole(spark, d):
-    return _contrasts(spark, d, ALL_REPLICATES)
-
-
-@query(_all_replicates("results_table"))
-def results_table_whole(spark, d):
-    return _results(spark, d, ALL_REPLICATES)
+@query(f"WITH {_STUDY} SELECT a.model, a.metric, round(quantile_cont(a.value - b.value, 0.025), 6) AS low, round(quantile_cont(a.value - b.value, 0.975), 6) AS high, count(a.value - b.value) AS valid_replicates FROM v a JOIN v b ON a.r = b.r AND a.metric = b.metric AND b.model = 'tfidf-4k' GROUP BY 1, 2")
+def paired_metrics(spark, d):
+    """Every model against one, metric by metric, within replicates."""
+    v = _study(spark, d)
+    base = v.where("model = 'tfidf-4k'").select("replicate", "metric", F.col("value").alias("base"))
+    deltas = v.join(base, ["replicate", "metric"]).select("model", "replicate", "metric", (F.col("value") - F.col("base")).alias("value"))
+    return B.intervals_of(deltas).select("model", "metric", *r6("low", "high"), "valid_replicates")
 
 
 @query("""WITH RECURSIVE g AS (SELECT status, rubric, coalesce(charged, reserved) AS x FROM label_requests) SELECT rubric, count(*) AS n, round(coalesce(sum(x), 0), 6) AS total FROM g GROUP BY rubric UNION ALL SELECT 'all', count(*), round(coalesce(sum(x), 0), 6) FROM g""")
@@ -420,18 +429,9 @@ def model_disagreement(spark, d):
     return j.select("body_sha256", "tfidf", "lora", F.round(F.col("p_lora") - F.col("p_tfidf"), 6).alias("shift"))
 
 
-@query("SELECT model, task_id, first_scored = scored_at AS control, body_sha256, count(*) AS n FROM (SELECT *, min(scored_at) OVER (PARTITION BY model, family, document_type) AS first_scored FROM prediction_rows) WHERE first_scored = scored_at GROUP BY ALL")
-def matched_controls(spark, d):
-    """The first scored row of every kind, which the rest refer to."""
-    p = table(spark, d, "prediction_rows")
-    first = p.groupBy("model", "family", "document_type").agg(F.min("scored_at").alias("first_scored"))
-    held = p.join(first, ["model", "family", "document_type"]).where("scored_at = first_scored")
-    return held.groupBy("model", "task_id", F.lit(True).alias("control"), "body_sha256").agg(F.count(F.lit(1)).alias("n"))
-
-
 @query("SELECT model, family, document_type, task_id, body_sha256, first_value(task_id) OVER k AS control_task_id, first_value(body_sha256) OVER k AS control_body_sha256 FROM prediction_rows WINDOW k AS (PARTITION BY model, family, document_type ORDER BY scored_at NULLS LAST, task_id NULLS LAST, body_sha256 NULLS LAST)")
-def matched_controls_whole(spark, d):
-    """Every row with the one control of its kind, the first scored; ``matched_controls`` keeps the controls alone, as its SQL does."""
+def matched_controls(spark, d):
+    """Every row with the one control of its kind, the first scored."""
     p = table(spark, d, "prediction_rows").select("model", "family", "document_type", "task_id", "body_sha256", "scored_at")
     kind, order = ["model", "family", "document_type"], F.struct(*[x for c in ("scored_at", "task_id", "body_sha256") for x in (F.col(c).isNull(), F.col(c))])
     first = p.groupBy(*kind).agg(F.min_by(F.struct("task_id", "body_sha256"), order).alias("c")).select(*[F.col(k).alias(f"k_{k}") for k in kind], "c")
@@ -439,20 +439,12 @@ def matched_controls_whole(spark, d):
     return p.join(F.broadcast(first), same).select(*kind, "task_id", "body_sha256", F.col("c.task_id").alias("control_task_id"), F.col("c.body_sha256").alias("control_body_sha256"))
 
 
-@query(f"WITH {PRED}, n AS (SELECT model, body_sha256, truth, guess, row_number() OVER (PARTITION BY model ORDER BY body_sha256) AS k FROM pred), s AS (SELECT * FROM n JOIN (VALUES (20), (40), (80), (160)) v(size) ON k <= size), c AS (SELECT model, size, {_CELLS} FROM s GROUP BY 1, 2) SELECT model, size, round({_F1}, 6) AS macro_f1 FROM c")
-def learning_curve(spark, d):
-    n = rank_in_bucket(metrics.scored(predictions(spark, d)).select("model", "body_sha256", "truth", "guess"), "model", ["body_sha256"], "k")
-    sizes = spark.createDataFrame([(20,), (40,), (80,), (160,)], "size int")
-    c = n.join(F.broadcast(sizes), F.col("k") <= F.col("size")).groupBy("model", "size").agg(*metrics.cells())
-    return metrics.class_scores(c).select("model", "size", *r6("macro_f1"))
-
-
 _OF = "(SELECT m.model, v.size FROM (SELECT model, count(*) AS n FROM pred GROUP BY model) m JOIN (VALUES (4000), (16000)) v(size) ON v.size < m.n UNION ALL SELECT model, count(*) FROM pred GROUP BY model) v"
 
 
-@query(evaluation.sql["learning_curve"].replace("SELECT * FROM n JOIN (VALUES (20), (40), (80), (160)) v(size) ON k <= size", f"SELECT n.*, v.size FROM n JOIN {_OF} ON n.model = v.model AND k <= v.size"))
-def learning_curve_whole(spark, d):
-    """At 4,000, 16,000 and all of a model's rows; ``learning_curve`` keeps the sizes that its SQL fixes."""
+@query(f"WITH {PRED}, n AS (SELECT model, body_sha256, truth, guess, row_number() OVER (PARTITION BY model ORDER BY body_sha256) AS k FROM pred), s AS (SELECT n.*, v.size FROM n JOIN {_OF} ON n.model = v.model AND k <= v.size), c AS (SELECT model, size, {_CELLS} FROM s GROUP BY 1, 2) SELECT model, size, round({_F1}, 6) AS macro_f1 FROM c")
+def learning_curve(spark, d):
+    """At 4,000, 16,000 and all of a model's rows."""
     p = metrics.scored(predictions(spark, d)).select("model", "body_sha256", "truth", "guess")
     n = rank_in_bucket(p, "model", ["body_sha256"], "k")
     known = F.array(*[F.lit(x).cast("long") for x in ALL_SIZES])

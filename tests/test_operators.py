@@ -1,5 +1,6 @@
 """Core operators against plain versions on small and awkward inputs."""
 
+import collections
 import gzip
 import inspect
 import itertools
@@ -114,19 +115,33 @@ def test_running_totals_over_many_partitions(spark):
     assert ordering.running_totals(df.limit(0), "bucket", [F.col("k")], ["v"]).count() == 0
 
 
-def test_whole_groups_is_the_first_exact_choice(spark):
+def test_whole_groups_hit_the_count(spark):
     rng = random.Random(5)
-    for _ in range(6):
-        sizes = [rng.randrange(1, 9) for _ in range(12)]
+    for most in (9, 9, 30, 30):
+        sizes = [rng.randrange(1, most) for _ in range(14)]
         count = sum(rng.sample(sizes, 5))
         groups = spark.createDataFrame([(f"g{i}", s, i + 1) for i, s in enumerate(sizes)], "group_id string, size long, ordinal long")
-        got = selection.whole_groups(groups, count)
-        assert got.agg(F.sum("size")).first()[0] == count
-        taken = {0: ()}
-        for i, s in enumerate(sizes):  # plainly, all totals
-            for have in sorted(taken, reverse=True):
-                taken.setdefault(have + s, (*taken[have], f"g{i}"))
-        assert {r["group_id"] for r in got.collect()} == set(taken[count])
+        got = {r["group_id"]: r["size"] for r in selection.whole_groups(groups, count).collect()}
+        assert sum(got.values()) == count and all(sizes[int(g[1:])] == n for g, n in got.items())
+    singles = spark.createDataFrame([("big", 40, 1), *[(f"g{i}", 1, i + 2) for i in range(50)]], "group_id string, size long, ordinal long")
+    assert {r["group_id"] for r in selection.whole_groups(singles, 30).collect()} == {f"g{i}" for i in range(30)}  # the first ones, but for what can't fit
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.integers(1, 12), min_size=1, max_size=9), st.lists(st.booleans(), min_size=9, max_size=9), st.integers(1, 40))
+def test_change_is_found_where_there_is_one(sizes, chosen, rest):
+    inside, outside = collections.Counter(s for s, c in zip(sizes, chosen) if c), collections.Counter(s for s, c in zip(sizes, chosen) if not c)
+    reachable = {0}
+    for s, c in zip(sizes, chosen):
+        reachable |= {t + (-s if c else s) for t in reachable}
+    got = selection.exact_change(rest, dict(inside), dict(outside))
+    assert (got is not None) == (rest in reachable)
+    if got is not None:
+        assert sum(s * k for s, k in got.items()) == rest and all(-inside[s] <= k <= outside[s] for s, k in got.items())
+
+
+def test_whole_groups_of_nothing(spark):
+    groups = spark.createDataFrame([("g", 4, 1)], "group_id string, size long, ordinal long")
     with pytest.raises(ValueError):
         selection.whole_groups(spark.createDataFrame([("g", 4, 1)], "group_id string, size long, ordinal long"), 3)
     assert selection.whole_groups(groups, 0).count() == 0
@@ -193,23 +208,23 @@ def test_bootstrap_plans_agree(spark):
 
 
 def test_whole_intervals_rest_on_all_replicates(spark, sf_dir):
-    got = catalogue.QUERIES["bootstrap_intervals_whole"](spark, sf_dir).collect()
+    got = catalogue.QUERIES["bootstrap_intervals"](spark, sf_dir).collect()
     assert got and all(r["replicates"] == 2000 for r in got)
 
 
 def test_whole_subsets_hold_every_row(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/filing_records.parquet").count()
-    got = {r["size"]: r["n"] for r in catalogue.QUERIES["subset_composition_whole"](spark, sf_dir).collect()}
+    got = {r["size"]: r["n"] for r in catalogue.QUERIES["subset_composition"](spark, sf_dir).collect()}
     assert got == {n: n for n in {min(4000, rows), min(16000, rows), rows}}
     scored = {r["model"]: r["n"] for r in catalogue.QUERIES["prediction_rows"](spark, sf_dir).groupBy("model").agg(F.count(F.lit(1)).alias("n")).collect()}
-    curve = catalogue.QUERIES["learning_curve_whole"](spark, sf_dir).groupBy("model").agg(F.max("size").alias("n")).collect()
+    curve = catalogue.QUERIES["learning_curve"](spark, sf_dir).groupBy("model").agg(F.max("size").alias("n")).collect()
     assert scored and {r["model"]: r["n"] for r in curve} == scored
 
 
 def test_every_row_has_one_control_of_its_kind(spark, tmp_path):
     rows = [("m", "f", None, "t2", "b2", 1), ("m", "f", None, "t1", "b1", 1), ("m", "f", None, "t3", "b3", 2), ("m", "f", "d", "t4", "b4", 3), ("n", None, "d", "t5", "b5", None)]
     spark.createDataFrame(rows, "model string, family string, document_type string, task_id string, body_sha256 string, scored_at long").write.parquet(f"{tmp_path}/prediction_rows.parquet")
-    got = {r["task_id"]: (r["control_task_id"], r["control_body_sha256"]) for r in catalogue.QUERIES["matched_controls_whole"](spark, str(tmp_path)).collect()}
+    got = {r["task_id"]: (r["control_task_id"], r["control_body_sha256"]) for r in catalogue.QUERIES["matched_controls"](spark, str(tmp_path)).collect()}
     assert got == {"t1": ("t1", "b1"), "t2": ("t1", "b1"), "t3": ("t1", "b1"), "t4": ("t4", "b4"), "t5": ("t5", "b5")}
 
 
