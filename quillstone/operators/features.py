@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstone.functions.vectors import ratio0
@@ -56,6 +56,49 @@ def class_weights(labels: DataFrame, power: float = 1.0) -> DataFrame:
     return raw.join(F.broadcast(mean)).select("label", "n", (F.col("raw") / F.col("mean")).alias("weight"))
 
 
+def pool_windows(df: DataFrame, windows: str) -> DataFrame:
+    """``df`` with ``uniform`` and ``attended``: a row of logits from the rows in the array column ``windows``.
+
+    ``uniform`` is their mean. ``attended`` weighs them by a softmax over the windows of the last entry of each window's log softmax, so
+    that an offset common to a window's logits changes nothing. No windows give null.
+    """
+    w = F.col(windows)
+    gate = F.transform(w, lambda z: F.element_at(z, -1) - F.array_max(z) - F.ln(F.aggregate(F.transform(z, lambda x: F.exp(x - F.array_max(z))), F.lit(0.0), lambda a, x: a + x)))
+    even = F.transform(w, lambda _: F.lit(1.0))
+    weights = F.transform(F.col("__gate"), lambda g: F.exp(g - F.array_max("__gate")))
+
+    def weighed(v: Column) -> Column:
+        total = F.aggregate(v, F.lit(0.0), lambda a, x: a + x)
+        dims = F.sequence(F.lit(0), F.size(w[0]) - 1)
+        return F.when(F.size(w) > 0, F.transform(dims, lambda i: F.aggregate(F.zip_with(w, v, lambda z, x: F.get(z, i) * x), F.lit(0.0), lambda a, x: a + x) / total))
+
+    return df.withColumn("__gate", gate).withColumns({"uniform": weighed(even), "attended": weighed(weights)}).drop("__gate")
+
+
+def logistic_slopes(train: DataFrame, grid: tuple[float, ...] = (0.001, 0.01, 0.1, 1.0, 10.0, 30.0, 100.0), balanced: tuple[bool, ...] = (False, True), max_iter: int = 2000) -> DataFrame:
+    """(c, balanced, slope): the largest entry of the slope of the penalised mean loss where each fit of ``logistic_grid`` ends; a check of its optimum."""
+    fit = train.select(array_to_vector("x").alias("features"), "x", F.col("y").cast("double").alias("label")).cache()
+    n, counts = fit.count(), {r["label"]: r["count"] for r in fit.groupBy("label").count().collect()}
+    rows = []
+    for c in grid:
+        for even in balanced:
+            model, weight = _fit(fit, c, even, n, counts, max_iter)
+            w = [float(x) for x in model.coefficients]
+            z = F.aggregate(F.zip_with("x", F.array(*[F.lit(x) for x in w]), lambda a, b: a * b), F.lit(float(model.intercept)), lambda a, x: a + x)
+            error = (1 / (1 + F.exp(-z)) - F.col("label")) * weight
+            sums = fit.withColumn("__e", error).agg(F.sum("__e").alias("bias"), F.sum(weight).alias("weight"), *[F.sum(F.col("__e") * F.get("x", i)).alias(f"g{i}") for i in range(len(w))]).first()
+            slopes = [sums["bias"] / sums["weight"], *[sums[f"g{i}"] / sums["weight"] + x / (c * n) for i, x in enumerate(w)]]
+            rows.append((float(c), even, max(map(abs, slopes))))
+    fit.unpersist()
+    return train.sparkSession.createDataFrame(rows, "c double, balanced boolean, slope double")
+
+
+def _fit(fit: DataFrame, c: float, even: bool, n: int, counts: dict, max_iter: int):
+    """An L2 logistic fit, classes weighed alike if ``even``, and the weight of each row."""
+    weight = F.when(F.col("label") == 1, n / (2.0 * counts.get(1.0, 1))).otherwise(n / (2.0 * counts.get(0.0, 1))) if even else F.lit(1.0)
+    return LogisticRegression(regParam=1.0 / (c * n), elasticNetParam=0.0, standardization=False, maxIter=max_iter, weightCol="w").fit(fit.withColumn("w", weight)), weight
+
+
 def logistic_grid(train: DataFrame, selection: DataFrame, grid: tuple[float, ...] = (0.001, 0.01, 0.1, 1.0, 10.0, 30.0, 100.0), balanced: tuple[bool, ...] = (False, True), max_iter: int = 2000) -> DataFrame:
     """(trial, c, balanced, iterations, converged, macro_f1) of L2 logistic fits on array column x and label y (0 or 1).
 
@@ -67,8 +110,7 @@ def logistic_grid(train: DataFrame, selection: DataFrame, grid: tuple[float, ...
     n, counts = fit.count(), {r["label"]: r["count"] for r in fit.groupBy("label").count().collect()}
     rows = []
     for trial, (c, even) in enumerate((c, b) for c in grid for b in balanced):
-        weight = F.when(F.col("label") == 1, n / (2.0 * counts.get(1.0, 1))).otherwise(n / (2.0 * counts.get(0.0, 1))) if even else F.lit(1.0)
-        model = LogisticRegression(regParam=1.0 / (c * n), elasticNetParam=0.0, standardization=False, maxIter=max_iter, weightCol="w").fit(fit.withColumn("w", weight))
+        model, _ = _fit(fit, c, even, n, counts, max_iter)
         done = model.summary.totalIterations
         guess = model.transform(held)
         x = guess.agg(*[F.count_if((F.col("label") == t) & (F.col("prediction") == g)).alias(k) for k, (t, g) in {"tn": (0, 0), "fp": (0, 1), "fn": (1, 0), "tp": (1, 1)}.items()]).first()
@@ -81,5 +123,3 @@ def logistic_grid(train: DataFrame, selection: DataFrame, grid: tuple[float, ...
 
 def best_trial(trials: DataFrame) -> DataFrame:
     return trials.where("converged").orderBy(F.desc("macro_f1"), "trial").limit(1)
-
-

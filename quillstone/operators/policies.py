@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillstone.functions.vectors import log_probabilities, softmax
 from quillstone.operators.metrics import scored
 from quillstone.operators.ordering import running_totals
 from quillstone.staging import stage
@@ -74,3 +75,34 @@ def fit_temperature(df: DataFrame, by: str = "model", rounds: int = 4, width: in
 
 def _best(grid: DataFrame, by: str) -> DataFrame:
     return grid.groupBy(by).agg(F.min_by(F.struct("log_t", "nll"), F.struct("nll", F.abs("log_t"))).alias("x")).select(by, "x.*")
+
+
+def bisect_temperature(df: DataFrame, by: str = "model", rounds: int = 6, width: int = 24) -> DataFrame:
+    """(by, log_t): where the slope of the mean loss in the log temperature changes its sign, in [-3, 3]; a check of ``fit_temperature``.
+
+    Every round cuts the interval into ``width + 1`` and keeps the part in which the slope turns from falling to rising.
+    """
+    folded = stage(margins(df, by)).frame
+    at = folded.select(by).distinct().select(by, F.lit(-3.0).alias("low"))
+    part = 6.0
+    for _ in range(rounds):
+        part /= width + 1
+        tried = folded.join(F.broadcast(at), by).withColumn("i", F.explode(F.sequence(F.lit(1), F.lit(width)))).withColumn("m", F.col("margin") / F.exp(F.col("low") + F.col("i") * part))
+        # the slope at each point: m / t times the chance of the other class there
+        slope = tried.groupBy(by, "low", "i").agg(F.sum(F.col("count") * F.col("m") / (1 + F.exp(F.col("m")))).alias("slope"))
+        falling = slope.groupBy(by, "low").agg(F.coalesce(F.max(F.when(F.col("slope") < 0, F.col("i"))), F.lit(0)).alias("i"))
+        at = stage(falling.select(by, (F.col("low") + F.col("i") * part).alias("low"))).frame
+    return at.select(by, (F.col("low") + part / 2).alias("log_t"))
+
+
+def calibrated(df: DataFrame, temperatures: DataFrame, by: str = "model") -> DataFrame:
+    """``df`` with ``probabilities`` at the temperature of its group (by, log_t)."""
+    held = df.join(F.broadcast(temperatures.select(by, F.exp("log_t").alias("__t"))), by)
+    return held.withColumn("probabilities", softmax(log_probabilities(F.col("probabilities")), F.col("__t"))).drop("__t")
+
+
+def with_discards(df: DataFrame, fitted: DataFrame, by: str = "model") -> DataFrame:
+    """``df`` with ``discard``: for each policy of its group (by, policy, threshold) whether the row would be skipped. A group has a handful of policies."""
+    rules = fitted.groupBy(by).agg(F.map_from_entries(F.collect_list(F.struct("policy", "threshold"))).alias("__rules"))
+    p0, p1 = F.col("probabilities")[0], F.col("probabilities")[1]
+    return df.join(F.broadcast(rules), by, "left").withColumn("discard", F.transform_values("__rules", lambda _, threshold: skip(p0, p1, threshold))).drop("__rules")

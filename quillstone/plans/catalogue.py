@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from quillstone.plans.corpus import corpus
 from quillstone.plans.evaluation import evaluation
+from quillstone.plans.study import study
 
-QUERIES = corpus.queries | evaluation.queries
-SQL = corpus.sql | evaluation.sql
+QUERIES = corpus.queries | evaluation.queries | study.queries
+SQL = corpus.sql | evaluation.sql | study.sql

@@ -161,11 +161,6 @@ def temperature_grid(spark, d):
     return policies.grid_temperature(predictions(spark, d), [-3 + i * 0.25 for i in range(25)]).select("model", *r6("log_t", "nll"))
 
 
-@query()
-def temperature_fit(spark, d):
-    return policies.fit_temperature(predictions(spark, d)).select("model", *r6("log_t", "nll"))
-
-
 _U = "substr(sha256(g || ':' || (r // 8)), 1 + 8 * (r % 8)::INT, 8)"
 _W = " + ".join(f"(u >= '{s}')::INT" for s in B.STEPS)
 REPLICATES = 2000

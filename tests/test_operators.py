@@ -14,14 +14,15 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from quillstone.functions.packed import pack_floats, unpack_floats
 from quillstone.functions.shingling import distinct_sets, fingerprints, shingle_set
-from quillstone.operators import bootstrap, discovery, duplicates, features, metrics, ordering, policies, selection
+from quillstone.operators import bootstrap, compare, discovery, duplicates, features, metrics, minhash, ordering, policies, selection
 from quillstone.operators import records as R
 from quillstone.operators.graph import connected_components
 from quillstone.operators.similarity import prefix_length, similar_pairs
 from quillstone.operators.skew import skew_join
 from quillstone.plans import catalogue
-from quillstone.sources import paged
+from quillstone.sources import index, paged
 from quillstone.sources import records as files
 from quillstone.streaming.ingest import ingest, windowed_counts
 
@@ -324,3 +325,69 @@ def test_stream_ingest_resumes(spark, tmp_path):
         ingest(spark, str(tmp_path / "in"), rows.schema, str(tmp_path / "out"), str(tmp_path / "cp"), "event_id", "ts").awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
     assert windowed_counts(rows, "ts", "event_id", "1 day").count() == 2
+
+
+def test_banded_index_finds_nine_of_ten(spark):
+    rng = random.Random(12)
+    texts = []
+    for _ in range(60):
+        base = [f"w{rng.randrange(4000)}" for _ in range(150)]
+        for edits in (0, 1, 2, 3):
+            words = list(base)
+            for _ in range(edits):
+                words[rng.randrange(150)] = f"n{rng.randrange(10**6)}"
+            texts.append(" ".join(words))
+    texts += [texts[0], "", None]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "id long, text string, signature string")
+    pairs, members = minhash.search(docs, docs.where("id % 4 = 0"))
+    sets = [shingle_set(t or "") for t in texts]
+    rep = {r["id"]: r["rep"] for r in members.collect()}
+    assert rep[240] == 0 and rep[242] == 241
+    want = {(rep[i], rep[j]) for i in range(0, 243, 4) for j in range(243) if rep[i] != rep[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    got = {(r["a"], r["b"]): r["similarity"] for r in pairs.collect()}
+    assert set(got) <= want and len(got) >= 0.9 * len(want) > 50 and all(s >= 0.8 - 1e-9 for s in got.values())
+    assert minhash.search(docs.limit(0), docs.limit(0))[0].count() == 0
+
+
+def test_differences_within_tolerances(spark):
+    schema = "k string, x double, v array<double>, s struct<a: double, b: string>, n int"
+    left = spark.createDataFrame([("a", 1.0, [1.0, 2.0], (1.0, "p"), 1), (None, None, None, None, None), ("c", 1.0, [1.0], (0.5, "q"), 2), ("d", float("nan"), [], (0.0, None), 3)], schema)
+    right = spark.createDataFrame([("a", 1.0 + 1e-10, [1.0, 2.0 - 1e-10], (1.0, "p"), 1), (None, None, None, None, None), ("c", 1.1, [1.0, 1.0], (0.5, "r"), 2), ("e", 0.0, [], None, 0), ("d", float("nan"), [], (0.0, None), 3)], schema)
+    got = {r["k"]: (r["state"], sorted(r["columns"])) for r in compare.differences(left, right, ["k"]).collect()}
+    assert got == {"c": ("differs", ["s", "v", "x"]), "e": ("missing", [])}
+    assert compare.differences(left, left, ["k"]).count() == 0 and compare.differences(right, left.limit(0), ["k"]).where("state <> 'extra'").count() == 0
+
+
+def test_index_files(spark, tmp_path):
+    (tmp_path / "form.idx").write_text("Description: index\n\nCIK|Company|Form|Date|File\n-----\n0000320|A Co|8-K|2025-03-01|edgar/data/320/0000000320-25-000001.txt\n77|B|8-K/A|2025-03-02|x/0000000077-25-000002.txt\n78|C|8-K|2024-12-31|x/0000000078-24-000003.txt\n")
+    got = index.read_index(spark, str(tmp_path), "8-K", "2025-01-01", "2025-12-31").collect()
+    assert [(r["document_id"], r["issuer"], r["company"]) for r in got] == [("sec:0000000320-25-000001", "320", "A Co")]
+
+
+def test_pooled_windows(spark):
+    df = spark.createDataFrame([(1, [[1.0, 2.0], [3.0, 0.0]]), (2, [[5.0, 6.0]]), (3, []), (4, None)], "id int, w array<array<double>>")
+    got = {r["id"]: (r["uniform"], r["attended"]) for r in features.pool_windows(df, "w").collect()}
+    assert got[1][0] == [2.0, 1.0] and got[2] == ([5.0, 6.0], [5.0, 6.0]) and got[3] == got[4] == (None, None)
+    gate = [z1 - math.log(math.exp(z0) + math.exp(z1)) for z0, z1 in ((1.0, 2.0), (3.0, 0.0))]
+    weight = [math.exp(g) / sum(map(math.exp, gate)) for g in gate]
+    assert got[1][1] == pytest.approx([weight[0] + 3 * weight[1], 2 * weight[0]])
+    moved = features.pool_windows(df.withColumn("w", F.transform("w", lambda z: F.transform(z, lambda x: x + 7))), "w").where("id = 1").first()
+    assert moved["attended"] == pytest.approx([x + 7 for x in got[1][1]])
+
+
+def test_packed_floats_come_back(spark):
+    df = spark.createDataFrame([(1, [1.5, -2.25]), (2, []), (3, None)], "id int, v array<float>")
+    back = df.select("id", unpack_floats(pack_floats(F.col("v"))).alias("v"))
+    assert {r["id"]: r["v"] for r in back.collect()} == {1: [1.5, -2.25], 2: [], 3: None}
+
+
+def test_calibration_reaches_the_root_of_the_slope(spark):
+    rng = random.Random(6)
+    p = predictions(spark, [(min(0.999, max(0.001, 0.5 + rng.gauss(0.2 if y else -0.2, 0.3))), y) for y in (0, 1) for _ in range(150)])
+    fit, root = policies.fit_temperature(p).first()["log_t"], policies.bisect_temperature(p).first()["log_t"]
+    assert abs(fit - root) < 2e-5 and -3 < fit < 3
+    c = policies.calibrated(p, policies.fit_temperature(p))
+    assert c.where("abs(probabilities[0] + probabilities[1] - 1) > 1e-9").isEmpty()
+    rows = policies.with_discards(c, policies.fit_policies(c)).collect()
+    assert all(set(r["discard"]) == {"0.01", "0.05", "skip_0.1", "skip_0.2", "skip_0.3"} for r in rows)
+    assert sum(r["discard"]["skip_0.2"] for r in rows) <= 0.2 * len(rows)
