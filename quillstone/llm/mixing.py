@@ -51,9 +51,10 @@ def mixture(docs: DataFrame, targets: DataFrame, seed: int = 42, vocabulary: str
     """
     goal = targets.where("source is not null and target_share > 0 and max_repeats > 0").groupBy("source").agg(F.sum("target_share").alias("share"), F.max("max_repeats").alias("cap"))
     most = goal.agg(F.max("cap")).first()[0] or 1
-    sized = stage(spread(docs.select("id", "source", "text")).where(F.length("text") > 0).join(goal, "source").select("id", "source", "text", "share", "cap").withColumn("tokens", tokens_of("text", vocabulary))).frame
     u = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("id")), 11) * F.lit(2.0**-53)
-    narrow = sized.select("id", "source", "share", "cap", "tokens", _jumps(u, most).alias("jumps"))
+    targeted = spread(docs.select("id", "source", "text")).where(F.length("text") > 0).join(goal, "source")
+    sized = stage(targeted.select("id", "source", "text", "share", "cap", tokens_of("text", vocabulary).alias("tokens"), _jumps(u, most).alias("jumps"))).frame
+    narrow = sized.select("id", "source", "share", "cap", "tokens", "jumps")
     have = narrow.groupBy("source", "share", "cap").agg(F.sum("tokens").alias("have"))
     whole = Window.partitionBy()  # over one row per source
     wanted = have.withColumn("want", F.col("share") * F.min(F.col("have") * F.col("cap") / F.col("share")).over(whole))
@@ -61,12 +62,12 @@ def mixture(docs: DataFrame, targets: DataFrame, seed: int = 42, vocabulary: str
     reached = steps.withColumn("total", F.sum("gain").over(Window.partitionBy("source").orderBy("rate"))).join(F.broadcast(wanted), "source")
     rates = stage(reached.groupBy("source", "share", "cap", "have", "want").agg(F.min_by("rate", F.struct(F.abs(F.col("total") - F.col("want")), "rate")).alias("rate"))).frame
     copies = F.size(F.filter(F.slice("jumps", 1, F.col("cap")), lambda j: j <= F.col("rate")))
-    chosen = sized.withColumn("jumps", _jumps(u, most)).join(F.broadcast(rates.select("source", "rate")), "source").withColumn("copies", copies).where("copies > 0")
+    chosen = sized.join(F.broadcast(rates.select("source", "rate")), "source").withColumn("copies", copies).where("copies > 0")
     drawn = chosen.select("id", "source", "tokens", "text", F.explode(F.sequence(F.lit(1), "copies")).alias("copy"))
     mixed = drawn.withColumn("position", F.xxhash64(F.lit(seed + 1), "id", "copy")).repartition("position").sortWithinPartitions("position")
     used = narrow.join(F.broadcast(rates.select("source", "rate", "want")), "source").select("source", "share", "cap", "tokens", "want", copies.alias("copies"))
-    shares = used.groupBy("source", "share", "cap", "want").agg(F.sum("tokens").alias("available"), F.sum(F.col("tokens") * F.col("copies")).alias("used"), F.sum("copies").alias("documents"), F.max("copies").alias("most"))
+    shares = used.groupBy("source", "share", "cap", "want").agg(F.sum("tokens").alias("available"), F.sum(F.col("tokens") * F.col("copies")).alias("used"), F.sum("copies").alias("documents"), F.max("copies").alias("most"), F.max("tokens").alias("largest"))
     shares = shares.select(
-        "source", F.col("share").alias("target_share"), F.round(F.col("used") / F.nullif(F.sum("used").over(whole), F.lit(0)), 6).alias("share"), "available", F.col("want").cast("long").alias("wanted"), "used", "documents", F.col("cap").alias("max_repeats"), F.col("most").alias("repeats"),
+        "source", F.col("share").alias("target_share"), F.round(F.col("used") / F.nullif(F.sum("used").over(whole), F.lit(0)), 6).alias("share"), "available", F.col("want").cast("long").alias("wanted"), "used", "documents", F.col("cap").alias("max_repeats"), F.col("most").alias("repeats"), "largest",
     )
     return mixed.select("position", F.col("id").alias("doc_id"), "copy", "source", "tokens", "text"), shares
