@@ -30,6 +30,8 @@ CHARS_AN_ENTRY = 100
 MEMBER_BITS = 23
 #: A run is hot if more than so many documents and more than a ``HOT_SHARE``-th of all hold it, and is then dealt to ``HOT_SALTS`` tasks.
 HOT_RUN, HOT_SHARE, HOT_SALTS = 10_000, 500, 16
+#: Pairs of one first text that a task verifies.
+PAIRS_A_TASK = 2000
 #: Seeds of the four extra minimum hashes of a document.
 SIGNATURES = 4
 
@@ -221,32 +223,46 @@ def verify(pairs: DataFrame, docs: DataFrame, t: float, k: int = 5) -> DataFrame
     """Of ``pairs`` (a, b: ids of ``docs``), those whose texts have similarity t or more, with it.
 
     The texts' sets of runs are made anew and compared by 64-bit fingerprints, so two different runs are taken for one with a chance of
-    2**-64. The second text is joined first: the first one, which may stand in many pairs, is not carried through another shuffle.
+    2**-64. Pairs of a first text that stands in many are dealt to tasks of ``PAIRS_A_TASK``, each of which gets that text once and makes
+    its set once.
     """
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held = None, None  # pairs come by their first text
         for batch in batches:
-            a, b = ([x or "" for x in batch[c].to_pylist()] for c in ("text_a", "text_b"))
-            score: list[float] = []
-            both = [x for pair in zip(a, b) for x in pair]
-            odd = None
-            for _, hashes, runs in fingerprints(both, k):
-                d, h, n = distinct_sets(hashes, runs)
-                sets = np.split(h, np.cumsum(n)[:-1])
-                if odd is not None:
-                    sets.insert(0, odd)
-                odd = sets.pop() if len(sets) % 2 else None
-                for x, y in zip(sets[::2], sets[1::2]):
-                    same = len(np.intersect1d(x, y, assume_unique=True))
-                    score.append(same / (len(x) + len(y) - same))
+            ids, firsts, seconds = batch["a"].to_pylist(), batch["text_a"], [x or "" for x in batch["text_b"].to_pylist()]
+            new = [i for i, a in enumerate(ids) if a != (ids[i - 1] if i else last)]
+            sets = _sets([*[firsts[i].as_py() or "" for i in new], *seconds], k)
+            heads = dict(zip(new, sets))
+            score = []
+            for i, y in enumerate(sets[len(new) :]):
+                held = heads.get(i, held)
+                same = len(np.intersect1d(held, y, assume_unique=True))
+                score.append(same / (len(held) + len(y) - same))
+            last = ids[-1] if ids else last
             s = np.array(score)
-            keep = pa.array(s >= t - 1e-12)
-            yield pa.RecordBatch.from_pydict({"a": batch["a"].filter(keep), "b": batch["b"].filter(keep), "similarity": pa.array(s).filter(keep)})
+            keep = pa.array(s >= t - 1e-12, pa.bool_())
+            yield pa.RecordBatch.from_pydict({"a": batch["a"].filter(keep), "b": batch["b"].filter(keep), "similarity": pa.array(s, pa.float64()).filter(keep)})
 
     needed = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     texts = id_filter(docs.select("id", "text"), needed).repartition("id")
-    sides = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
-    return sides.mapInArrow(exact, "a long, b long, similarity double")
+    parts = F.ceil(F.coalesce("__n", F.lit(1)) / PAIRS_A_TASK)
+    many = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > PAIRS_A_TASK)
+    dealt = pairs.join(many, "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), parts).alias("__salt"))
+    first = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")).join(many, "a", "left").select("a", "text_a", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("__salt"))
+    tasks = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = dealt.repartition(tasks, "a", "__salt")  # few bytes, but much work: small files or partitions must not end up as one task
+    sides = dealt.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b").join(first, ["a", "__salt"])
+    return sides.select("a", "b", "text_a", "text_b").mapInArrow(exact, "a long, b long, similarity double")
+
+
+def _sets(texts: list[str], k: int) -> list[np.ndarray]:
+    """Each text's distinct fingerprints."""
+    out: list[np.ndarray] = []
+    for _, hashes, runs in fingerprints(texts, k):
+        _, h, n = distinct_sets(hashes, runs)
+        out += np.split(h, np.cumsum(n)[:-1])
+    return out
 
 
 def class_pairs(postings: Postings, t: float) -> DataFrame:
