@@ -38,11 +38,15 @@ def crawl(links: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
 
 
 def rechunk(rows: DataFrame, key: str, values: str, header: list[str]) -> DataFrame:
-    """Records from a flat array: every len(header) values in turn are one; adds record (from 0) and a column per name. A rest is dropped."""
-    width = len(header)
-    flat = rows.select(key, F.posexplode(F.slice(F.col(values), 1, F.floor(F.size(values) / width).cast("int") * width)).alias("pos", "value"))
-    picked = [F.max(F.when(F.col("pos") % width == i, F.col("value"))).alias(name) for i, name in enumerate(header)]
-    return flat.groupBy(key, F.floor(F.col("pos") / width).cast("int").alias("record")).agg(*picked)
+    """(key, record, header...): every len(header) values of a flat array are one record, numbered from 0, without a shuffle.
+
+    An array whose length is no multiple of the header's is an error; null and empty arrays have no records.
+    """
+    width, size = len(header), F.size(values)
+    checked = F.when(size % width == 0, F.col(values)).otherwise(F.raise_error(F.concat(F.lit("an array of "), size.cast("string"), F.lit(f" values can't be cut into records of {width}"))).cast(rows.schema[values].dataType))
+    record = lambda r: F.struct(r.cast("int").alias("record"), *[F.get(F.col("__v"), r * width + i).alias(name) for i, name in enumerate(header)])
+    held = rows.where(size > 0).select(key, checked.alias("__v"))
+    return held.select(key, F.explode(F.transform(F.sequence(F.lit(0), (F.size("__v") / width).cast("int") - 1), record)).alias("__r")).select(key, "__r.*")
 
 
 def merge_providers(providers: list[DataFrame], key: str) -> DataFrame:

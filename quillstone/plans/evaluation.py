@@ -389,7 +389,7 @@ def bfs_depth2(spark, d):
 
 @query("WITH f AS (SELECT vec_id, unnest(embedding[1:63]) AS v, unnest(range(63)) AS pos FROM embeddings) SELECT vec_id, CAST(pos // 7 AS INTEGER) AS record, max(CASE WHEN pos % 7 = 0 THEN v END) AS x, max(CASE WHEN pos % 7 = 6 THEN v END) AS z FROM f GROUP BY 1, 2")
 def chunk_zip_records(spark, d):
-    return discovery.rechunk(table(spark, d, "embeddings"), "vec_id", "embedding", ["x", "b", "c", "e", "f", "g", "z"]).select("vec_id", "record", "x", "z")
+    return discovery.rechunk(table(spark, d, "embeddings").select("vec_id", F.slice("embedding", 1, 63).alias("flat")), "vec_id", "flat", ["x", "b", "c", "e", "f", "g", "z"]).select("vec_id", "record", "x", "z")
 
 
 @query("SELECT document_id, provider FROM (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY provider DESC) AS rn FROM (SELECT DISTINCT document_id, 0 AS provider FROM filing_records UNION ALL SELECT DISTINCT document_id, 1 FROM candidates)) WHERE rn = 1")

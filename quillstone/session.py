@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-import re
 import tempfile
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
+#: Nodes of a plan that shuffle, or that give more rows than they are given.
+_SHUFFLES = {"Join", "Aggregate", "Repartition", "RepartitionByExpression", "RebalancePartitions", "Window", "Sort", "Distinct", "Deduplicate", "Generate"}
 
 
 def ship(spark: SparkSession) -> SparkSession:
@@ -33,7 +35,13 @@ def spread(df: DataFrame) -> DataFrame:
     and stay as they are.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    plan = df._jdf.queryExecution().optimizedPlan().toString()
-    if re.search(r"\b(Join|Aggregate|Repartition\w*|Window|Sort|Distinct|Deduplicate|Generate)\b", plan) or df.rdd.getNumPartitions() >= cores:
+    if _SHUFFLES.intersection(_nodes(df._jdf.queryExecution().optimizedPlan())) or df.rdd.getNumPartitions() >= cores:
         return df
     return df.repartition(cores)
+
+
+def _nodes(plan) -> Iterator[str]:
+    yield plan.nodeName()
+    below = plan.children()
+    for i in range(below.size()):
+        yield from _nodes(below.apply(i))

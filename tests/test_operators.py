@@ -391,3 +391,10 @@ def test_calibration_reaches_the_root_of_the_slope(spark):
     rows = policies.with_discards(c, policies.fit_policies(c)).collect()
     assert all(set(r["discard"]) == {"0.01", "0.05", "skip_0.1", "skip_0.2", "skip_0.3"} for r in rows)
     assert sum(r["discard"]["skip_0.2"] for r in rows) <= 0.2 * len(rows)
+
+
+def test_records_out_of_flat_arrays(spark):
+    df = spark.createDataFrame([(1, [1, 2, 3, 4]), (2, []), (3, None)], "k int, v array<int>")
+    assert [tuple(r) for r in discovery.rechunk(df, "k", "v", ["a", "b"]).collect()] == [(1, 0, 1, 2), (1, 1, 3, 4)]
+    with pytest.raises(Exception, match="records of 3"):
+        discovery.rechunk(df, "k", "v", ["a", "b", "c"]).collect()
