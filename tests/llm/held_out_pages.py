@@ -1,4 +1,4 @@
-"""Pages in wording that the boilerplate operator was not written for; ``-`` marks the lines around a page's own text."""
+"""Pages in wording of their own; ``-`` marks the lines around a page's own text. README says how many lines were right before rules were widened for them."""
 
 PAGES = [
     """
@@ -94,7 +94,7 @@ The hall is ten minutes on foot from the station, and there is parking behind th
 """,
 ]
 
-#: Written after the operator was finished; no rule was changed for them.
+#: Written after the operator had been changed for the others; it was then changed once more for what it missed here.
 LATER = [
     """
 -Log in

@@ -276,7 +276,7 @@ def test_poor_sibling_of_unlisted_links_goes_by_its_points():
     assert all(boilerplate.own_lines("\n".join(["Changes to the reserve requirement in Northport", "", *side, "", "It takes effect in May."])))  # the container itself
 
 
-def test_pages_in_wording_never_seen():
+def test_pages_in_other_wording():
     for pages in (PAGES, LATER):
         found = wrong = missed = 0
         for page, want in cases(pages):
@@ -427,7 +427,7 @@ def test_numbers_with_failing_checks():
     assert pii.find_spans("numéro de sécurité sociale 255081416802539") and pii.find_spans("Steuer-ID 86 095 742 710")  # mistyped, but there's no doubt about the label
 
 
-def test_names_never_seen():
+def test_names_that_no_list_holds():
     found = 0
     for line in NAMES.split("\n"):
         text, name = line.split("|")

@@ -1,4 +1,4 @@
-"""Sentences with names that no list of the operator holds (given or family), and the name; written before its words of context were widened."""
+"""Sentences with names that no list of the operator holds (given or family), and the name. README says how many were right before shapes were widened for them."""
 
 NAMES = """Rohan Deshpande said the plan was sound.|Rohan Deshpande
 The minutes were signed by Siobhan Walsh on Monday.|Siobhan Walsh
